@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op7_best_fit_packing
 from .simhash import op10_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op10_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op10_simhash_near_dedup)}
 #: Operators whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {}
