@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .packing import op7_best_fit_packing
+from .records import op9_token_records
+from .sharding import op2_bfd_sharding
 from .simhash import op10_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bfd_sharding, op7_best_fit_packing, op9_token_records, op10_simhash_near_dedup)}
 #: Operators whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {}
