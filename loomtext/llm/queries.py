@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .packing import op7_best_fit_packing
+from .pii import op3_semi_crf_pii
 from .quality import op4_quality_rules
 from .records import op9_token_records
 from .sharding import op2_bfd_sharding
 from .simhash import op10_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_bfd_sharding, op4_quality_rules, op7_best_fit_packing, op9_token_records, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bfd_sharding, op3_semi_crf_pii, op4_quality_rules, op7_best_fit_packing, op9_token_records, op10_simhash_near_dedup)}
 #: Operators whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {}
