@@ -1,11 +1,20 @@
-"""The corpus pipeline: five stages over documents, each calling one operator of loomtext.llm."""
+"""The corpus pipeline: five stages over documents, each calling one operator of loomtext.llm.
+
+Each stage is written as Parquet in the shared folder and reread as the next one's docs, so a lost executor costs at most the
+stage that runs. The first four return the columns of documents, the last the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import simhash
-from loomtext.llm.common import materialize, table
+from loomtext.llm import decontamination, packing, pii, quality, simhash
+from loomtext.llm.common import discard, materialize, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised rules reject go."""
+    return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +22,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
-#: SQL expresses neither the fingerprints' components nor the trained stages.
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are masked in place; no document goes."""
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequence and offset."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mask_pii", mask_pii), ("pack", pack)]
+#: SQL expresses neither the trained stages nor the tokenizer; tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each is written as Parquet and read again as the next one's docs."""
+    """All stages in order over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
