@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op8_chat_formatting
 from .decontamination import op5_benchmark_decontamination
 from .packing import op7_best_fit_packing
 from .pii import op3_semi_crf_pii
@@ -10,6 +11,6 @@ from .records import op9_token_records
 from .sharding import op2_bfd_sharding
 from .simhash import op10_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_bfd_sharding, op3_semi_crf_pii, op4_quality_rules, op5_benchmark_decontamination, op7_best_fit_packing, op9_token_records, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bfd_sharding, op3_semi_crf_pii, op4_quality_rules, op5_benchmark_decontamination, op7_best_fit_packing, op8_chat_formatting, op9_token_records, op10_simhash_near_dedup)}
 #: Operators whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {}
