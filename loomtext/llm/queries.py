@@ -7,11 +7,12 @@ from .decontamination import op5_benchmark_decontamination
 from .html import op6_html_extraction
 from .packing import op7_best_fit_packing
 from .pii import op3_semi_crf_pii
+from .ppm import op1_ppm_scores
 from .quality import op4_quality_rules
 from .records import op9_token_records
 from .sharding import op2_bfd_sharding
 from .simhash import op10_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_bfd_sharding, op3_semi_crf_pii, op4_quality_rules, op5_benchmark_decontamination, op6_html_extraction, op7_best_fit_packing, op8_chat_formatting, op9_token_records, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scores, op2_bfd_sharding, op3_semi_crf_pii, op4_quality_rules, op5_benchmark_decontamination, op6_html_extraction, op7_best_fit_packing, op8_chat_formatting, op9_token_records, op10_simhash_near_dedup)}
 #: Operators whose rows SQL can express.
 ORACLE_SQL: dict[str, str] = {}
