@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching over bytes (operator 1).
 
 The model is the trie of all byte contexts of up to ORDER bytes in the training texts, with the count of each byte that follows.
-A byte is coded in the longest context that has been seen; where it is new there, an escape (method C: as likely as the distinct
-bytes seen) leads to the context one byte shorter, in which the bytes of the longer one are excluded. Texts are read with A-Z in
+A byte is coded in the longest context that has been seen; where it is new there, an escape (method D: each distinct byte seen
+gives half a count to it) leads to the context one byte shorter, in which the bytes of the longer one are excluded. Texts are read with A-Z in
 lower case, with ORDER start marks before and one end mark after. The marks are bytes that UTF-8 never uses.
 
 Nothing of the model is held whole anywhere but its first two levels (256 x 256 counts). Texts are dealt into blocks of about
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialize, table, texts_of
 
-ORDER = 4
-BLOCK_BYTES = 16 << 20
+#: Bytes of context; at most 5, as a gram without its suffix has 4 bytes.
+ORDER = 5
+BLOCK_BYTES = 8 << 20
+#: Bytes of text that are scored at a time.
+SCORE_BYTES = 1 << 20
 START, END = 0xFE, 0xFF
 ALPHABET = 255  # all bytes but START
 WORD_BUCKETS = 64
@@ -39,20 +42,26 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of each byte of each text and its end mark (ORDER + 1 bytes, big end first), and where each text starts in them."""
+    """The gram of each byte of each text and its end mark, and where each text starts in them.
+
+    A gram is written as the last two bytes of its context (its suffix), the bytes before them, then the next byte.
+    """
     mark = bytes([START]) * ORDER
     flat = np.frombuffer(b"".join(x for t in texts for x in (mark, t, b"\xff")), np.uint8)
-    code = np.zeros(max(0, len(flat) - ORDER), np.uint64)
-    for i in range(ORDER + 1):
-        code = (code << np.uint64(8)) | flat[i : len(flat) - ORDER + i]
-    symbol = flat[ORDER:]
-    code = code[symbol != START]
-    return code, np.cumsum([0] + [len(t) + 1 for t in texts])
+    n = max(0, len(flat) - ORDER)
+    code = np.zeros(n, np.uint64)
+    for i in (ORDER - 2, ORDER - 1, *range(ORDER - 2), ORDER):
+        code = (code << np.uint64(8)) | flat[i : n + i]
+    return code[flat[ORDER:] != START], np.cumsum([0] + [len(t) + 1 for t in texts])
+
+
+REST_BITS = np.uint64(8 * (ORDER - 1))
 
 
-def suffix_of(grams: np.ndarray) -> np.ndarray:
-    """The last two bytes of each gram's context."""
-    return (grams >> np.uint64(8)) & np.uint64(0xFFFF)
+def in_order(suffix: int, rest: np.ndarray) -> np.ndarray:
+    """Grams of one suffix with their bytes in the order of the text, from what follows the suffix in grams_of()."""
+    rest = rest.astype(np.uint64)
+    return (rest >> np.uint64(8)) << np.uint64(24) | np.uint64(suffix << 8) | (rest & np.uint64(0xFF))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +128,8 @@ def code_lengths(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
         at, hit = _find(level.pairs, pair)
         hit &= live
         count = np.where(hit, level.counts[at] if len(level.counts) else 0, 0.0)
-        both = np.where(live, total + distinct, 1.0)
-        logp[todo] += np.log10(np.where(hit, count, np.where(live, distinct, 1.0)) / both)
+        both = np.where(live, 2 * total, 1.0)
+        logp[todo] += np.log10(np.where(hit, 2 * count - 1, np.where(live, distinct, 1.0)) / both)
         all_gone = np.where(seen, level.distinct[spot] if len(level.distinct) else 0, 0.0)
         gone[todo] = np.where(seen, all_gone, gone[todo])
         if k:
@@ -147,17 +156,17 @@ def _blocks(docs: DataFrame) -> DataFrame:
         head = struct.pack("<q", len(ids)) + b"".join(struct.pack("<qBq", d or 0, d is None, len(t)) for d, t in zip(ids, texts))
         yield block, 0, 0, head, zlib.compress(b"".join(texts), 1)
         code, starts = grams_of(texts)
-        weight = np.repeat(train, np.diff(starts))
-        every, n_all = np.unique(code, return_counts=True)
-        learnt, n = np.unique(code[weight], return_counts=True)
-        counts = np.zeros(len(every), np.uint32)
-        counts[np.searchsorted(every, learnt)] = n
-        suffix = suffix_of(every)
-        order = np.argsort(suffix, kind="stable")
-        every, counts, suffix = every[order], counts[order], suffix[order]
+        weight = np.repeat(train, np.diff(starts)).astype(np.uint64)
+        flagged, n = np.unique(code << np.uint64(1) | weight, return_counts=True)
+        trains = (flagged & np.uint64(1)).astype(bool)
+        every = flagged >> np.uint64(1)
+        last = np.concatenate((every[1:] != every[:-1], [True]))  # a gram's row with training counts, if any, is its last
+        counts = np.where(trains, n, 0).astype(np.uint32)[last]
+        every = every[last]
+        suffix, rest = every >> REST_BITS, (every & np.uint64((1 << int(REST_BITS)) - 1)).astype(np.uint32)
         edge = np.flatnonzero(np.concatenate(([True], suffix[1:] != suffix[:-1], [True])))
         for a, b in zip(edge[:-1], edge[1:]):
-            yield block, 1, int(suffix[a]), every[a:b].tobytes(), counts[a:b].tobytes()
+            yield block, 1, int(suffix[a]), rest[a:b].tobytes(), counts[a:b].tobytes()
         words: Counter = Counter()
         seen: set = set()
         for t, own in zip(texts, train):
@@ -257,7 +266,7 @@ def _gram_counts(stage: DataFrame) -> DataFrame:
                     key, grams, counts = k, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
                 n = np.frombuffer(c, np.uint32)
                 learnt = n > 0
-                held.append((np.frombuffer(a, np.uint64)[learnt], n[learnt].astype(np.uint64)))
+                held.append((in_order(k, np.frombuffer(a, np.uint32)[learnt]), n[learnt].astype(np.uint64)))
                 if len(held) >= 32:
                     merge()
         if key is not None:
@@ -286,7 +295,7 @@ def _short_levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer_grams(stage: DataFrame, counts: DataFrame, short: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
-    """(block, kind 3, key, a: float64 code lengths of the block's grams of that suffix)."""
+    """(block, kind 3, key, a: float32 code lengths of the block's grams of that suffix)."""
     import pyarrow as pa
 
     schema = "block long, kind int, key int, a binary"
@@ -303,13 +312,12 @@ def _answer_grams(stage: DataFrame, counts: DataFrame, short: tuple[np.ndarray,
         for b in batches:
             out = []
             for key, turn, block, a, c in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
-                grams = np.frombuffer(a, np.uint64)
                 if turn == 0:
-                    long = levels_of(grams, np.frombuffer(c, np.uint64), 2)
+                    long = levels_of(np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64), 2)
                     long[0].exclude(one, 8)
                     levels = [zero, one, *long]
                 else:
-                    out.append((block, 3, key, code_lengths(grams, levels).tobytes()))
+                    out.append((block, 3, key, code_lengths(in_order(key, np.frombuffer(a, np.uint32)), levels).astype(np.float32).tobytes()))
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
@@ -325,6 +333,7 @@ def _add_up(rows):
     costs: dict[int, np.ndarray] = {}
     counts: dict[int, np.ndarray] = {}
     own: dict[int, list[bytes]] = {}
+    asked: dict[int, bytes] = {}
     for kind, key, a, b in zip(*(rows[c].to_pylist() for c in ("kind", "key", "a", "b"))):
         if kind == 0:
             (n,) = struct.unpack_from("<q", a)
@@ -334,17 +343,27 @@ def _add_up(rows):
                 at += size
         elif kind == 2:
             own[key] = a.split(b"\n")
+        elif kind == 1:
+            asked[key] = a
         elif kind == 3:
-            costs[key] = np.frombuffer(a, np.float64)
+            costs[key] = np.frombuffer(a, np.float32)
         elif kind == 4:
             counts[key] = np.frombuffer(a, np.uint64)
-    code, starts = grams_of(texts)
-    every, index = np.unique(code, return_inverse=True)
-    suffix = suffix_of(every)
-    order = np.argsort(suffix, kind="stable")  # as the block has asked
-    cost = np.empty(len(every))
-    cost[order] = np.concatenate([costs[k] for k in sorted(costs)]) if costs else 0
-    score = np.add.reduceat(cost[index], starts[:-1]) if len(texts) else np.zeros(0)
+    keys = sorted(costs)
+    every = np.concatenate([np.uint64(k) << REST_BITS | np.frombuffer(asked[k], np.uint32).astype(np.uint64) for k in keys]) if keys else np.zeros(0, np.uint64)
+    cost = np.concatenate([costs[k] for k in keys]).astype(np.float64) if keys else np.zeros(0)
+    score = []
+    first = 0
+    while first < len(texts):  # some texts at a time
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= SCORE_BYTES:
+            size += len(texts[last])
+            last += 1
+        code, starts = grams_of(texts[first:last])
+        mine, index = np.unique(code, return_inverse=True)
+        score.append(np.add.reduceat(cost[np.searchsorted(every, mine)][index], starts[:-1]))
+        first = last
+    score = np.concatenate(score) if score else np.zeros(0)
     known = {w: np.log10(c + 1) for k, words in own.items() for w, c in zip(words, counts[k].tolist()) if c}
     base, n_tokens, n_known = [], [], []
     for t in texts:
@@ -373,7 +392,7 @@ def scored(docs: DataFrame) -> DataFrame:
     row = words.agg(F.sum("n"), F.sum("v")).first()
     n, v = (row[0] or 0) + trained, (row[1] or 0) + (trained > 0)
     none = F.lit(None).cast("binary").alias("b")
-    parts = stage.where("kind in (0, 2)").select("block", "kind", "key", "a", "b").union(grams.select("block", "kind", "key", "a", none)).union(words.select("block", "kind", "key", "a", none))
+    parts = stage.select("block", "kind", "key", "a", F.when(F.col("kind") == 0, F.col("b")).alias("b")).union(grams.select("block", "kind", "key", "a", none)).union(words.select("block", "kind", "key", "a", none))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
     sums = parts.groupBy("block").applyInArrow(_add_up, schema)
     end = F.log10(F.lit(float(trained + 1)))
