@@ -1,8 +1,9 @@
 """Token ids of whole texts with a public tokenizer file, word by word through a bounded memory of words seen.
 
 Both tokenizer kinds cut a text at white space before they merge, so the ids of a text are the ids of its words in order. Words
-repeat, so each Python worker keeps their ids; new words of a batch are encoded together by the tokenizers library. A text with
-white space other than single spaces and single line ends is encoded whole.
+repeat, so each Python worker keeps their ids. A new word is cut by the tokenizer's own pattern and goes straight to its merge
+model; words with characters beyond Latin-1, where normal forms matter, go through the whole tokenizer, and so does a text with
+white space other than single spaces and single line ends.
 """
 
 from __future__ import annotations
@@ -12,13 +13,24 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Words kept by a worker (about 100 MB); beyond it the memory starts anew.
-MOST_WORDS = 300_000
+import regex
 
-_ODD_BYTE_LEVEL = re.compile(r"[^\S \n]|[\x1c-\x1f]|[ \n][ \n]|^[ \n]|[ \n]$")
+#: Words kept by a worker (about 120 MB); beyond it the memory starts anew.
+MOST_WORDS = 500_000
+
+# The patterns by which the two tokenizer files cut words.
+_BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD_WORDS = re.compile(r"[\x1c-\x1f]")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """encode(texts) gives the ids of each text as little-endian uint32 bytes."""
 
@@ -29,7 +41,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.byte_level = byte_level
+        self.model = self.tokenizer.model
+        self.pattern = _BYTE_LEVEL if byte_level else _WORD_LEVEL
+        self.letters = str.maketrans(byte_letters())
         self.seen: dict[str, bytes] = {}
+        self.short: dict[str, list[int]] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -38,12 +54,50 @@ class WordIds:
         """Keys of the words: for byte-level ids a bare key stands for a space before it, one from \\n on for itself, \\r is the start."""
         if not self.byte_level:
             return None if _ODD_WORDS.search(text) else text.split()
-        if not text or _ODD_BYTE_LEVEL.search(text):
+        flat = text.replace("\n", " ")
+        if not text or " ".join(text.split()) != flat:
             return None
         words = text.replace("\n", " \n").split(" ")
         words[0] = "\r" + words[0]
         return words
 
+    def part(self, part: str) -> list[int]:
+        """Ids of one cut of a word, by the merge model."""
+        if len(part) <= 4 and part in self.short:
+            return self.short[part]
+        if part.isascii() and part[1:].isalnum() and part[0] != "\n":
+            spelt = "\u0120" + part[1:] if part[0] == " " else part
+        else:
+            spelt = part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        if len(part) <= 4:
+            self.short[part] = ids
+        return ids
+
+    def learn(self, keys: list[str]) -> None:
+        odd = []
+        for k in keys:
+            word = self.spelled(k)
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                odd.append(k)
+                continue
+            if not self.byte_level:
+                word = word.lower()
+            body = word[1:] if word[0] == " " else word
+            if body.isalpha():
+                parts = (word,)
+            elif body[:-1].isalpha() and body[-1] in ".,":
+                parts = (word[:-1], body[-1])
+            else:
+                parts = self.pattern.findall(word)
+            ids: list[int] = []
+            for p in parts:
+                ids += self.part(p)
+            self.seen[k] = array("I", ids).tobytes()
+        self.seen.update(zip(odd, self.whole([self.spelled(k) for k in odd])))
+
     def spelled(self, key: str) -> str:
         if not self.byte_level or key[0] == "\n":
             return key
@@ -60,10 +114,7 @@ class WordIds:
             if len(self.seen) + len(missing) > MOST_WORDS:
                 self.seen = {k: self.seen[k] for k in fresh if k in self.seen}
         fresh.difference_update(self.seen)
-        keys = list(fresh)
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            self.seen.update(zip(part, self.whole([self.spelled(k) for k in part])))
+        self.learn(list(fresh))
         get = self.seen.__getitem__
         return [b"".join(map(get, words)) if words is not None else self.whole([text])[0] for text, words in zip(texts, cut)]
 
