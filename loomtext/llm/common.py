@@ -70,3 +70,8 @@ def tokenizer_path(name: str) -> str:
 def part_rows(n_rows: int, per_part: int = 50_000) -> int:
     """How many chunks of about per_part rows hold n_rows."""
     return max(1, -(-n_rows // per_part))
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs whose doc_id is (how: left_semi) or is not (left_anti) in ids; null ids match null ids. ids has the one column `_id`."""
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table, texts_of
+from .common import bounded_batches, by_ids, materialize, table, texts_of
 from .components import components
 
 BITS = 64
@@ -232,6 +232,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without its near copies: of each component the row with the smallest doc_id stays, one of equal ids."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp"))
-    found = materialize(found.dropDuplicates(["_id", "_fp"]), "kept")
-    return docs.join(found.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    found = materialize(found.distinct(), "kept")
+    return by_ids(docs, found, "left_semi").dropDuplicates(["doc_id"])
