@@ -25,8 +25,9 @@ SEED = 42
 CHUNK_ROWS = 200_000
 
 
-def fingerprint_array(texts: list[str], words_per_shingle: int = 4) -> np.ndarray:
-    """uint64 fingerprints: lower-cased A-Z, words between ASCII white space, shingles with repeats; no word gives zero."""
+def fingerprint_array(texts: list[str], words_per_shingle: int = 4, distinct: bool = False) -> np.ndarray:
+    """uint64 fingerprints: lower-cased A-Z, words between ASCII white space, shingles with repeats (distinct: each once); no word
+    gives zero."""
     import xxhash
 
     out = np.zeros(len(texts), np.uint64)
@@ -49,8 +50,11 @@ def fingerprint_array(texts: list[str], words_per_shingle: int = 4) -> np.ndarra
         if not words:
             continue
         shingles = map(b" ".join, zip(*(words[j:] for j in range(k)))) if len(words) >= k else [b" ".join(words)]
-        parts.extend(map(digest, shingles, repeat(SEED)))
-        n = max(1, len(words) - k + 1)
+        if distinct:
+            shingles = sorted(set(shingles))
+        hashes = list(map(digest, shingles, repeat(SEED)))
+        parts += hashes
+        n = len(hashes)
         owners.append(i), counts.append(n)
         held += n
         if held >= 100_000:
@@ -60,13 +64,13 @@ def fingerprint_array(texts: list[str], words_per_shingle: int = 4) -> np.ndarra
     return out
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, distinct: bool = False) -> DataFrame:
     """(doc_id, fp long) for each row of docs; a null or empty text has fingerprint zero."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            fp = fingerprint_array(b.column(1).to_pylist(), words_per_shingle).view(np.int64)
+            fp = fingerprint_array(b.column(1).to_pylist(), words_per_shingle, distinct).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     bounded_batches(docs.sparkSession)
@@ -230,8 +234,67 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def shingle_set(text: str, words_per_shingle: int = 5) -> frozenset[bytes]:
+    words = text.encode().lower().split()
+    if len(words) < words_per_shingle:
+        return frozenset([b" ".join(words)])
+    return frozenset(map(b" ".join, zip(*(words[j:] for j in range(words_per_shingle)))))
+
+
+def _copies(groups: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id): documents of groups (key, doc_id, text) that are similar to one before them in their group that stays.
+
+    Groups come sorted and one after the other; of each only the shingles of documents that stay are held.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        key, sizes, where = None, [], {}
+        for b in batches:
+            out = []
+            for k, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if k != key:
+                    key, sizes, where = k, [], {}
+                own = shingle_set(text)
+                shared: dict[int, int] = {}
+                for x in own:
+                    for other in where.get(x, ()):
+                        shared[other] = shared.get(other, 0) + 1
+                if any(n >= similarity * (len(own) + sizes[o] - n) for o, n in shared.items()):
+                    out.append(doc_id)
+                    continue
+                for x in own:
+                    where.setdefault(x, []).append(len(sizes))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["doc_id"])
+
+    bounded_batches(groups.sparkSession)
+    return groups.select("key", "doc_id", "text").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "doc_id long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 6, part: int = 2000) -> DataFrame:
+    """(_id): documents whose five-word shingles are similar to those of a document that stays, of docs with distinct doc_ids.
+
+    Candidates are the components of a trie self-join of fingerprints over the set of words, which a changed word moves far less
+    than one over shingles; within a component shingles are compared exactly, so nothing goes that is not similar. A large
+    component is first gone through in parts of about `part` documents, by hash, then what stays of it as one.
+    """
+    fps = materialize(fingerprints(docs, 1, distinct=True).where("doc_id is not null"), "word-fp")
+    root = components(materialize(links(fps, budget), "word-links"))
+    groups = fps.join(root.select(F.col("u").alias("fp"), "v"), "fp", "left").select("doc_id", F.coalesce("v", "fp").alias("root"))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.join(sizes, "root"), "groups")
+    texts = texts_of(docs).join(groups, "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / part))
+    first = materialize(_copies(texts.withColumn("key", F.struct("root", salt.alias("salt")).cast("string")), similarity), "copies")
+    left = texts.join(first, "doc_id", "left_anti").where(F.col("n") > part).withColumn("key", F.col("root").cast("string"))
+    return materialize(first.union(_copies(left, similarity)).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without its near copies: of each component the row with the smallest doc_id stays, one of equal ids."""
+    """docs without its near copies. Of each component of near_duplicates() the row with the smallest doc_id stays, one of equal
+    ids; of what is left, documents go that share 0.8 or more of their five-word shingles with one that stays (near_copies)."""
     found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
     found = materialize(found.distinct(), "kept")
-    return by_ids(docs, found, "left_semi").dropDuplicates(["doc_id"])
+    one_each = materialize(by_ids(docs, found, "left_semi").dropDuplicates(["doc_id"]), "one-each")
+    return by_ids(one_each, near_copies(one_each), "left_anti")

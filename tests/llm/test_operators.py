@@ -419,6 +419,22 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{fps[d]:016x}", comp[d]) for d in fps}
 
 
+def test_similar_documents_go_and_others_stay(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randint(0, 3000)}" for _ in range(200)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base):
+        w = t.split()
+        w[100] = "changed"
+        rows += [(100 + i, " ".join(w)), (200 + i, t), (300 + i, " ".join(w[:60] + [f"n{k}" for k in range(140)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    assert kept == {*range(20), *range(300, 320)}
+    # in parts first: the same documents go
+    gone = {r._id for r in simhash.near_copies(docs, part=10).collect()}
+    assert gone == {*range(100, 120), *range(200, 220)}
+
+
 def test_components_of_long_chains(spark):
     from loomtext.llm.components import components
 
