@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ def _gather(units: list[str], room: int, count, tags: bool = False) -> list[str]
 
 def split_segments(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """(keys, part, parts, text, tokens): blocks cut into parts that fit; part is null for a block that stays whole."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def parts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_block(t, budget))
