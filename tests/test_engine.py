@@ -263,3 +263,35 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(at) == sorted(df.columns)
     want = sorted(str([plain(r[at.index(c)]) for c in sorted(at)]) for r in cur.fetchall())
     assert sorted(str([plain(r[c]) for c in sorted(at)]) for r in df.collect()) == want
+
+
+# visual novels
+
+SCRIPT = "---\ntitle: X\n---\n## A head\n\nPETRA (low): Come in.\nCLUE: box/key: a small key\nPlain words.\nFADE OUT.\n"
+
+
+def test_scripts_round_trip():
+    from loomtext.sources import novel
+
+    assert novel.split_frontmatter("---\nopen") == ("", "---\nopen")
+    rows = novel.read_script(SCRIPT)
+    assert [(n, k, t) for n, k, t in rows] == [(0, "heading", "A head"), (2, "para", "<1>PETRA (low):</1> Come in."), (3, "para", "a small key"), (4, "para", "Plain words.")]
+    assert novel.write_script(SCRIPT, {n: t for n, _, t in rows}) == SCRIPT
+    out = novel.write_script(SCRIPT, {2: "<1>PETRA (low):</1> Udji.", 4: "IVAN: now a speaker"})
+    assert "PETRA (low): Udji.\n" in out and "Plain words.\n" in out
+    assert sorted(["ch-10.md", "ch-2.md"], key=novel.chapter_key) == ["ch-2.md", "ch-10.md"]
+    assert novel.bible_names("# Characters\n- **Ana**: x\n# Places\n- **Hill**") == ["Ana"]
+    assert novel.server_events('data: {"a":1}\n\ndata: b\ndata: c\r\n\r\ndata: [DONE]\n\ndata: d') == ['{"a":1}', "b\nc"]
+
+
+def test_packs(spark):
+    import json
+
+    from loomtext.sources import novel
+
+    pack = {"packHash": "h", "chapters": [{"n": 1, "scenes": [{"id": "s1", "placeKey": "p", "beats": [{"id": "b1", "type": "line", "speakerKey": "ANA"}, {"id": "b2", "type": "narration"}]}]}]}
+    packs = spark.createDataFrame([("x", json.dumps(pack))], "pack_id string, json string")
+    catalogs = spark.createDataFrame([("x", "en", json.dumps({"b1": "Hi.", "b2": "Rain."}))], "pack_id string, lang string, json string")
+    rows = novel.pack_blocks(packs, catalogs).orderBy("ord").collect()
+    assert [(r.beat, r.text) for r in rows] == [("b1", "<1>ANA:</1> Hi."), ("b2", "Rain.")]
+    assert json.loads(novel.target_catalog(["b1", "b2"], {"b1": "Hi.", "b2": "Rain.", "z": "q"}, {"b1": "<1>ANA:</1> Bok."})) == {"b1": "Bok.", "b2": "Rain.", "z": "q"}
