@@ -24,9 +24,11 @@ from .tokens import word_ids
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Documents in a file, about; and bytes that a reader holds.
+#: Documents in a file, about (a file ends at twice as many); and bytes that a reader holds.
 DOCS_PER_FILE, READ_BYTES = 20_000, 4 << 20
-MANIFEST = "bucket int, path string, n_docs long, n_tokens long"
+#: Ranges of doc_id that tasks write; beyond, a task writes several files.
+MOST_RANGES = 10_000
+MANIFEST = "bucket int, part int, path string, n_docs long, n_tokens long"
 
 
 def masked(data: bytes) -> int:
@@ -98,30 +100,31 @@ def encoded(docs: DataFrame, edges: list[int], path: str | None = None, end_id:
 
 
 def written(docs: DataFrame, folder: str, path: str | None = None, per_file: int = DOCS_PER_FILE) -> DataFrame:
-    """Writes docs in ascending doc_id order (nulls first) and gives the manifest: bucket, path, n_docs, n_tokens."""
+    """Writes docs in ascending doc_id order (nulls first) and gives the manifest: bucket, part, path, n_docs, n_tokens."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    files = part_rows(docs.count(), per_file)
+    files = min(MOST_RANGES, part_rows(docs.count(), per_file))
     edges = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files)}) if files > 1 else []
-    rows = encoded(docs, edges, path).repartition(len(edges) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    rows = encoded(docs, edges, path).repartition(2 * (len(edges) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
 
     def run(batches):
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
-        bucket, out = None, []
+        bucket, part, out = None, 0, []
 
         def close():
             data.close()
             with system.open_output_stream(f"{root}/{name}.index") as f:
                 f.write(np.asarray(offsets, np.uint64).tobytes())
-            out.append((bucket, f"{folder}/{name}", len(offsets), tokens))
+            out.append((bucket, part, f"{folder}/{name}", len(offsets), tokens))
 
         for b in batches:
             for k, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if k != bucket:
+                if k != bucket or len(offsets) >= 2 * per_file:
                     if bucket is not None:
                         close()
+                    part = part + 1 if k == bucket else 0
                     bucket, name = k, f"part-{k:06d}-{uuid.uuid4().hex}.records"
                     data, offsets, tokens, at = system.open_output_stream(f"{root}/{name}"), [], 0, 0
                 record = frame(payload)
@@ -131,8 +134,8 @@ def written(docs: DataFrame, folder: str, path: str | None = None, per_file: int
                 tokens += (len(payload) - 10) // payload[9]
         if bucket is not None:
             close()
-        cols = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["bucket", "path", "n_docs", "n_tokens"])
+        cols = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     bounded_batches(spark)
     return materialize(rows.mapInArrow(run, MANIFEST), "manifest")

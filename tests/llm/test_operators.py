@@ -359,6 +359,17 @@ def test_records_round_trip(spark, texts):
     assert doc_id == sorted(texts)[3] and len(ids) == got[doc_id].n_tokens
 
 
+def test_records_of_a_range_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(records, "MOST_RANGES", 2)
+    docs = table(spark, SMALL, "documents")
+    manifest = records.written(docs, new_path(spark, "t"), per_file=10)
+    assert manifest.count() > 4 and max(r.n_docs for r in manifest.collect()) <= 20
+    at = 0
+    for r in sorted(records.read_back(manifest).collect()):
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_damage_is_seen():
     import io
 
