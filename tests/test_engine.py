@@ -295,3 +295,67 @@ def test_packs(spark):
     rows = novel.pack_blocks(packs, catalogs).orderBy("ord").collect()
     assert [(r.beat, r.text) for r in rows] == [("b1", "<1>ANA:</1> Hi."), ("b2", "Rain.")]
     assert json.loads(novel.target_catalog(["b1", "b2"], {"b1": "Hi.", "b2": "Rain.", "z": "q"}, {"b1": "<1>ANA:</1> Bok."})) == {"b1": "Bok.", "b2": "Rain.", "z": "q"}
+
+
+# agents
+
+
+def echo(change=lambda i, t: t.upper(), drop=(), extra=""):
+    import re
+
+    def model(messages):
+        found = re.findall(r'<seg id="([^"]*)">(.*?)</seg>', messages[-1]["content"], re.S)
+        return "".join(f'<seg id="{i}">{change(i, t)}</seg>' for i, t in found if i not in drop) + extra
+
+    return model
+
+
+def test_agents_salvage_fall_back_and_split():
+    from loomtext.operators import agents
+
+    segs = [(str(i), f"text {i}") for i in range(8)]
+    calls = []
+
+    def forgetful(messages):
+        calls.append(messages)
+        return echo(drop=("3",) if len(calls) == 1 else ())(messages)
+
+    texts, broken = agents.translate(segs, [forgetful])
+    assert texts == {i: t.upper() for i, t in segs} and not broken and len(calls) == 2
+    assert calls[1][-1]["content"].count("<seg") == 1
+    wrong = echo(extra='<seg id="99">x</seg>')
+    assert agents.translate(segs, [wrong, echo()])[0]["7"] == "TEXT 7"
+    small = lambda ms: echo()(ms) if ms[-1]["content"].count("<seg") <= 4 else "nothing"
+    assert agents.translate(segs, [small])[0]["0"] == "TEXT 0"
+    with pytest.raises(agents.Failure):
+        agents.translate(segs, [lambda ms: "no"])
+    assert agents.translate(segs, [echo(drop=("0",))], done={"0": "kept"})[0]["0"] == "kept"
+
+
+def test_agents_tags_and_proofreading():
+    from loomtext.operators import agents
+
+    segs = [("1", "  <1>a</1> b")]
+    assert agents.translate(segs, [echo(lambda i, t: "<1>A</1> B")]) == ({"1": "  <1>A</1> B"}, [])
+    assert agents.translate(segs, [echo(lambda i, t: "<1>A B")]) == ({"1": "  A B"}, ["1"])
+    assert agents.proofread(segs, {"1": "<1>A</1> B"}, echo(lambda i, t: t + "!")) == {"1": "  <1>A</1> B!"}
+    assert agents.proofread(segs, {"1": "<1>A</1> B"}, echo(lambda i, t: t * 3)) == {"1": "<1>A</1> B"}
+
+
+def test_agents_over_a_table(spark):
+    from loomtext.operators import agents
+
+    chunks = spark.createDataFrame([(1, [("a", "x"), ("b", "y")]), (2, [("c", "z")])], "chunk int, segments array<struct<id:string,text:string>>")
+    model = lambda ms: "".join(f'<seg id="{i}">T-{i}</seg>' for i in __import__("re").findall(r'<seg id="([^"]*)"', ms[-1]["content"]) if i != "c")
+    got = {r.chunk: r for r in agents.translated(chunks, [model]).collect()}
+    assert got[1].final == {"a": "T-a", "b": "T-b"} and got[1].error is None
+    assert got[2].final == {} and got[2].error
+
+
+def test_structured_answers():
+    from loomtext.operators import agents
+
+    schema = {"type": "object", "required": ["score", "note"], "properties": {"score": {"type": "number"}, "note": {"type": "string", "default": ""}, "issues": {"type": "array", "minItems": 1, "items": {"enum": ["a", "b"]}}}}
+    assert agents.structured('<think>x</think>ok ```json\n{"score": 7, "issues": ["a"]}\n```', schema) == []
+    assert agents.structured('{"score": "7", "issues": []}', schema) == ["score: not number", "issues: too few items"]
+    assert agents.structured("none", schema)[0].startswith("not a JSON object")
