@@ -284,3 +284,50 @@ def u6_ordered_distinct(spark, d):
     return c.groupBy("project").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "qa_model"))), lambda s: s.qa_model)), ",").alias("models"))
 
 
+
+
+_CLEAN = "regexp_replace(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(f"select doc_id, row_number() over (partition by doc_id order by blk)::int as n, {_CLEAN} as text from {SEGMENTS} where doc_id % 5 = 0")
+def k5_books(spark, d):
+    """Documents written as EPUB books and read again: a paragraph for each line."""
+    from ..sources import epub
+
+    lines = I.segments(spark, d).where("doc_id % 5 = 0").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda s: s.text).alias("lines"))
+
+    @F.pandas_udf("binary")
+    def book(all_lines):
+        return all_lines.map(lambda ls: epub.build("Book", [("One", [("para", x) for x in ls])]))
+
+    files = lines.select("doc_id", book("lines").alias("content"))
+    blocks = epub.read_blocks(files, key="doc_id").where("block_id like 'd1.%' and block_id <> 'd1.t'")
+    return blocks.select("doc_id", F.regexp_extract("block_id", r"\.([0-9]+)$", 1).cast("int").alias("n"), "text")
+
+
+@query(f"select doc_id, list_sort(list(blk::varchar)) as ids, sum(length(text))::bigint as chars from {SEGMENTS} where blk < 4 group by 1")
+def g5_translated(spark, d):
+    """Chunks through the translation agent, with a model that gives every segment back in capitals but forgets one at first."""
+    import re
+
+    from ..operators import agents
+
+    def model(messages):
+        found = re.findall(r'<seg id="([^"]*)">(.*?)</seg>', messages[-1]["content"], re.S)
+        lazy = "## Problem" not in messages[-1]["content"] and len(found) > 3
+        return "\n".join(f'<seg id="{i}">{t[::-1] if t.strip() == t else t}</seg>' for i, t in found[lazy:])
+
+    segs = I.segments(spark, d).where("blk < 4").select("doc_id", "blk", F.regexp_replace("text", "^[ \t\r\n]+|[ \t\r\n]+$", "").alias("text"))
+    chunks = segs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda s: F.struct(s.blk.cast("string").alias("id"), s.text.alias("text"))).alias("segments"))
+    done = agents.translated(chunks, [model])
+    return done.select("doc_id", F.array_sort(F.map_keys("final")).alias("ids"), F.aggregate(F.map_values("final"), F.lit(0).cast("long"), lambda a, t: a + F.length(t)).alias("chars"))
+
+
+@query(f"select doc_id, blk::int as line, text from {SEGMENTS} where blk between 1 and 20 and doc_id % 3 = 0 and regexp_matches(text, '^[A-Z][a-z]+ [a-z]')")
+def s25_script_lines(spark, d):
+    """Documents read as chapter scripts; plain lines are narration."""
+    from ..sources import novel
+
+    docs = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("path"), "text")
+    rows = novel.read_blocks(docs.withColumn("path", F.col("path").cast("string")))
+    return rows.where((F.col("line").between(1, 20)) & F.col("text").rlike("^[A-Z][a-z]+ [a-z]")).select(F.col("path").cast("long").alias("doc_id"), "line", "text")
