@@ -51,7 +51,8 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = max(0, len(flat) - ORDER)
     code = np.zeros(n, np.uint64)
     for i in (ORDER - 2, ORDER - 1, *range(ORDER - 2), ORDER):
-        code = (code << np.uint64(8)) | flat[i : n + i]
+        code <<= np.uint64(8)
+        code |= flat[i : n + i]
     return code[flat[ORDER:] != START], np.cumsum([0] + [len(t) + 1 for t in texts])
 
 
@@ -139,8 +140,23 @@ def code_lengths(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return logp
 
 
+def squeeze(numbers: np.ndarray, rising: bool = False) -> bytes:
+    """uint32 numbers as compressed bytes, by byte place; rising ones by their differences."""
+    own = np.diff(numbers, prepend=np.uint32(0)) if rising else numbers
+    return zlib.compress(own.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def expand(data: bytes, rising: bool = False) -> np.ndarray:
+    own = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.cumsum(own, dtype=np.uint32) if rising else own
+
+
 def _pack(words: list[bytes]) -> bytes:
-    return b"\n".join(words)
+    return zlib.compress(b"\n".join(words), 1)
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    return zlib.decompress(data).split(b"\n")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -156,8 +172,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
         head = struct.pack("<q", len(ids)) + b"".join(struct.pack("<qBq", d or 0, d is None, len(t)) for d, t in zip(ids, texts))
         yield block, 0, 0, head, zlib.compress(b"".join(texts), 1)
         code, starts = grams_of(texts)
-        weight = np.repeat(train, np.diff(starts)).astype(np.uint64)
-        flagged, n = np.unique(code << np.uint64(1) | weight, return_counts=True)
+        code <<= np.uint64(1)
+        code |= np.repeat(train, np.diff(starts)).astype(np.uint8)
+        code.sort()
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        flagged, n = code[first], np.diff(np.append(first, len(code)))
+        del code
         trains = (flagged & np.uint64(1)).astype(bool)
         every = flagged >> np.uint64(1)
         last = np.concatenate((every[1:] != every[:-1], [True]))  # a gram's row with training counts, if any, is its last
@@ -166,7 +186,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         suffix, rest = every >> REST_BITS, (every & np.uint64((1 << int(REST_BITS)) - 1)).astype(np.uint32)
         edge = np.flatnonzero(np.concatenate(([True], suffix[1:] != suffix[:-1], [True])))
         for a, b in zip(edge[:-1], edge[1:]):
-            yield block, 1, int(suffix[a]), rest[a:b].tobytes(), counts[a:b].tobytes()
+            yield block, 1, int(suffix[a]), squeeze(rest[a:b], True), squeeze(counts[a:b])
         words: Counter = Counter()
         seen: set = set()
         for t, own in zip(texts, train):
@@ -182,7 +202,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             buckets.setdefault(zlib.crc32(w) % WORD_BUCKETS, []).append((w, c))
         for k, own in buckets.items():
             own.sort()
-            yield block, 2, k, _pack([w for w, _ in own]), np.array([c for _, c in own], np.uint32).tobytes()
+            yield block, 2, k, _pack([w for w, _ in own]), squeeze(np.array([c for _, c in own], np.uint32))
 
     def run(batches):
         part, serial, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -225,14 +245,14 @@ def _answer_words(stage: DataFrame) -> DataFrame:
         total: Counter = Counter()
         asked = []
         for block, words, counts in zip(rows["block"].to_pylist(), rows["a"].to_pylist(), rows["b"].to_pylist()):
-            words = words.split(b"\n")
+            words = _unpack(words)
             asked.append((block, words))
-            for w, c in zip(words, np.frombuffer(counts, np.uint32).tolist()):
+            for w, c in zip(words, expand(counts).tolist()):
                 if c:
                     total[w] += c
         n, v, key = sum(total.values()), len(total), rows["key"][0].as_py()
         get = total.get
-        out = [(block, 4, key, np.array([get(w, 0) for w in words], np.uint64).tobytes(), n if i == 0 else 0, v if i == 0 else 0) for i, (block, words) in enumerate(asked)]
+        out = [(block, 4, key, zlib.compress(np.array([get(w, 0) for w in words], np.uint64).tobytes(), 1), n if i == 0 else 0, v if i == 0 else 0) for i, (block, words) in enumerate(asked)]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
@@ -264,9 +284,9 @@ def _gram_counts(stage: DataFrame) -> DataFrame:
                     if key is not None:
                         yield row()
                     key, grams, counts = k, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-                n = np.frombuffer(c, np.uint32)
+                n = expand(c)
                 learnt = n > 0
-                held.append((in_order(k, np.frombuffer(a, np.uint32)[learnt]), n[learnt].astype(np.uint64)))
+                held.append((in_order(k, expand(a, True)[learnt]), n[learnt].astype(np.uint64)))
                 if len(held) >= 32:
                     merge()
         if key is not None:
@@ -317,7 +337,7 @@ def _answer_grams(stage: DataFrame, counts: DataFrame, short: tuple[np.ndarray,
                     long[0].exclude(one, 8)
                     levels = [zero, one, *long]
                 else:
-                    out.append((block, 3, key, code_lengths(in_order(key, np.frombuffer(a, np.uint32)), levels).astype(np.float32).tobytes()))
+                    out.append((block, 3, key, code_lengths(in_order(key, expand(a, True)), levels).astype(np.float32).tobytes()))
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
@@ -342,15 +362,15 @@ def _add_up(rows):
                 ids.append(None if null else d), texts.append(flat[at : at + size])
                 at += size
         elif kind == 2:
-            own[key] = a.split(b"\n")
+            own[key] = _unpack(a)
         elif kind == 1:
             asked[key] = a
         elif kind == 3:
             costs[key] = np.frombuffer(a, np.float32)
         elif kind == 4:
-            counts[key] = np.frombuffer(a, np.uint64)
+            counts[key] = np.frombuffer(zlib.decompress(a), np.uint64)
     keys = sorted(costs)
-    every = np.concatenate([np.uint64(k) << REST_BITS | np.frombuffer(asked[k], np.uint32).astype(np.uint64) for k in keys]) if keys else np.zeros(0, np.uint64)
+    every = np.concatenate([np.uint64(k) << REST_BITS | expand(asked[k], True).astype(np.uint64) for k in keys]) if keys else np.zeros(0, np.uint64)
     cost = np.concatenate([costs[k] for k in keys]).astype(np.float64) if keys else np.zeros(0)
     score = []
     first = 0
