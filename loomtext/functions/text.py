@@ -219,3 +219,54 @@ def render_template(template: Column | str, values: dict[str, Column]) -> Column
 
 def cost_usd(price_in, price_cached, price_out, tokens_in, cached, tokens_out) -> Column:
     return (F.greatest(F.lit(0), col(tokens_in) - col(cached)) * col(price_in) + col(cached) * col(price_cached) + col(tokens_out) * col(price_out)) / 1_000_000
+
+
+def key_name(c: Column | str) -> Column:
+    """The name under which a provider's key is kept."""
+    return F.concat(F.lit("CUSTOM_"), F.regexp_replace(F.upper(col(c)), "[^A-Z0-9]+", "_"), F.lit("_API_KEY"))
+
+
+def export_refusal(c: Column | str, start: str = "export refused") -> Column:
+    """The refusal within an error's text, from its start on; null where there is none."""
+    t = col(c)
+    return F.when(F.instr(t, start) > 0, F.substring(t, F.instr(t, start), F.length(t)))
+
+
+def listed(numbers: Column | str, most: int = 20) -> Column:
+    """Numbers as a list, the first `most` and how many more."""
+    xs = col(numbers)
+    shown = F.array_join(F.slice(xs, 1, most).cast("array<string>"), ", ")
+    return F.when(F.size(xs) > most, F.concat(shown, F.lit(" and "), (F.size(xs) - most).cast("string"), F.lit(" more"))).otherwise(shown)
+
+
+def looks_scanned(chars: Column | str, pages: Column | str) -> Column:
+    """Whether a document has too little text to have a text layer."""
+    return (col(chars) < 20) | (col(chars) < col(pages) * 5)
+
+
+def discoverable(model_id: Column | str, skip: list[str], text_only: Column, price_in: Column, price_out: Column, free_only: Column) -> Column:
+    """Whether a listed model is offered: no word to skip in its id, text only, a known price, free where only free ones are wanted."""
+    word = F.lit(False)
+    for w in skip:
+        word = word | F.lower(col(model_id)).contains(w.lower())
+    return ~word & text_only & price_in.isNotNull() & price_out.isNotNull() & (~free_only | ((price_in == 0) & (price_out == 0)))
+
+
+def is_paid(local: Column, price_in: Column, price_out: Column, price_cached: Column) -> Column:
+    return ~local & ((price_in > 0) | (price_out > 0) | (price_cached > 0))
+
+
+def brief_additions(existing: Column | str, fields: dict[str, tuple[Column, list[str]]], characters: Column) -> Column:
+    """Lines that a generated brief adds to a text: fields whose words it lacks, characters (struct name, gender, note) it does not
+    name, under a heading unless it has one."""
+    have = F.lower(col(existing))
+    lines = []
+    for label, (value, words_) in fields.items():
+        known = F.lit(False)
+        for w in words_:
+            known = known | have.contains(w)
+        lines.append(F.when(~known & (trim_ws(value) != ""), F.concat(F.lit(f"- {label}: "), trim_ws(value))))
+    fresh = F.filter(characters, lambda c: (trim_ws(c["name"]) != "") & ~have.contains(F.lower(trim_ws(c["name"]))))
+    rows = F.transform(fresh, lambda c: F.concat(F.lit("- "), c["name"], F.coalesce(F.concat(F.lit(" ("), c["gender"], F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), c["note"]), F.lit(""))))
+    head = F.when((F.size(fresh) > 0) & ~col(existing).rlike(r"(?im)^#+\s*characters"), F.array(F.lit("## Characters"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.concat(F.array_compact(F.array(*lines)), head, rows)

@@ -331,3 +331,82 @@ def s25_script_lines(spark, d):
     docs = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("path"), "text")
     rows = novel.read_blocks(docs.withColumn("path", F.col("path").cast("string")))
     return rows.where((F.col("line").between(1, 20)) & F.col("text").rlike("^[A-Z][a-z]+ [a-z]")).select(F.col("path").cast("long").alias("doc_id"), "line", "text")
+
+
+@query("select n_nationkey, 'CUSTOM_' || regexp_replace(upper(n_name || '-x.1'), '[^A-Z0-9]+', '_', 'g') || '_API_KEY' as name from nation")
+def f12_key_names(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", X.key_name(F.concat("n_name", F.lit("-x.1"))).alias("name"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'export refused: ' || event_type end as refusal from events")
+def f33_refusals(spark, d):
+    t = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Error invoking: Error: export refused: "), "event_type")).otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", X.export_refusal(t).alias("refusal"))
+
+
+@query("select l_suppkey, case when len(xs) > 20 then array_to_string(xs[1:20], ', ') || ' and ' || (len(xs) - 20) || ' more' else array_to_string(xs, ', ') end as list from (select l_suppkey, list_sort(list(distinct l_partkey)) as xs from lineitem group by 1)")
+def o9_capped_lists(spark, d):
+    xs = F.array_sort(F.collect_set("l_partkey"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(X.listed(xs).alias("list"))
+
+
+@query("select doc_id, (length(text) < 20 or length(text) < (doc_id % 50) * 5) as scanned from documents")
+def s19_scanned(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"), (F.col("doc_id") % 50).alias("pages"))
+    return rows.select("doc_id", X.looks_scanned("chars", "pages").alias("scanned"))
+
+
+@query("select p_partkey, (not contains(lower(p_type), 'tin') and p_size % 2 = 0 and p_size % 7 > 0 and (p_size % 3 > 0 or p_retailprice < 1000)) as offered, (p_size % 5 > 0 and p_retailprice >= 1000) as paid from part")
+def p6_offered_models(spark, d):
+    """Listed models by id, kind and price; parts stand for models."""
+    s = F.col("p_size")
+    price = F.when(F.col("p_retailprice") >= 1000, 1.0).otherwise(0.0)
+    known = F.when(s % 7 > 0, price)
+    offered = X.discoverable("p_type", ["TIN"], s % 2 == 0, known, known, s % 3 == 0)
+    return table(spark, d, "part").select("p_partkey", offered.alias("offered"), X.is_paid(s % 5 == 0, price, F.lit(0.0), F.lit(0.0)).alias("paid"))
+
+
+@query("select n_nationkey, case when n_nationkey % 2 = 0 then ['- Tone: dry'] else []::varchar[] end || case when n_nationkey % 3 = 0 then ['## Characters', '- Ana (f): tall'] else []::varchar[] end as lines from nation")
+def f32_brief_additions(spark, d):
+    k = F.col("n_nationkey")
+    have = F.concat(F.lit("A book. "), F.when(k % 2 == 1, "Its TONE is light. ").otherwise(""), F.when(k % 3 > 0, "With ana.").otherwise(""))
+    people = F.array(F.struct(F.lit("Ana").alias("name"), F.lit("f").alias("gender"), F.lit("tall").alias("note")))
+    return table(spark, d, "nation").select("n_nationkey", X.brief_additions(have, {"Tone": (F.lit(" dry "), ["tone"]), "Genre": (F.lit(" "), ["genre"])}, people).alias("lines"))
+
+
+@query("select distinct user_id, event_type as name from events where event_type not in (select event_type from events where event_id % 50 = 0 and events.user_id < 5)")
+def j12_missing_names(spark, d):
+    """Names without a row of their own, each once."""
+    e = table(spark, d, "events")
+    have = e.where("event_id % 50 = 0 and user_id < 5").select(F.col("event_type").alias("name"))
+    return e.select("user_id", F.col("event_type").alias("name")).join(have, "name", "left_anti").distinct()
+
+
+@query("select doc_id, list_sort(list(distinct k)) as missing from (select doc_id, unnest(['en', 'fr', 'de', 'es']) as k, lang from documents) where k <> lang group by 1")
+def j17_missing_seeds(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_sort(F.array_except(F.array(*map(F.lit, ["en", "fr", "de", "es"])), F.array("lang"))).alias("missing"))
+
+
+@query("select event_type, regexp_replace(lower(event_type), '[0-9]+', '#', 'g') as k, count(distinct user_id) as pages from events group by 1, 2")
+def a8_distinct_pages(spark, d):
+    return table(spark, d, "events").groupBy("event_type", X.normalize_repeat("event_type").alias("k")).agg(F.countDistinct("user_id").alias("pages"))
+
+
+@query("select user_id, count(*) filter (event_id % 3 = 0) as waiting, count(*) filter (event_id % 3 = 1) as leased from events group by 1")
+def a15_queue_counts(spark, d):
+    k = F.col("event_id") % 3
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(k == 0).alias("waiting"), F.count_if(k == 1).alias("leased"))
+
+
+@query(f"""with o as (select doc_id, text, blk, row_number() over (partition by doc_id, text order by blk) as i from {SEGMENTS}), n as (select doc_id, blk, case when blk % 11 = 3 then text || '!' else text end as text from {SEGMENTS} where (doc_id + blk) % 7 <> 0),
+ m as (select doc_id, text, blk, row_number() over (partition by doc_id, text order by blk) as i from n)
+ select doc_id, count(o.blk) filter (m.blk is not null) as kept, count(m.blk) filter (o.blk is null) as new, count(o.blk) filter (m.blk is null) as removed from o full join m using (doc_id, text, i) group by 1""")
+def a19_refresh_report(spark, d):
+    """Blocks kept, new and removed between two versions, by copies of equal text."""
+    place = Window.partitionBy("doc_id", "text").orderBy("blk")
+    old = I.segments(spark, d)
+    new = old.where("(doc_id + blk) % 7 <> 0").withColumn("text", F.when(F.col("blk") % 11 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    n = lambda df, c: df.select("doc_id", "text", F.col("blk").alias(c), F.row_number().over(place).alias("i"))
+    both = n(old, "a").join(n(new, "b"), ["doc_id", "text", "i"], "full")
+    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    return both.groupBy("doc_id").agg(F.count_if(a & b).alias("kept"), F.count_if(~a).alias("new"), F.count_if(~b).alias("removed"))
