@@ -10,13 +10,14 @@ copies gives links that grow with its size, not with its square.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_ids, materialize, table, texts_of
+from .common import bounded_batches, by_ids, discard, materialize, table, texts_of
 from .components import components
 
 BITS = 64
@@ -241,6 +242,136 @@ def shingle_set(text: str, words_per_shingle: int = 5) -> frozenset[bytes]:
     return frozenset(map(b" ".join, zip(*(words[j:] for j in range(words_per_shingle)))))
 
 
+#: Buckets of shingle counts (the only table that goes to the driver), and the bits of a hash below its bucket.
+BUCKET_BITS = 20
+BELOW = np.uint64(64 - BUCKET_BITS)
+POSTINGS = "h long, o long, size int, pos int"
+
+
+def shingle_hashes(text: str) -> np.ndarray:
+    """A uint64 hash of each distinct five-word shingle."""
+    import xxhash
+
+    own = shingle_set(text)
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in own), np.uint64, len(own))
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """How many shingles of docs (each once a document) fall into each bucket of hashes."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                np.add.at(total, (shingle_hashes(text) >> BELOW).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    bounded_batches(docs.sparkSession)
+    sums = docs.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def postings(docs: DataFrame, similarity: float) -> DataFrame:
+    """(h, o, size, pos): the first shingles of each document of docs (o, text), in one order of all shingles, rare ones first.
+
+    Two documents of at least that similarity share one of the size - ceil(similarity * size) + 1 shingles that each gives, in
+    whatever order, so none is missed. The order is by the count of the shingle's bucket, then by hash.
+    """
+    import pyarrow as pa
+
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
+
+    def run(batches):
+        often = counts.value
+        for b in batches:
+            cols = [[], [], [], []]
+            for o, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = shingle_hashes(text)
+                n = len(h)
+                first = n - math.ceil(similarity * n - 1e-9) + 1
+                h = h[np.lexsort((h, often[(h >> BELOW).astype(np.int64)]))[:first]]
+                for c, x in zip(cols, (h.view(np.int64), np.full(len(h), o), np.full(len(h), n), np.arange(len(h)))):
+                    c.append(x)
+            if cols[0]:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, kinds)], names=["h", "o", "size", "pos"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, POSTINGS)
+
+
+def in_runs(rows: DataFrame, f, schema: str) -> DataFrame:
+    """f over the columns of rows, sorted by h, size and o, for many whole runs of equal h at a time; f gives columns of schema."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        held, n = [], 0
+
+        def done(cols):
+            for out in f(*cols):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+            n += batch.num_rows
+            if n >= CHUNK_ROWS:
+                cols = [np.concatenate(z) for z in zip(*held)]
+                new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+                held, n = [cols], len(cols[0])
+                if len(new):
+                    cut = new[-1] + 1  # the last run may go on in the next batch
+                    yield from done([c[:cut] for c in cols])
+                    held, n = [[c[cut:] for c in cols]], n - cut
+        if n:
+            yield from done([np.concatenate(z) for z in zip(*held)])
+
+    bounded_batches(rows.sparkSession, 50_000)
+    return rows.repartition("h").sortWithinPartitions("h", "size", "o").mapInArrow(run, schema)
+
+
+def windows(h: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each posting the range of those of its run whose sizes allow the similarity."""
+    run = np.cumsum(np.concatenate(([0], h[1:] != h[:-1]))).astype(np.int64) << 32
+    key = run + size
+    low, high = np.ceil(similarity * size - 1e-9).astype(np.int64), np.floor(size / similarity + 1e-9).astype(np.int64)
+    return np.searchsorted(key, run + low), np.searchsorted(key, run + high, "right")
+
+
+def candidates(rows: DataFrame, similarity: float, part: int = 1_000_000) -> DataFrame:
+    """(u, v), u < v: documents of postings that may be similar, none that is left out; made about `part` at a time.
+
+    A pair goes by its first shared shingle if what comes after it in both is too little for the similarity.
+    """
+
+    def pairs(h, o, size, pos):
+        lo, hi = windows(h, size, similarity)
+        own = np.flatnonzero(hi - lo > 1)
+        sums = np.cumsum(hi[own] - lo[own])
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + part, "right")))
+            x = own[at:to]
+            n = hi[x] - lo[x]
+            i = np.repeat(x, n)
+            j = np.arange(len(i)) + np.repeat(lo[x] - (np.cumsum(n) - n), n)
+            i, j = (z[o[i] < o[j]] for z in (i, j))
+            both = np.ceil(similarity / (1 + similarity) * (size[i].astype(np.int64) + size[j]) - 1e-9)
+            near = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= both
+            if near.any():
+                yield np.unique(np.stack((o[i[near]], o[j[near]])), axis=1)
+            at = to
+
+    return in_runs(rows, pairs, "u long, v long").distinct()
+
+
 def _copies(groups: DataFrame, similarity: float) -> DataFrame:
     """(doc_id): documents of groups (key, doc_id, text) that are similar to one before them in their group that stays.
 
@@ -272,19 +403,21 @@ def _copies(groups: DataFrame, similarity: float) -> DataFrame:
     return groups.select("key", "doc_id", "text").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "doc_id long")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, budget: int = 6, part: int = 2000) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, part: int = 2000) -> DataFrame:
     """(_id): documents whose five-word shingles are similar to those of a document that stays, of docs with distinct doc_ids.
 
-    Candidates are the components of a trie self-join of fingerprints over the set of words, which a changed word moves far less
-    than one over shingles; within a component shingles are compared exactly, so nothing goes that is not similar. A large
-    component is first gone through in parts of about `part` documents, by hash, then what stays of it as one.
+    Candidates are all pairs that share one of their rarest shingles (postings), which every similar pair does; within a
+    component of candidates shingles are compared exactly, so nothing goes that is not similar. A large component is first gone
+    through in parts of about `part` documents, by hash, then what stays of it as one.
     """
-    fps = materialize(fingerprints(docs, 1, distinct=True).where("doc_id is not null"), "word-fp")
-    root = components(materialize(links(fps, budget), "word-links"))
-    groups = fps.join(root.select(F.col("u").alias("fp"), "v"), "fp", "left").select("doc_id", F.coalesce("v", "fp").alias("root"))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    own = texts_of(docs).where("doc_id is not null")
+    rows = materialize(postings(own.withColumnRenamed("doc_id", "o"), similarity), "postings")
+    root = components(materialize(candidates(rows, similarity), "candidates"))
+    discard(rows)
+    groups = root.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).union(root.select("v", "v").distinct())
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     groups = materialize(groups.join(sizes, "root"), "groups")
-    texts = texts_of(docs).join(groups, "doc_id")
+    texts = own.join(groups, "doc_id")
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / part))
     first = materialize(_copies(texts.withColumn("key", F.struct("root", salt.alias("salt")).cast("string")), similarity), "copies")
     left = texts.join(first, "doc_id", "left_anti").where(F.col("n") > part).withColumn("key", F.col("root").cast("string"))

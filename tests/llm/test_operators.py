@@ -446,6 +446,19 @@ def test_similar_documents_go_and_others_stay(spark):
     assert gone == {*range(100, 120), *range(200, 220)}
 
 
+def test_no_similar_pair_is_missed(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice((40, 150, 600)))]
+        rows.append((i, " ".join(w)))
+        rows.append((100 + i, " ".join(w + [f"n{rng.randint(0, 3000)}" for _ in range(len(w) * 18 // 100)])))
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    assert all(len(sets[i] & sets[100 + i]) >= 0.8 * len(sets[i] | sets[100 + i]) for i in range(60))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r._id for r in simhash.near_copies(docs).collect()} == {*range(100, 160)}
+
+
 def test_components_of_long_chains(spark):
     from loomtext.llm.components import components
 
