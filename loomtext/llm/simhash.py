@@ -11,6 +11,7 @@ copies gives links that grow with its size, not with its square.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -245,6 +246,10 @@ def shingle_set(text: str, words_per_shingle: int = 5) -> frozenset[bytes]:
 #: Buckets of shingle counts (the only table that goes to the driver), and the bits of a hash below its bucket.
 BUCKET_BITS = 20
 BELOW = np.uint64(64 - BUCKET_BITS)
+#: How often documents without a smaller candidate are taken first, at most; the result is the same for any number.
+ROUNDS = 2
+#: Buckets of document ids; those of candidates are broadcast.
+TEXT_BUCKETS = 1 << 21
 POSTINGS = "h long, o long, size int, pos int"
 
 
@@ -348,12 +353,13 @@ def windows(h: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndar
 def candidates(rows: DataFrame, similarity: float, part: int = 1_000_000) -> DataFrame:
     """(u, v), u < v: documents of postings that may be similar, none that is left out; made about `part` at a time.
 
-    A pair goes by its first shared shingle if what comes after it in both is too little for the similarity.
+    With a column `leads` u is only of its postings. A pair goes by its first shared shingle if what comes after it in both is
+    too little for the similarity.
     """
 
-    def pairs(h, o, size, pos):
+    def pairs(h, o, size, pos, leads=True):
         lo, hi = windows(h, size, similarity)
-        own = np.flatnonzero(hi - lo > 1)
+        own = np.flatnonzero((hi - lo > 1) & leads)
         sums = np.cumsum(hi[own] - lo[own])
         at = 0
         while at < len(own):
@@ -372,56 +378,114 @@ def candidates(rows: DataFrame, similarity: float, part: int = 1_000_000) -> Dat
     return in_runs(rows, pairs, "u long, v long").distinct()
 
 
-def _copies(groups: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id): documents of groups (key, doc_id, text) that are similar to one before them in their group that stays.
+def least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The smallest of values[lo[i]:hi[i]] for each i; no range is empty."""
+    out, level = values.copy(), values
+    power = np.log2(hi - lo).astype(np.int64)
+    for k in range(int(power.max(initial=0)) + 1):
+        x = np.flatnonzero(power == k)
+        out[x] = np.minimum(level[lo[x]], level[hi[x] - (1 << k)])
+        level = np.minimum(level[: -(1 << k)], level[1 << k :])
+    return out
 
-    Groups come sorted and one after the other; of each only the shingles of documents that stay are held.
-    """
+
+def _shared(rows: DataFrame, similarity: float) -> DataFrame:
+    """The postings whose run has another document of a fitting size."""
+
+    def run(h, o, size, pos):
+        lo, hi = windows(h, size, similarity)
+        x = hi - lo > 1
+        yield h[x], o[x], size[x], pos[x]
+
+    return in_runs(rows, run, POSTINGS)
+
+
+def _led(rows: DataFrame, similarity: float) -> DataFrame:
+    """(o): documents that some run shows with a smaller one of a fitting size."""
+
+    def run(h, o, size, pos):
+        yield (np.unique(o[least(o, *windows(h, size, similarity)) < o]),)
+
+    return in_runs(rows, run, "o long").distinct()
+
+
+def _similar(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts, of own (o, text), share their shingles to that similarity, compared exactly."""
+    import pyarrow as pa
+
+    def run(batches):
+        last = [(None, frozenset())] * 2
+        for b in batches:
+            out = []
+            for u, v, *texts in zip(*(b.column(i).to_pylist() for i in range(4))):
+                last = [old if old[0] == i else (i, shingle_set(t)) for old, i, t in zip(last, (u, v), texts)]
+                (_, x), (_, y) = last
+                n = len(x & y)
+                if n >= similarity * (len(x) + len(y) - n):
+                    out.append((u, v))
+            u, v = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    bounded_batches(own.sparkSession, 200)
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(TEXT_BUCKETS))
+    asked = pairs.select(bucket("u").alias("bucket")).union(pairs.select(bucket("v"))).distinct()
+    own = own.join(F.broadcast(asked), bucket("o") == asked["bucket"], "left_semi")  # most other texts stay where they are
+    both = pairs.join(own.select(F.col("o").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("o").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _dropped(links: DataFrame) -> DataFrame:
+    """(o): gone through upwards, a document goes if links (u, v), u < v, join it to a smaller one that stays. A task holds the ids
+    that go of one component of links."""
     import pyarrow as pa
 
+    root = components(links).select(F.col("u").alias("v"), F.col("v").alias("root"))
+
     def run(batches):
-        key, sizes, where = None, [], {}
+        key, gone = None, set()
         for b in batches:
             out = []
-            for k, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for k, v, u in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if k != key:
-                    key, sizes, where = k, [], {}
-                own = shingle_set(text)
-                shared: dict[int, int] = {}
-                for x in own:
-                    for other in where.get(x, ()):
-                        shared[other] = shared.get(other, 0) + 1
-                if any(n >= similarity * (len(own) + sizes[o] - n) for o, n in shared.items()):
-                    out.append(doc_id)
-                    continue
-                for x in own:
-                    where.setdefault(x, []).append(len(sizes))
-                sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["doc_id"])
-
-    bounded_batches(groups.sparkSession)
-    return groups.select("key", "doc_id", "text").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "doc_id long")
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, part: int = 2000) -> DataFrame:
+                    key, gone = k, set()
+                if u not in gone and v not in gone:
+                    gone.add(v)
+                    out.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["o"])
+
+    bounded_batches(links.sparkSession, 50_000)
+    rows = links.join(root, "v").select("root", "v", "u").repartition("root").sortWithinPartitions("root", "v", "u")
+    return rows.mapInArrow(run, "o long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, part: int = 1_000_000) -> DataFrame:
     """(_id): documents whose five-word shingles are similar to those of a document that stays, of docs with distinct doc_ids.
 
-    Candidates are all pairs that share one of their rarest shingles (postings), which every similar pair does; within a
-    component of candidates shingles are compared exactly, so nothing goes that is not similar. A large component is first gone
-    through in parts of about `part` documents, by hash, then what stays of it as one.
+    One rule for any number of documents: in the order of doc_id, a document goes if it is similar to a smaller one that stays.
+    Candidates are all pairs that share one of their rarest shingles (postings), which every similar pair does; shingles are then
+    compared exactly. Documents without a smaller candidate stay, and what is similar to them goes, a few times over, so that a
+    group of many copies is compared with its first ones only; the links of what is left decide the rest by the same rule.
+    `part` is how many candidates are made at a time; the result does not depend on it.
     """
-    own = texts_of(docs).where("doc_id is not null")
-    rows = materialize(postings(own.withColumnRenamed("doc_id", "o"), similarity), "postings")
-    root = components(materialize(candidates(rows, similarity), "candidates"))
-    discard(rows)
-    groups = root.select(F.col("u").alias("doc_id"), F.col("v").alias("root")).union(root.select("v", "v").distinct())
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    groups = materialize(groups.join(sizes, "root"), "groups")
-    texts = own.join(groups, "doc_id")
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / part))
-    first = materialize(_copies(texts.withColumn("key", F.struct("root", salt.alias("salt")).cast("string")), similarity), "copies")
-    left = texts.join(first, "doc_id", "left_anti").where(F.col("n") > part).withColumn("key", F.col("root").cast("string"))
-    return materialize(first.union(_copies(left, similarity)).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    own = texts_of(docs).where("doc_id is not null").withColumnRenamed("doc_id", "o")
+    every = materialize(postings(own, similarity), "postings")
+    rows = materialize(_shared(every, similarity), "postings")
+    discard(every)
+    gone = []
+    for _ in range(ROUNDS):
+        led = materialize(_led(rows, similarity), "led")
+        leads = rows.join(led.withColumn("led", F.lit(True)), "o", "left").select(*rows.columns, F.col("led").isNull().alias("leads"))
+        pairs = materialize(candidates(leads, similarity, part), "candidates")
+        gone.append(materialize(_similar(pairs, own, similarity).select(F.col("v").alias("o")).distinct(), "copies"))
+        after = materialize(rows.join(led, "o", "left_semi").join(gone[-1], "o", "left_anti").select(*rows.columns), "postings")
+        for done in (rows, led, pairs):
+            discard(done)
+        rows = after
+        if gone[-1].isEmpty():
+            break
+    pairs = materialize(candidates(rows, similarity, part), "candidates")
+    gone.append(materialize(_dropped(materialize(_similar(pairs, own, similarity), "links")), "copies"))
+    return reduce(DataFrame.union, gone).select(F.col("o").alias("_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

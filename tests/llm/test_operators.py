@@ -459,6 +459,24 @@ def test_no_similar_pair_is_missed(spark):
     assert {r._id for r in simhash.near_copies(docs).collect()} == {*range(100, 160)}
 
 
+def test_survivors_do_not_depend_on_parts(spark, monkeypatch):
+    rng = random.Random(23)
+    rows = []
+    for i in range(40):  # steps of a chain are similar, every other one is not
+        w = [f"w{rng.randint(0, 3000)}" for _ in range(480)]
+        rows += [(1000 * i + x, " ".join(w[30 * k : 30 * k + 300])) for k, x in enumerate(rng.sample(range(100), 7))]
+    sets = {i: simhash.shingle_set(t) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    stay = []
+    for i in sorted(sets):
+        if not any(alike(i, x) for x in stay if x // 1000 == i // 1000):
+            stay.append(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part, rounds in ((2, 6), (1_000_000, 0)):
+        monkeypatch.setattr(simhash, "ROUNDS", rounds, raising=False)
+        assert set(sets) - {r._id for r in simhash.near_copies(docs, part=part).collect()} == set(stay)
+
+
 def test_components_of_long_chains(spark):
     from loomtext.llm.components import components
 
