@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts' word class [^\x20\x09-\x0D]+; bytes.split() splits on exactly these.
@@ -75,3 +75,18 @@ def part_rows(n_rows: int, per_part: int = 50_000) -> int:
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs whose doc_id is (how: left_semi) or is not (left_anti) in ids; null ids match null ids. ids has the one column `_id`."""
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
+
+
+def row_id(docs: DataFrame) -> Column:
+    """A long that rows of docs share only if doc_id, null or not, and text are equal (a null text is empty)."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def by_row_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs with row_id() for doc_id."""
+    return docs.select(row_id(docs).alias("doc_id"), docs["text"].alias("text"))
+
+
+def by_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs whose row_id() is (how: left_semi) or is not (left_anti) in rows, which has the one column `_id`."""
+    return docs.join(rows, row_id(docs) == rows["_id"], how)

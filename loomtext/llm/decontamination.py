@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_ids, materialize, table, texts_of
+from .common import bounded_batches, by_row_id, by_rows, materialize, table, texts_of
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 PART_BYTES = 16 << 20
@@ -197,6 +197,6 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; all rows of a found doc_id go."""
-    bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return by_ids(docs, bad, "left_anti")
+    """docs without the documents that hold a benchmark item. Each row is judged by its own text."""
+    bad = materialize(contaminated(by_row_id(docs), benchmark).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return by_rows(docs, bad, "left_anti")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_ids, materialize, table, texts_of
+from .common import bounded_batches, by_row_id, by_rows, materialize, table, texts_of
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -170,6 +170,6 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """docs without the documents that the rules reject. Of rows with equal doc_id, all go if one is rejected; null ids go too."""
-    bad = materialize(judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return by_ids(docs, bad, "left_anti")
+    """docs without the documents that the rules reject. Each row is judged by its own text, null or repeated ids too."""
+    bad = materialize(judged(by_row_id(docs)).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "rejected")
+    return by_rows(docs, bad, "left_anti")

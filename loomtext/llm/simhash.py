@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_ids, discard, materialize, table, texts_of
+from .common import bounded_batches, by_ids, by_row_id, by_rows, discard, materialize, row_id, table, texts_of
 from .components import components
 
 BITS = 64
@@ -489,9 +489,18 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, part: int = 1_000_000)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without its near copies. Of each component of near_duplicates() the row with the smallest doc_id stays, one of equal
-    ids; of what is left, documents go that share 0.8 or more of their five-word shingles with one that stays (near_copies)."""
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    found = materialize(found.distinct(), "kept")
-    one_each = materialize(by_ids(docs, found, "left_semi").dropDuplicates(["doc_id"]), "one-each")
-    return by_ids(one_each, near_copies(one_each), "left_anti")
+    """docs without its near copies. Each text of a doc_id, null or repeated ids too, is a document of its own, in the order of doc_id,
+    nulls last. Of equal rows one stays; of each component of near_duplicates() the first document; of what is left, documents go
+    that share 0.8 or more of their five-word shingles with one that stays (near_copies)."""
+    keys = docs.select(row_id(docs).alias("_id"), docs["doc_id"].cast("long").alias("own")).distinct()
+    order = keys.sort(F.col("own").asc_nulls_last(), "_id").select("_id", F.monotonically_increasing_id().alias("doc_id"))
+    order = materialize(order, "order")
+    texts = by_row_id(docs).withColumnRenamed("doc_id", "_id").join(order, "_id").dropDuplicates(["_id"]).select("doc_id", "text")
+    texts = materialize(texts, "texts")
+    found = near_duplicates(texts).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    one_each = materialize(texts.join(found, "doc_id", "left_semi"), "one-each")
+    stay = by_ids(one_each.select("doc_id"), near_copies(one_each), "left_anti")
+    stay = materialize(order.join(stay, "doc_id", "left_semi").select("_id"), "stay")
+    for done in (texts, one_each):
+        discard(done)
+    return by_rows(docs, stay, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, clashing extra columns and empty tables."""
 
+import random
+
 import pytest
 
 from loomtext.llm import chat, decontamination, html, packing, pii, ppm, quality, records, sharding, simhash
@@ -68,6 +70,23 @@ def test_stages_keep_clashing_columns(spark, a, b):
         assert len(out.collect()) <= 1
 
 
+def test_stages_judge_each_row(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}n" for _ in range(n))
+    a, b, c, d = (words(120) + "." for _ in range(4))
+    item = " ".join(b.split()[20:60])
+    docs = spark.createDataFrame([(None, a), (None, b), (None, a), (None, None), (7, c), (7, d), (7, c)], "doc_id long, text string")
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+    assert seen(simhash.deduplicated(docs)) == want((None, a), (None, b), (None, None), (7, c), (7, d))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert seen(decontamination.cleaned(docs, items)) == want((None, a), (None, a), (None, None), (7, c), (7, d), (7, c))
+    judged = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame([(i, r.text) for i, r in enumerate(docs.collect())], "doc_id long, text string")).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert not judged[3] and any(judged.values())
+    assert seen(quality.accepted(docs)) == want(*(r for i, r in enumerate(rows) if judged[i]))
+
+
 def test_pages(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>" * 3000 + "x", 1), (4, "u", "<article><p>A text that says it. And more of it.</p></article>", 1), (4, "u", "<a <b <c", 1)]
     got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
