@@ -6,20 +6,26 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts' word class [^\x20\x09-\x0D]+; bytes.split() splits on exactly these.
 WORD_GAP = "\x20\x09\x0a\x0b\x0c\x0d"
 
+#: Most rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
+
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in one process, as in tests, a temporary one where that is unset."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own_dir = _own_dir or f"file://{tempfile.mkdtemp(prefix='loomtext-')}"
         base = _own_dir
     return base.rstrip("/")
@@ -47,9 +53,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most so many rows, as one text may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, or one row, as one text may be long; the same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name with as many _ before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,23 +85,3 @@ def tokenizer_path(name: str) -> str:
 def part_rows(n_rows: int, per_part: int = 50_000) -> int:
     """How many chunks of about per_part rows hold n_rows."""
     return max(1, -(-n_rows // per_part))
-
-
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (how: left_semi) or is not (left_anti) in ids; null ids match null ids. ids has the one column `_id`."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
-
-
-def row_id(docs: DataFrame) -> Column:
-    """A long that rows of docs share only if doc_id, null or not, and text are equal (a null text is empty)."""
-    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
-
-
-def by_row_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of docs with row_id() for doc_id."""
-    return docs.select(row_id(docs).alias("doc_id"), docs["text"].alias("text"))
-
-
-def by_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs whose row_id() is (how: left_semi) or is not (left_anti) in rows, which has the one column `_id`."""
-    return docs.join(rows, row_id(docs) == rows["_id"], how)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_row_id, by_rows, materialize, table, texts_of
+from .common import bounded_batches, table, texts_of
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 PART_BYTES = 16 << 20
@@ -156,6 +156,16 @@ class Seeds:
         return out
 
 
+def seed_parts(benchmark: DataFrame, least: int = MIN_MATCH):
+    """The items as broadcasts of Seeds, each of at most about PART_BYTES of text; at least one. The driver holds one part at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        yield spark.sparkContext.broadcast(Seeds(sorted(map(tuple, own.collect()), key=lambda x: (x[0] is None, x)), least))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_MATCH) -> DataFrame:
     """Pairs of a document and an item of which at least `threshold` of the words is under tiles of the document.
 
@@ -164,17 +174,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
     schema = "doc_id long, item_id long, n_item_words int, n_covered int, longest int, coverage double"
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
     names = [x.split()[0] for x in schema.split(", ")]
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     found = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        seeds = spark.sparkContext.broadcast(Seeds(sorted(map(tuple, own.collect()), key=lambda x: (x[0] is None, x)), least))
+    for seeds in seed_parts(benchmark, least):
 
         def run(batches, seeds=seeds):
             known = seeds.value
@@ -196,7 +201,25 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item. Each row is judged by its own text."""
-    bad = materialize(contaminated(by_row_id(docs), benchmark).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return by_rows(docs, bad, "left_anti")
+def cleaned(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_MATCH) -> DataFrame:
+    """docs without the rows whose text holds `threshold` of an item, found as in contaminated() where the row lies: no row is moved.
+
+    Each row is judged by its own text; null and empty texts stay; null and repeated doc_ids and extra columns make no difference.
+    """
+    import pandas as pd
+
+    def holding(seeds):
+        @F.pandas_udf("boolean")
+        def holds(texts):
+            known = seeds.value
+            out = [False] * len(texts)
+            for d, k, n, _ in known.covered(["" if t is None else t for t in texts]):
+                out[d] = out[d] or n >= threshold * len(known.items[k][1])
+            return pd.Series(out, dtype=bool)
+
+        return holds
+
+    bounded_batches(docs.sparkSession)
+    for seeds in seed_parts(benchmark, least):
+        docs = docs.where(~holding(seeds)(docs["text"].cast("string")))
+    return docs

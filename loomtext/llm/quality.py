@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_row_id, by_rows, materialize, table, texts_of
+from .common import bounded_batches, free_name, materialize, table, texts_of
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -85,10 +85,9 @@ def measured(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def votes() -> dict[str, object]:
-    """A column of -1, 0 or 1 for each rule, over MEASURES. Rules that look for a defect vote bad or abstain, as the lack of one
-    defect says little; rules that look for prose vote good or abstain."""
-    c = F.col
+def votes(c=F.col) -> dict[str, object]:
+    """A column of -1, 0 or 1 for each rule, over MEASURES, each of which c() gives. Rules that look for a defect vote bad or abstain,
+    as the lack of one defect says little; rules that look for prose vote good or abstain."""
     n = F.greatest(c("n_words"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
     bad = lambda when: F.when(when, -1).otherwise(0)
@@ -144,24 +143,33 @@ def posterior(patterns: np.ndarray, share: float, p: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+def vote_code(rule: dict) -> Column:
+    """One number for the votes of all rules."""
+    return sum(((v.cast("int") + 1) * 3**i for i, v in enumerate(rule.values())), F.lit(0)).cast("int")
+
+
+def verdicts(rows: DataFrame, rule: dict) -> list[tuple[int, float]]:
+    """(pattern, posterior of good) for each vote pattern of rows."""
+    found = sorted(tuple(r) for r in rows.groupBy("pattern").agg(F.count("*")).collect())  # at most 3 ** rules
+    if not found:
+        return []
+    codes = np.array([c for c, _ in found], np.int64)
+    patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(rule))], 1)
+    good = posterior(patterns, *estimate(patterns, np.array([n for _, n in found], float)))
+    return [(int(c), float(g)) for c, g in zip(codes, good)]
+
+
 def judged(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """doc_id, the contract's measures, base_failed, quality (posterior of good) and kept.
 
-    A null, empty or white text has no words and fails. Repeated rows count as often as they occur. Rows with a null doc_id
-    keep it. Extra columns of docs are ignored; an empty table gives an empty result.
+    A null, empty or white text has no words and fails. Very long texts are read whole, one at a time. Repeated rows count as
+    often as they occur. Rows with a null doc_id keep it. Extra columns of docs are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rule = votes()
-    rows = measured(docs).select("doc_id", *MEASURES[:5], *(v.cast("int").alias(f"v_{k}") for k, v in rule.items()))
-    code = sum(((F.col(f"v_{k}") + 1) * 3**i for i, k in enumerate(rule)), F.lit(0))
-    rows = materialize(rows.select("doc_id", *MEASURES[:5], code.cast("int").alias("pattern")), "votes")
-    found = sorted(tuple(r) for r in rows.groupBy("pattern").agg(F.count("*")).collect())  # at most 3 ** rules
-    codes = np.array([c for c, _ in found], np.int64)
-    patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(rule))], 1) if found else np.zeros((0, len(rule)), int)
-    good = posterior(patterns, *estimate(patterns, np.array([n for _, n in found], float))) if found else []
-    verdicts = spark.createDataFrame([(int(c), float(g)) for c, g in zip(codes, good)], "pattern int, quality double")
+    rows = materialize(measured(docs).select("doc_id", *MEASURES[:5], vote_code(rule).alias("pattern")), "votes")
+    found = docs.sparkSession.createDataFrame(verdicts(rows, rule), "pattern int, quality double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = rows.join(F.broadcast(verdicts), "pattern")
+    rows = rows.join(F.broadcast(found), "pattern")
     return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (~failed & (F.col("quality") >= keep_from)).alias("kept"), "quality", "pattern")
 
 
@@ -169,7 +177,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """docs without the documents that the rules reject. Each row is judged by its own text, null or repeated ids too."""
-    bad = materialize(judged(by_row_id(docs)).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return by_rows(docs, bad, "left_anti")
+def accepted(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
+    """docs without the rows that the rules reject, as in judged(), each by its own text, null and repeated ids too; all columns stay.
+
+    Texts are measured twice, once for the counts of vote patterns and once for the verdict, so that no row is moved or stored.
+    """
+    import pandas as pd
+
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measure(texts):
+        return pd.DataFrame([measures(t or "") for t in texts], columns=MEASURES)
+
+    bounded_batches(docs.sparkSession)
+    name = free_name(docs, "measures")
+    rows = docs.withColumn(name, measure(docs["text"].cast("string")))
+    rule = votes(lambda m: F.col(f"`{name}`.{m}"))
+    code = vote_code(rule)
+    names = list(rule)
+    fails = lambda c: any(c // 3 ** names.index(k) % 3 == 0 for k in ("length", "repeats"))  # noqa: E731  the contract's base rule
+    good = [c for c, g in verdicts(rows.select(code.alias("pattern")), rule) if g >= keep_from and not fails(c)]
+    return rows.where(code.isin(good)).select(*docs.columns)
