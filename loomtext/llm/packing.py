@@ -3,8 +3,10 @@
 Documents become pieces of at most `capacity` tokens. Only the histogram of piece lengths, at most `capacity` numbers, goes to
 the driver. The program "fewest sequences so that the chosen configurations hold every length as often as it occurs" is solved
 by multiplicative weights: each length has a price that falls as it is covered, a knapsack dynamic program over capacity finds
-the dearest configurations, and all near-dearest ones of a round are used. The fractional counts are rounded down, the largest
-remainders taken while demand lasts, the program is solved again for what is left, and the last few go by best fit decreasing.
+the dearest configurations, and all near-dearest ones of a round are used. Of the fractional counts, those of configurations whose
+lengths are worth a whole sequence at the mean prices (the dual of the program) are rounded down, then the largest remainders taken
+while demand lasts; the program is solved again for what is left, and the last few go by best fit decreasing. All of it works on
+(length, how often), at any size the same way.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ TOKENIZER = "byte_bpe_50k.json"
 ROUNDS, NEAR = 120, 0.95
 #: How fast a price falls with the covered share, and by how much of the demand a round may go beyond the mean share.
 RATE, STEP = 6.0, 0.1
-#: Solutions for what rounding left, and the least filled share of a configuration that rounding uses.
-SOLUTIONS, FULL = 8, 0.999
+#: Solutions for what rounding left, and the least worth, at mean prices, of a configuration that rounding uses in the first ones
+#: and in the last.
+SOLUTIONS, WORTH, LAST_WORTH = 8, 0.999, 0.97
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,16 +77,23 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nd
     return best, last
 
 
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional solution: {((index of length, how often), ...): how many sequences}, covering demand on average once."""
+Configuration = tuple[tuple[int, int], ...]
+
+
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[Configuration, float], np.ndarray]:
+    """Fractional solution {((index of length, how often), ...): how many sequences}, covering demand on average once, and the mean
+    price of each length, where the dearest configuration is worth 1."""
     cover = np.zeros(len(lengths))
-    used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
+    prices, weight = np.zeros(len(lengths)), 0.0
+    used: dict[Configuration, float] = {}
+    for r in range(rounds):
         share = cover / demand
         mean = float((cover * lengths).sum() / (demand * lengths).sum())
         values = lengths / capacity * np.exp(-RATE * (share - mean))
         best, last = price(values, lengths, capacity)
         full = best[capacity]
+        prices += values / full * (r + 1)  # later rounds know more
+        weight += r + 1
         behind = np.argsort(share, kind="stable")
         target = mean + STEP
         for j in behind:
@@ -104,44 +114,69 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, round
             for k, m in key:
                 cover[k] += m * many
     scale = float((cover * lengths).sum() / (demand * lengths).sum()) if used else 1
-    return {k: v / max(scale, 1e-12) for k, v in used.items()}
+    return {k: v / max(scale, 1e-12) for k, v in used.items()}, prices / max(weight, 1e-12)
 
 
 def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Counter:
-    """Best fit decreasing of what the rounding left: {configuration: how many}."""
-    room: list[tuple[int, int]] = []  # (remaining, bin), sorted
-    bins: list[Counter] = []
-    for j in range(len(lengths) - 1, -1, -1):
-        for _ in range(int(demand[j])):
-            at = bisect_left(room, (int(lengths[j]), -1))
-            if at == len(room):
-                bins.append(Counter())
-                left, k = capacity, len(bins) - 1
-            else:
-                left, k = room.pop(at)
-            bins[k][j] += 1
-            if left > lengths[j]:
-                insort(room, (left - int(lengths[j]), k))
-    return Counter(tuple(sorted(b.items())) for b in bins)
+    """Best fit decreasing: {configuration: how many}. Equal bins are one entry with a count, so the work follows the number of
+    lengths: of a run of equal pieces each bin in turn, the tightest first, takes as many as it has room for."""
+    rooms: list[int] = []  # sorted
+    bins: dict[int, dict[Configuration, int]] = {}  # by room
 
+    def put(room: int, key: Configuration, n: int) -> None:
+        if room not in bins:
+            insort(rooms, room)
+            bins[room] = {}
+        bins[room][key] = bins[room].get(key, 0) + n
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    for j in range(len(lengths) - 1, -1, -1):
+        size, left = int(lengths[j]), int(demand[j])
+        fresh: list[tuple[int, Configuration, int]] = []
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                room, key, n = capacity, (), -(-left // (capacity // size))
+            else:
+                room = rooms[at]
+                key, n = bins[room].popitem()
+                if not bins[room]:
+                    del bins[room], rooms[at]
+            most = room // size
+            whole = min(n, left // most)
+            if whole:
+                fresh.append((room - most * size, (*key, (j, most)), whole))
+                left -= whole * most
+            if left and whole < n:  # one bin takes the rest
+                fresh.append((room - left * size, (*key, (j, left)), 1))
+                left, whole = 0, whole + 1
+            if key and whole < n:
+                put(room, key, n - whole)
+        for x in fresh:
+            put(*x)
+    out: Counter = Counter()
+    for own in bins.values():
+        for key, n in own.items():
+            out[tuple(sorted(key))] += n
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
     """[(((length, how often), ...), sequences)] that hold each length exactly as often as the histogram says."""
     chosen: Counter = Counter()
     left = {n: c for n, c in sorted(histogram.items()) if c > 0}
     if left.get(capacity):
         chosen[((capacity, 1),)] = left.pop(capacity)
+    worth = WORTH
     for _ in range(SOLUTIONS):
-        if sum(left.values()) < 2000:
+        if not left:
             break
         lengths, demand = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
         rest = demand.copy()
-        found = configurations(lengths, demand, capacity)
-        parts = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+        found, prices = configurations(lengths, demand, capacity)
+        worths = {key: sum(m * prices[k] for k, m in key) for key in found}
+        parts = sorted(((key, x) for key, x in found.items() if worths[key] >= worth), key=lambda p: (-worths[p[0]], -p[1], p[0]))
         for whole in (True, False):
             for key, x in parts if whole else sorted(parts, key=lambda p: (int(p[1]) - p[1], p[0])):
-                if sum(m * lengths[k] for k, m in key) < FULL * capacity:
-                    continue  # what it holds is packed better in the next solution or by best fit
                 n = min(int(x) if whole else int(x > int(x)), min(int(rest[k]) // m for k, m in key))
                 if n > 0:
                     chosen[tuple((int(lengths[k]), m) for k, m in key)] += n
@@ -149,7 +184,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                         rest[k] -= n * m
         left = {int(a): int(b) for a, b in zip(lengths, rest) if b}
         if rest.sum() > 0.95 * demand.sum():
-            break
+            if worth == LAST_WORTH:
+                break
+            worth = LAST_WORTH
     if left:
         lengths, demand = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
         for key, n in best_fit(lengths, demand, capacity).items():
