@@ -3,7 +3,8 @@
 Both tokenizer kinds cut a text at white space before they merge, so the ids of a text are the ids of its words in order. Words
 repeat, so each Python worker keeps their ids. A new word is cut by the tokenizer's own pattern and goes straight to its merge
 model; words with characters beyond Latin-1, where normal forms matter, go through the whole tokenizer, and so does a text with
-white space other than single spaces and single line ends.
+white space other than single spaces and single line ends, or with the opening of a special token (the library gives a special
+token's string in a text its own id).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.openings = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.byte_level = byte_level
         self.model = self.tokenizer.model
         self.pattern = _BYTE_LEVEL if byte_level else _WORD_LEVEL
@@ -52,6 +53,8 @@ class WordIds:
 
     def words(self, text: str) -> list[str] | None:
         """Keys of the words: for byte-level ids a bare key stands for a space before it, one from \\n on for itself, \\r is the start."""
+        if any(x in text for x in self.openings):
+            return None
         if not self.byte_level:
             return None if _ODD_WORDS.search(text) else text.split()
         flat = text.replace("\n", " ")
