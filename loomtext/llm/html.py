@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,9 @@ TAGS = "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dd ta
 GOOD_WORDS = "article content main post entry story body text page hentry blog copy prose".split()
 BAD_WORDS = "nav menu header masthead banner footer foot copyright legal sidebar aside side widget ad ads advert advertisement sponsor sponsored promo cookie cookies consent notice gdpr alert popup modal newsletter subscribe signup login search share social related recommended more breadcrumb breadcrumbs pagination pager toolbar tags meta byline comment comments reply replies respond discussion disqus form skip".split()
 _WORDS = frozenset(GOOD_WORDS + BAD_WORDS)
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_COMMENT_END = re.compile(r"--!?>")
+_TAG_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PIECE = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -53,13 +56,102 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+def tags(page: str, skip):
+    """(start, end, closing, name, attributes) of each tag, name None for comments and declarations; skip(end) is where to go on.
+
+    One pass: a mark that never ends is text, and so are all later ones of its kind. A ">" between quotes ends no tag, up to the
+    first tag whose quotes stay open to the end of the page; from there on quotes are not minded.
+    """
+    at, end = 0, len(page)
+    last = page.rfind(">")
+    quotes = True
+    while (start := page.find("<" if at <= last else "<!--", at)) >= 0:
+        mark = page[start + 1 : start + 2]
+        if start > last and not page.startswith("!--", start + 1):
+            at = start + 1
+            continue
+        if page.startswith("!--", start + 1):
+            m = _COMMENT_END.search(page, start + 4)
+            at = m.end() if m else end
+            yield start, at, False, None, ""
+        elif mark and mark in "!?":
+            at = page.find(">", start) + 1
+            yield start, at, False, None, ""
+        elif m := _NAME.match(page, start + 1 + (mark == "/")):
+            closing, stop = mark == "/", m.end()
+            if closing or not quotes:
+                stop = page.find(">", stop)
+            else:
+                while (found := _TAG_END.search(page, stop)) and found[0] != ">":
+                    stop = page.find(found[0], found.end()) + 1
+                    if not stop:
+                        break
+                quotes = bool(found) and stop > 0
+                stop = found.start() if quotes else page.find(">", m.end())
+            if stop < 0:
+                at = start + 1
+                continue
+            at = stop + 1
+            yield start, at, closing, m[0].lower(), page[m.end() : stop]
+        else:
+            at = start + 1
+            continue
+        at = skip(at)
+
+
+class _Open:
+    """The open elements of a page. Inline ones stay with the block they stand in; places tells where each block name is open."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [(root.tag, root)]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+        self.blocks = [0]
+        self.inline: list[dict[str, int]] = [{}]
+        self.links = 0
+
+    def add(self, name: str, node: Node | None = None) -> None:
+        if node is None:
+            self.links += name == "a"
+            self.inline[-1][name] = self.inline[-1].get(name, 0) + 1
+            self.stack.append((name, self.stack[-1][1]))
+        else:
+            self.places.setdefault(name, []).append(len(self.stack))
+            self.blocks.append(len(self.stack))
+            self.inline.append({})
+            self.stack.append((name, node))
+
+    def nearest(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def innermost(self, name: str) -> int:
+        """Where the element lies that an end tag closes, or -1: an inline one within its block only."""
+        if name not in INLINE:
+            return self.nearest((name,)) or -1
+        if not self.inline[-1].get(name):
+            return -1
+        k = len(self.stack) - 1
+        while self.stack[k][0] != name:
+            k -= 1
+        return k
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            name, _ = self.stack.pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop(), self.inline.pop(), self.places[name].pop()
+            else:
+                self.inline[-1][name] -= 1
+            self.links -= name == "a"
+
+
 def parse(page: str) -> Node:
-    """The tree of block elements. Unclosed elements end where HTML would end them; stray end tags are passed over."""
+    """The tree of block elements. Unclosed elements end where HTML would end them; stray end tags are passed over. The time is
+    linear in the page, however broken it is."""
     root = Node("html", frozenset(), None)
-    stack: list[tuple[str, Node]] = [("html", root)]  # inline elements stay in the stack with the block they stand in
+    is_open = _Open(root)
     run: list[str] = []
-    links = in_link = 0
-    at, end = 0, len(page)
+    links = at = raw_end = 0
+    end = len(page)
     lower = None
 
     def close_run():
@@ -67,90 +159,64 @@ def parse(page: str) -> Node:
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                block = stack[-1][1]
+                block = is_open.stack[-1][1]
                 leaf = Node("#text", frozenset(), block)
                 leaf.text, leaf.links = text, min(links, len(text))
                 block.children.append(leaf)
             run, links = [], 0
 
     def pop_to(k: int):
-        nonlocal in_link
-        if any(t not in INLINE for t, _ in stack[k:]):
+        if k <= is_open.blocks[-1]:
             close_run()
-        for t, _ in stack[k:]:
-            in_link -= t == "a"
-        del stack[k:]
-
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue  # within raw text
-        if m.start() > at:
-            piece = page[at : m.start()]
-            run.append(piece)
-            links += len(piece) * (in_link > 0)
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t == name:
-                    pop_to(k)
-                    break
-                if name in INLINE and t not in INLINE:
-                    break
-            else:
-                if name == "p":
-                    close_run()
+        is_open.pop_to(k)
+
+    for start, stop, closing, name, attributes in tags(page, lambda x: max(x, raw_end)):
+        if start > at:
+            run.append(page[at:start])
+            links += (start - at) * (is_open.links > 0)
+        at = stop
+        if name is None:
+            continue
+        if closing:
+            k = is_open.innermost(name)
+            if k > 0:
+                pop_to(k)
+            elif name == "p":
+                close_run()
             if name in ("br", "td", "th"):
                 run.append(" ")
             continue
-        name = m[2] or m[4]
-        if not name:
-            continue
-        name = name.lower()
-        attributes = m[3] if m[2] else m[5]
         if name in RAW:
             if name == "select":
-                stack[-1][1].controls += 1
+                is_open.stack[-1][1].controls += 1
             lower = page.lower() if lower is None else lower
-            stop = lower.find(f"</{name}", at) if len(lower) == end else page.find(f"</{name}", at)
-            at = end if stop < 0 else (page.find(">", stop) + 1 or end)
+            found = lower.find(f"</{name}", at) if len(lower) == end else page.find(f"</{name}", at)
+            at = raw_end = end if found < 0 else (page.find(">", found) + 1 or end)
             continue
         if name == "br":
             run.append(" ")
             continue
         if name in CONTROLS:
-            stack[-1][1].controls += 1
+            is_open.stack[-1][1].controls += 1
         if name in VOID:
             if name == "hr":
                 close_run()
             continue
         if name in INLINE:
             if not attributes.rstrip().endswith("/"):
-                in_link += name == "a"
-                stack.append((name, stack[-1][1]))
+                is_open.add(name)
             continue
-        if name in ("html", "body") and any(t == name for t, _ in stack):
+        if name in ("html", "body") and is_open.places.get(name):
             continue
         close_run()
-        if name not in IN_PARAGRAPH:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in PEERS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in HOLDERS[name]:
-                    break
-                if stack[k][0] in PEERS[name]:
-                    pop_to(k)
-                    break
+        if name not in IN_PARAGRAPH and is_open.stack[is_open.blocks[-1]][0] == "p":
+            pop_to(is_open.blocks[-1])
+        if name in PEERS and (k := is_open.nearest(PEERS[name])) > is_open.nearest(HOLDERS[name]):
+            pop_to(k)
         found = frozenset(_PIECE.findall(_CAMEL.sub(" ", " ".join(_ATTRIBUTE.findall(attributes))).lower())) if attributes and "=" in attributes else frozenset()
-        node = Node(name, found & _WORDS, stack[-1][1])
+        node = Node(name, found & _WORDS, is_open.stack[-1][1])
         node.parent.children.append(node)
-        stack.append((name, node))
+        is_open.add(name, node)
     if at < end:
         run.append(page[at:])
     close_run()
@@ -224,9 +290,9 @@ def node_features(root: Node) -> tuple[list[Node], np.ndarray]:
             x[c.spot, at["text_before"]] = seen / page
             seen += text[c.spot]
             heading = heading or total[c.spot, 10] > 0
-        tags = [c.tag for c in n.children]
+        alike = Counter(c.tag for c in n.children)
         for c in n.children:
-            x[c.spot, at["same_tag"]] = tags.count(c.tag) if m < 200 else m
+            x[c.spot, at["same_tag"]] = alike[c.tag]
     for j, name in enumerate(("bad_above", "good_above", "nav_above", "article_above", "form_above", "list_above", "depth_below_good")):
         x[:, at[name]] = above[:, j]
     x[:, at["depth"]] = [n.depth for n in nodes]
@@ -389,8 +455,8 @@ def main_texts(pages: list[str], model: BoostedTrees) -> list[str]:
 def extracted(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages.
 
-    A null or empty html, or one without main text, gives an empty text. Broken markup is read as far as it goes. Null ids and
-    urls are kept, repeated rows too; extra columns go.
+    A null or empty html, or one without main text, gives an empty text. Broken markup is read as far as it goes, very long pages
+    whole and in linear time. Null ids and urls are kept, repeated rows too; extra columns go; an empty table gives an empty result.
     """
     import pyarrow as pa
 
@@ -402,7 +468,7 @@ def extracted(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
             texts = main_texts(b.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
-    bounded_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,11 @@ from .common import bounded_batches, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_LINES, EPOCHS, SEED = 400, 6, 7
-#: Bounds of a span that the model may choose: parts (runs of one character class) and digits.
+#: Bounds of a span that the model may choose: parts (runs of one character class), digits and characters; and for an address, the
+#: characters and parts on each side of its (at). These are the entity bounds of the semi-Markov model; longer addresses with a
+#: plain @ are found by the base pattern.
 MOST_PARTS, LEAST_DIGITS, MOST_DIGITS, MOST_CHARS = 15, 7, 19, 64
+SIDE_CHARS, LEFT_PARTS, RIGHT_PARTS = 64, 8, 9
 
 # The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -36,7 +41,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _CORE = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 _MARK = re.compile(r"@|\x20?(?:\(at\)|\[at\])\x20?", re.I)
-_NUMERIC = re.compile(r"[0-9(+][0-9\x20().+/-]*[0-9]")
+_NUMERIC = re.compile(r"[0-9\x20().+/-]+")
 _PART = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
 _CUE = re.compile(r"([A-Za-z]{2,12})[:.\s#]{0,3}$")
 #: Words that, before a span, say what it is.
@@ -125,7 +130,10 @@ def zones(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int,
     """Candidate spans (start, end, is numeric), a list for each zone; no candidate overlaps a taken span or another zone."""
     found = []
     for m in _NUMERIC.finditer(text):
-        parts = [(p.start() + m.start(), p[0]) for p in _PART.finditer(m[0])]
+        run = m[0].rstrip("\x20().+/-")  # to the last digit
+        if len(run) < LEAST_DIGITS:
+            continue
+        parts = [(p.start() + m.start(), p[0]) for p in _PART.finditer(run)]
         here = []
         for i, (at, p) in enumerate(parts):
             if not (p[0].isdigit() or p in "(+"):
@@ -141,15 +149,18 @@ def zones(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int,
                         here.append((at, end, True))
         if here:
             found.append(here)
-    for m in _MARK.finditer(text):
-        left = [x.start() for x in _PART.finditer(text, max(0, m.start() - 40), m.start())][-8:]
-        right = [x.end() for x in _PART.finditer(text, m.end(), min(len(text), m.end() + 40))][:9]
+    marks = [m.span() for m in _MARK.finditer(text)]
+    for before, (start, end), after in zip([(0, 0), *marks], marks, [*marks[1:], (len(text), 0)]):  # an address has one mark
+        left = [x.start() for x in _PART.finditer(text, max(before[1], start - SIDE_CHARS), start)][-LEFT_PARTS:]
+        right = [x.end() for x in _PART.finditer(text, end, min(after[0], end + SIDE_CHARS))][:RIGHT_PARTS]
         here = [(a, b, False) for a in left if text[a].isalnum() for b in right if text[b - 1].isalnum() and not re.search(r"\s{2}|\n", text[a:b])]
         if here:
             found.append(here)
     if taken:
         starts = sorted(taken)
-        found = [[c for c in z if not any(a < c[1] and c[0] < b for a, b in starts)] if len(starts) < 200 else _free(z, starts) for z in found]
+        begin = [a for a, _ in starts]
+        reach = list(accumulate((b for _, b in starts), max))  # spans of one kind do not overlap; kinds may
+        found = [[c for c in z if (k := bisect_left(begin, c[1])) == 0 or reach[k - 1] <= c[0]] for z in found]
     found = sorted((z for z in found if z), key=lambda z: min(c[0] for c in z))
     joined: list[list[tuple[int, int, bool]]] = []
     reach = -1
@@ -162,13 +173,6 @@ def zones(text: str, taken: list[tuple[int, int]]) -> list[list[tuple[int, int,
     return joined
 
 
-def _free(zone, starts):
-    """As above for many taken spans, with binary search (spans of one kind do not overlap; kinds may, so ends are running maxima)."""
-    begin = np.array([a for a, _ in starts])
-    reach = np.maximum.accumulate([b for _, b in starts])
-    return [c for c in zone if (k := int(np.searchsorted(begin, c[1]))) == 0 or reach[k - 1] <= c[0]]
-
-
 class SemiCrf:
     """Linear scores of (kind, whole-span feature); text outside spans scores zero."""
 
@@ -334,7 +338,8 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def detected(docs: DataFrame, model: SemiCrf | None = None) -> DataFrame:
     """doc_id, counts of base spans, base_sha256 and all spans, a row for each row of docs.
 
-    A null or empty text has no span. Positions are code points. Repeated rows and null doc_ids are kept; extra columns go.
+    A null or empty text has no span. Very long texts are read whole; the time is linear in them. Positions are code points. Repeated
+    rows and null doc_ids are kept; extra columns go; an empty table gives an empty result.
     """
     import pyarrow as pa
 
