@@ -7,9 +7,11 @@ lower case, with ORDER start marks before and one end mark after. The marks are
 
 Nothing of the model is held whole anywhere but its first two levels (256 x 256 counts). Texts are dealt into blocks of about
 BLOCK_BYTES. A block asks for the code length of each of its distinct grams (ORDER bytes and the next one); a byte's code length
-depends on its gram alone. Grams are dealt by the last two bytes of their context, so all longer contexts that end alike meet,
-with their training counts from all blocks, and answer. Words for the base score go the same way, dealt by hash. Both answers
-return to the blocks, which add up their texts. So every exchange is per block and distinct gram, none per byte of the corpus.
+depends on its gram alone. Grams are dealt by the last two bytes of their context (their suffix), so all longer contexts that end
+alike meet, with their training counts from all blocks, and answer; a suffix of many grams is cut by the byte before, so that no
+cell holds many and no part of the model is sent twice but the counts after the suffix itself (256 numbers). Words for the base
+score go the same way, dealt by hash. Both answers return to the blocks, which add up their texts. So every exchange is per block and
+distinct gram, none per byte of the corpus.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ BLOCK_BYTES = 8 << 20
 SCORE_BYTES = 1 << 20
 START, END = 0xFE, 0xFF
 ALPHABET = 255  # all bytes but START
-WORD_BUCKETS = 64
-#: Answers to a hot group of grams are given by several tasks, one for so many blocks.
-BLOCKS_PER_TASK = 64
-_STAGE = "block long, kind int, key int, a binary, b binary"
+#: Blocks whose words of one bucket meet, about, and the fewest buckets.
+BLOCKS_A_BUCKET, LEAST_BUCKETS = 4, 64
+#: Grams of a suffix, from all blocks, beyond which it is cut by the byte before.
+PIECE_GRAMS = 1 << 21
+_STAGE = "block long, kind int, key int, n int, a binary, b binary"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -159,18 +162,19 @@ def _unpack(data: bytes) -> list[bytes]:
     return zlib.decompress(data).split(b"\n")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Texts gathered into blocks (kind 0), their distinct grams by suffix (1) and words by bucket (2), with training counts."""
+def _blocks(docs: DataFrame, word_buckets: int) -> DataFrame:
+    """Texts gathered into blocks (kind 0), their distinct grams by suffix (1, with their number) and words by bucket (2), with
+    training counts."""
     import pyarrow as pa
     from pyspark import TaskContext
 
     names = [x.split()[0] for x in _STAGE.split(", ")]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def block_rows(block: int, ids: list, texts: list[bytes]):
         train = np.array([not held_out(d) for d in ids])
         head = struct.pack("<q", len(ids)) + b"".join(struct.pack("<qBq", d or 0, d is None, len(t)) for d, t in zip(ids, texts))
-        yield block, 0, 0, head, zlib.compress(b"".join(texts), 1)
+        yield block, 0, 0, 0, head, zlib.compress(b"".join(texts), 1)
         code, starts = grams_of(texts)
         code <<= np.uint64(1)
         code |= np.repeat(train, np.diff(starts)).astype(np.uint8)
@@ -186,7 +190,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         suffix, rest = every >> REST_BITS, (every & np.uint64((1 << int(REST_BITS)) - 1)).astype(np.uint32)
         edge = np.flatnonzero(np.concatenate(([True], suffix[1:] != suffix[:-1], [True])))
         for a, b in zip(edge[:-1], edge[1:]):
-            yield block, 1, int(suffix[a]), squeeze(rest[a:b], True), squeeze(counts[a:b])
+            yield block, 1, int(suffix[a]), int(b - a), squeeze(rest[a:b], True), squeeze(counts[a:b])
         words: Counter = Counter()
         seen: set = set()
         for t, own in zip(texts, train):
@@ -199,10 +203,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
             words.setdefault(w, 0)
         buckets: dict[int, list] = {}
         for w, c in words.items():
-            buckets.setdefault(zlib.crc32(w) % WORD_BUCKETS, []).append((w, c))
+            buckets.setdefault(zlib.crc32(w) % word_buckets, []).append((w, c))
         for k, own in buckets.items():
             own.sort()
-            yield block, 2, k, _pack([w for w, _ in own]), squeeze(np.array([c for _, c in own], np.uint32))
+            yield block, 2, k, len(own), _pack([w for w, _ in own]), squeeze(np.array([c for _, c in own], np.uint32))
 
     def run(batches):
         part, serial, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -211,7 +215,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rows, size = [], 0
             for row in block_rows((part << 24) + serial, ids, texts):
                 rows.append(row)
-                size += len(row[3]) + len(row[4])
+                size += len(row[4]) + len(row[5])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                     rows, size = [], 0
@@ -259,14 +263,49 @@ def _answer_words(stage: DataFrame) -> DataFrame:
     return stage.where("kind = 2").groupBy("key").applyInArrow(answer, schema)
 
 
-def _gram_counts(stage: DataFrame) -> DataFrame:
-    """(key, a: grams, b: uint64 counts): training counts of all blocks added up, by suffix, a run of blocks at a time."""
+def pieces_by_suffix(stage: DataFrame) -> dict[int, int]:
+    """How many pieces each suffix is cut into, where it is more than one; at most 65,536 numbers."""
+    sizes = stage.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > PIECE_GRAMS).collect()
+    return {r.key: min(256, -(-r.n // PIECE_GRAMS)) for r in sizes}
+
+
+def piece_of(rest: np.ndarray, pieces: int) -> np.ndarray:
+    """The piece of each gram of a suffix, by the byte before the suffix."""
+    return (rest >> np.uint32(8) & np.uint32(0xFF)) % np.uint32(pieces)
+
+
+def _cut(stage: DataFrame, cuts: dict[int, int]) -> DataFrame:
+    """(key, piece, block, a, b): the grams of each block by suffix and piece."""
+    import pyarrow as pa
+
+    schema = "key int, piece int, block long, a binary, b binary"
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, block, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if key not in cuts:
+                    out.append((key, 0, block, a, b))
+                    continue
+                rest, n = expand(a, True), expand(b)
+                piece = piece_of(rest, cuts[key])
+                for p in np.unique(piece).tolist():
+                    own = piece == p
+                    out.append((key, p, block, squeeze(rest[own], True), squeeze(n[own])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return stage.where("kind = 1").select("key", "block", "a", "b").mapInArrow(run, schema)
+
+
+def _gram_counts(cells: DataFrame) -> DataFrame:
+    """(key, piece, a: grams, b: uint64 counts): training counts of all blocks added up, by suffix and piece, a run of blocks at a time."""
     import pyarrow as pa
 
-    schema = "key int, a binary, b binary"
+    schema = "key int, piece int, a binary, b binary"
 
     def run(batches):
-        key, grams, counts, held = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64), []
+        cell, grams, counts, held = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64), []
 
         def merge():
             nonlocal grams, counts, held
@@ -276,23 +315,44 @@ def _gram_counts(stage: DataFrame) -> DataFrame:
 
         def row():
             merge()
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([grams.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["key", "a", "b"])
+            own = [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([grams.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(own, names=["key", "piece", "a", "b"])
 
         for b in batches:
-            for k, a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if k != key:
-                    if key is not None:
+            for k, p, a, c in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (k, p) != cell:
+                    if cell is not None:
                         yield row()
-                    key, grams, counts = k, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+                    cell, grams, counts = (k, p), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
                 n = expand(c)
                 learnt = n > 0
                 held.append((in_order(k, expand(a, True)[learnt]), n[learnt].astype(np.uint64)))
                 if len(held) >= 32:
                     merge()
-        if key is not None:
+        if cell is not None:
             yield row()
 
-    return stage.where("kind = 1").select("key", "a", "b").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return cells.select("key", "piece", "a", "b").repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(run, schema)
+
+
+def _after_suffix(counts: DataFrame, cuts: dict[int, int]) -> DataFrame:
+    """(key, piece, a): the counts of each byte after a suffix, 256 numbers, for each of its pieces."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            rows = [np.bincount((np.frombuffer(a, np.uint64) & np.uint64(0xFF)).astype(np.int64), np.frombuffer(n, np.uint64).astype(np.float64), 256) for a, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["key", "a"])
+
+    def add_up(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(a))
+        out = [(k, p, zlib.compress(n.tobytes(), 1)) for k, n in sums.items() for p in range(cuts.get(k, 1))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()))], names=["key", "piece", "a"])
+
+    return counts.select("key", "a", "b").mapInArrow(run, "key int, a binary").repartition("key").mapInArrow(add_up, "key int, piece int, a binary")
 
 
 def _short_levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -314,47 +374,53 @@ def _short_levels(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pairs, np.array([by[int(p)] for p in pairs], np.int64)
 
 
-def _answer_grams(stage: DataFrame, counts: DataFrame, short: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
-    """(block, kind 3, key, a: float32 code lengths of the block's grams of that suffix)."""
+def _answer_grams(cells: DataFrame, counts: DataFrame, cuts: dict[int, int], short: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(block, kind 3, key, piece, a: float32 code lengths of the block's grams of that suffix and piece)."""
     import pyarrow as pa
 
-    schema = "block long, kind int, key int, a binary"
-    salts = max(1, -(-blocks // BLOCKS_PER_TASK))
-    ask = stage.where("kind = 1").select("key", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("turn"), "block", "a", F.lit(None).cast("binary").alias("b"))
-    model = counts.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("block"), "a", "b")
+    schema = "block long, kind int, key int, piece int, a binary"
+    none = F.lit(None).cast("binary").alias("b")
+    no_block = F.lit(None).cast("long").alias("block")
+    rows = _after_suffix(counts, cuts).select("key", "piece", F.lit(0).alias("turn"), no_block, "a", none)
+    rows = rows.union(counts.select("key", "piece", F.lit(1).alias("turn"), no_block, "a", "b"))
+    rows = rows.union(cells.select("key", "piece", F.lit(2).alias("turn"), "block", "a", none))
 
     def run(batches):
         pairs, n = short
         one = Level(pairs, n, None)
         zero = Level(*summed(pairs & np.uint64(0xFF), n), None)
         one.exclude(zero, 0)
-        levels = [zero, one]
+        two, levels = None, [zero, one]
         for b in batches:
             out = []
-            for key, turn, block, a, c in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            for key, piece, turn, block, a, c in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if turn == 0:
-                    long = levels_of(np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64), 2)
-                    long[0].exclude(one, 8)
-                    levels = [zero, one, *long]
+                    after = np.frombuffer(zlib.decompress(a))
+                    seen = np.flatnonzero(after)
+                    two = Level(np.uint64(key << 8) | seen.astype(np.uint64), after[seen], one).exclude(one, 8)
+                elif turn == 1:
+                    long = levels_of(np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64), 3)
+                    long[0].exclude(two, 16)
+                    levels = [zero, one, two, *long]
                 else:
-                    out.append((block, 3, key, code_lengths(in_order(key, expand(a, True)), levels).astype(np.float32).tobytes()))
+                    out.append((block, 3, key, piece, code_lengths(in_order(key, expand(a, True)), levels).astype(np.float32).tobytes()))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return model.unionByName(ask).select("key", "salt", "turn", "block", "a", "b").repartition("key", "salt").sortWithinPartitions("key", "salt", "turn").mapInArrow(run, schema)
+    return rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "turn").mapInArrow(run, schema)
 
 
-def _add_up(rows):
+def _add_up(rows, cuts: dict[int, int]):
     """For one block: its texts' scores, from the code lengths of its grams and the counts of its words."""
     import pyarrow as pa
 
     ids, nulls, texts = [], [], []
-    costs: dict[int, np.ndarray] = {}
+    costs: dict[tuple[int, int], np.ndarray] = {}
     counts: dict[int, np.ndarray] = {}
     own: dict[int, list[bytes]] = {}
     asked: dict[int, bytes] = {}
-    for kind, key, a, b in zip(*(rows[c].to_pylist() for c in ("kind", "key", "a", "b"))):
+    for kind, key, piece, a, b in zip(*(rows[c].to_pylist() for c in ("kind", "key", "piece", "a", "b"))):
         if kind == 0:
             (n,) = struct.unpack_from("<q", a)
             flat, at = zlib.decompress(b), 0
@@ -366,12 +432,21 @@ def _add_up(rows):
         elif kind == 1:
             asked[key] = a
         elif kind == 3:
-            costs[key] = np.frombuffer(a, np.float32)
+            costs[key, piece] = np.frombuffer(a, np.float32)
         elif kind == 4:
             counts[key] = np.frombuffer(zlib.decompress(a), np.uint64)
-    keys = sorted(costs)
-    every = np.concatenate([np.uint64(k) << REST_BITS | expand(asked[k], True).astype(np.uint64) for k in keys]) if keys else np.zeros(0, np.uint64)
-    cost = np.concatenate([costs[k] for k in keys]).astype(np.float64) if keys else np.zeros(0)
+    every, cost = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for k in sorted(asked):
+        rest = expand(asked[k], True)
+        every.append(np.uint64(k) << REST_BITS | rest.astype(np.uint64))
+        if k in cuts:
+            piece, each = piece_of(rest, cuts[k]), np.zeros(len(rest))
+            for p in np.unique(piece).tolist():
+                each[piece == p] = costs[k, p]
+            cost.append(each)
+        else:
+            cost.append(costs[k, 0].astype(np.float64))
+    every, cost = np.concatenate(every), np.concatenate(cost)
     score = []
     first = 0
     while first < len(texts):  # some texts at a time
@@ -402,19 +477,23 @@ def scored(docs: DataFrame) -> DataFrame:
     unigrams. A null text is empty: it is its end. Repeated rows train and score as often as they occur. Without any training
     text all bytes are equally likely. Extra columns are ignored; an empty table gives an empty result.
     """
-    stage = materialize(_blocks(docs), "ppm-blocks")
-    blocks = stage.where("kind = 0").count()
-    counts = materialize(_gram_counts(stage), "ppm-counts")
-    grams = materialize(_answer_grams(stage, counts, _short_levels(counts), blocks), "ppm-grams")
+    size = texts_of(docs).agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    stage = materialize(_blocks(docs, max(LEAST_BUCKETS, size // BLOCK_BYTES // BLOCKS_A_BUCKET)), "ppm-blocks")
+    cuts = pieces_by_suffix(stage)
+    cells = _cut(stage, cuts)
+    counts = materialize(_gram_counts(cells), "ppm-counts")
+    grams = materialize(_answer_grams(cells, counts, cuts, _short_levels(counts)), "ppm-grams")
     discard(counts)
     words = materialize(_answer_words(stage), "ppm-words")
     trained = texts_of(docs).where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2).count()
     row = words.agg(F.sum("n"), F.sum("v")).first()
     n, v = (row[0] or 0) + trained, (row[1] or 0) + (trained > 0)
     none = F.lit(None).cast("binary").alias("b")
-    parts = stage.select("block", "kind", "key", "a", F.when(F.col("kind") == 0, F.col("b")).alias("b")).union(grams.select("block", "kind", "key", "a", none)).union(words.select("block", "kind", "key", "a", none))
+    whole = F.lit(0).alias("piece")
+    parts = stage.select("block", "kind", "key", whole, "a", F.when(F.col("kind") == 0, F.col("b")).alias("b"))
+    parts = parts.union(grams.select("block", "kind", "key", "piece", "a", none)).union(words.select("block", "kind", "key", whole, "a", none))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
-    sums = parts.groupBy("block").applyInArrow(_add_up, schema)
+    sums = parts.groupBy("block").applyInArrow(lambda rows: _add_up(rows, cuts), schema)
     end = F.log10(F.lit(float(trained + 1)))
     base = F.col("base_log") + end - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return sums.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(trained > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
