@@ -16,10 +16,10 @@ from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, part_rows, table, texts_of, tokenizer_path
+from .common import bounded_batches, materialize, ranked, table, texts_of, tokenizer_path
 from .tokens import word_ids
 
 CAPACITY = 1024
@@ -207,23 +207,11 @@ def layout(chosen) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def ranked(rows: DataFrame, within: list[str], order: list[str], n_rows: int) -> DataFrame:
-    """rows with `rank` long: gapless from 0 within equal `within`. Numbers are given in chunks by hash, so no group is one task."""
-    chunks = part_rows(n_rows)
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
-    counts = rows.groupBy(*within, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*within, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    spot = Window.partitionBy(*within, "_chunk").orderBy(*order)
-    rows = rows.withColumn("_spot", F.row_number().over(spot) - 1)
-    return rows.join(base, [*within, "_chunk"]).withColumn("rank", (F.col("_base") + F.col("_spot")).cast("long")).drop("_chunk", "_base", "_spot")
-
-
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Pieces with sequence_id and offset: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    A null or empty text is one piece, its end token. Repeated rows are packed as often as they occur; rows with a null doc_id
-    too. Extra columns are ignored. An empty table gives an empty result. Ties are broken by doc_id, piece and checksum.
+    A null or empty text is one piece, its end token; a very long one is as many pieces as it takes. Repeated rows are packed as
+    often as they occur; rows with a null doc_id too. Extra columns are ignored. An empty table gives an empty result. Ties are broken by doc_id, piece and checksum.
     """
     spark = docs.sparkSession
     pieces = materialize(pieces_of(docs, capacity, path), "pieces")
@@ -232,7 +220,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     places = spark.createDataFrame(rows, "length long, a long, b long, m long, sequence long, at long")
     places = places.groupBy("length").agg(F.collect_list(F.struct("a", "b", "m", "sequence", "at")).alias("places"))
     r = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], sum(histogram.values()))
-    r = r.join(F.broadcast(places), "length")  # at most `capacity` rows, of a plan as long as its configurations
+    r = r.join(F.broadcast(places), "length")  # at most `capacity` rows; the plan has at most SOLUTIONS * ROUNDS * capacity configurations at any size
     r = r.withColumn("p", F.filter("places", lambda p: (p.a <= F.col("rank")) & (F.col("rank") < p.b))[0])
     k = F.col("rank") - F.col("p.a")
     return r.select(

@@ -1,23 +1,25 @@
 """Sharding by best-fit-decreasing bin packing (operator 2).
 
 Indivisible groups (equal texts) are sorted by size and each enters the bin with the tightest remaining capacity, found in a
-balanced tree of remaining capacities. For a given number of shards the capacity is the least one, from the mean size on, at
-which no further bin opens. Groups too small to matter are first tied into bundles by hash: a group of at least 1/GRAIN of the
-mean shard is an item of its own (so there are at most shards * GRAIN), the others share shards * GRAIN bundles; hence what the
-driver packs has a proven bound of 2 * shards * GRAIN items at any corpus size.
+balanced tree of remaining capacities. For a given number of shards the capacity is the least one found, from the mean size on,
+at which no further bin opens. The driver packs the histogram of group sizes, not the groups: of a run of equal groups the
+tightest bin takes as many as it has room for, which is what placing them one by one gives. There are at most sqrt(2 * bytes)
+different sizes, whatever the number of documents. Groups of a size are then numbered, and intervals of numbers go to bins.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, part_rows, table
+from .common import discard, materialize, part_rows, ranked, table
 
 SHARDS = 8
-GRAIN = 2048
+#: Most intervals that are broadcast; beyond, the join shuffles.
+MOST_PLACES = 1_000_000
 
 
 @dataclass
@@ -101,36 +103,60 @@ class CapacityTree:
         return best
 
 
+def best_fit_counts(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """(size, first, end, bin): which of the groups of each (size, how many), largest size first, go to which bin; None if more than
+    `most` bins would open."""
+    tree, bins, held, out = CapacityTree(), 0, None, []  # held: the bin that was filled last, outside the tree
+    for size, count in sizes:
+        at = 0
+        while at < count:
+            found = tree.tightest(size)
+            if not (held and held[0] >= size and (found is None or held < found)):
+                if found is None:
+                    if bins == most or size > capacity:
+                        return None
+                    fresh = (capacity, bins)
+                    bins += 1
+                else:
+                    fresh = found
+                    tree.remove(found)
+                if held:
+                    tree.insert(held)
+                held = fresh
+            n = min(count - at, held[0] // size)
+            out.append((size, at, at + n, held[1]))
+            held = (held[0] - n * size, held[1])
+            at += n
+    return out
+
+
 def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
     """The bin of each size in the given order of sizes; None if more than `most` bins would open. Ties go by position."""
-    tree, bins, out = CapacityTree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.tightest(sizes[i])
-        if found is None:
-            if bins == most or sizes[i] > capacity:
-                return None
-            found = (capacity, bins)
-            bins += 1
-        else:
-            tree.remove(found)
-        tree.insert((found[0] - sizes[i], found[1]))
-        out[i] = found[1]
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    got = best_fit_counts(sorted(Counter(sizes).items(), reverse=True), capacity, most)
+    if got is None:
+        return None
+    out = [0] * len(sizes)
+    for i, b in zip(order, (b for _, first, end, b in got for _ in range(end - first))):
+        out[i] = b
     return out
 
 
-def into_shards(sizes: list[int], shards: int) -> list[int]:
-    """Best fit decreasing with the least capacity found, by halving, at which `shards` bins hold all sizes."""
+def into_shards(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Best fit decreasing of (size, how many) with the least capacity found, by halving, at which `shards` bins hold all."""
+    sizes = sorted(sizes, reverse=True)
     if not sizes:
         return []
-    low = max(-(-sum(sizes) // shards), max(sizes))
-    best = best_fit_decreasing(sizes, low, shards)
+    largest = sizes[0][0]
+    low = max(-(-sum(s * n for s, n in sizes) // shards), largest)
+    best = best_fit_counts(sizes, low, shards)
     if best is not None:
         return best
-    high = low + max(sizes)  # at this much room no size finds all bins too full
-    best = best_fit_decreasing(sizes, high, shards)
+    high = low + largest  # at this much room no size finds all bins too full
+    best = best_fit_counts(sizes, high, shards)
     while high - low > max(1, low // 100_000):
         mid = (low + high) // 2
-        got = best_fit_decreasing(sizes, mid, shards)
+        got = best_fit_counts(sizes, mid, shards)
         if got is None:
             low = mid
         else:
@@ -138,29 +164,29 @@ def into_shards(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard): shards of near equal bytes, equal texts together.
 
     size is the UTF-8 bytes of the text plus 1; a null text has none and groups with the empty text. law is `bytes`. slot is
     gapless from 0 within a shard, in no promised order. Where one group is larger than the mean shard it makes its shard
-    larger, as groups are not divided. Repeated rows and null doc_ids are kept as rows; an empty table gives an empty result.
+    larger, as groups are not divided. Very long texts count by their bytes only. Repeated rows and null doc_ids are kept as
+    rows; extra columns go; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     raw = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("text_key"))
     rows = materialize(rows, "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    floor = max(1, total // (shards * grain))
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("group_size"))
-    large = groups.where(F.col("group_size") >= floor).select("text_key", F.hex("text_key").alias("own"), F.col("group_size"))
-    large = materialize(large, "large")  # at most shards * grain rows
-    bundle = F.concat(F.lit("#"), F.pmod(F.xxhash64("text_key"), F.lit(shards * grain)).cast("string"))
-    rows = rows.join(F.broadcast(large.select("text_key", "own")), "text_key", "left").select("doc_id", "size", "text_crc32", F.coalesce("own", bundle).alias("item"))
+    groups = materialize(rows.groupBy("text_key").agg(F.sum("size").alias("group_size")), "groups")
+    sizes = [tuple(r) for r in groups.groupBy("group_size").agg(F.count("*")).collect()]  # at most sqrt(2 * bytes)
+    places = into_shards(sizes, shards)
+    n_places = len(places)
+    places = spark.createDataFrame(places, "group_size long, first long, end long, shard int")
+    numbered = ranked(groups, ["group_size"], ["text_key"], sum(n for _, n in sizes))
+    placed = numbered.join(F.broadcast(places) if n_places <= MOST_PLACES else places, "group_size").where("first <= rank and rank < end")
+    placed = materialize(placed.select("text_key", "shard"), "placed")
+    rows = rows.join(placed, "text_key").select("doc_id", "size", "text_crc32", "shard")
     rows = materialize(rows, "items")
-    items = sorted(map(tuple, rows.groupBy("item").agg(F.sum("size")).collect()))  # at most 2 * shards * grain
-    bins = into_shards([s for _, s in items], shards)
-    placed = spark.createDataFrame([(k, b) for (k, _), b in zip(items, bins)], "item string, shard int")
-    rows = rows.join(F.broadcast(placed), "item")
+    discard(groups), discard(placed)
     return slots(rows, part_rows(rows.count())).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
