@@ -25,9 +25,9 @@ from .tokens import word_ids
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Documents in a file, about (a file ends at twice as many); and bytes that a reader holds.
-DOCS_PER_FILE, READ_BYTES = 20_000, 4 << 20
-#: Ranges of doc_id that tasks write; beyond, a task writes several files.
-MOST_RANGES = 10_000
+DOCS_PER_FILE, READ_BYTES = 10_000, 4 << 20
+#: Ranges that tasks write; beyond, a task writes several files.
+MOST_RANGES = 50_000
 MANIFEST = "bucket int, part int, path string, n_docs long, n_tokens long"
 
 
@@ -78,40 +78,29 @@ def read_record(path: str, k: int) -> tuple[int | None, np.ndarray]:
         return parsed(next(read_frames(f)))
 
 
-def encoded(docs: DataFrame, edges: list[int], path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(bucket, doc_id, ids): the ids of each whole text and the end id, and the file that the doc_id belongs to."""
+def written(docs: DataFrame, folder: str, path: str | None = None, per_file: int = DOCS_PER_FILE, end_id: int = END_ID) -> DataFrame:
+    """Writes docs in ascending order of doc_id (nulls first) and then of a hash of the text, and gives the manifest: bucket and part
+    (the place of the file in that order), path, n_docs, n_tokens.
+
+    Whole texts are dealt out by ranges of both, so neither one doc_id nor one text makes a range; a task encodes its range and
+    writes it.
+    """
     import pyarrow as pa
+    from pyspark import TaskContext
 
+    spark = docs.sparkSession
     path = path or tokenizer_path(TOKENIZER)
+    texts = texts_of(docs).withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = texts.repartitionByRange(min(MOST_RANGES, part_rows(docs.count(), per_file)), *order).sortWithinPartitions(*order)
 
     def run(batches):
         encoder = word_ids(path, False)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         kind = np.uint16 if width == 2 else np.uint32
-        bounds = np.asarray(edges, np.int64)
-        for b in batches:
-            doc_ids = b.column(0).to_pylist()
-            ids = [payload_of(d, np.append(np.frombuffer(x, np.uint32), np.uint32(end_id)).astype(kind).tobytes(), width) for d, x in zip(doc_ids, encoder.encode(b.column(1).to_pylist()))]
-            buckets = [0 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in doc_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), b.column(0), pa.array(ids, pa.binary())], names=["bucket", "doc_id", "ids"])
-
-    bounded_batches(docs.sparkSession)
-    return texts_of(docs).mapInArrow(run, "bucket int, doc_id long, ids binary")
-
-
-def written(docs: DataFrame, folder: str, path: str | None = None, per_file: int = DOCS_PER_FILE) -> DataFrame:
-    """Writes docs in ascending doc_id order (nulls first) and gives the manifest: bucket, part, path, n_docs, n_tokens."""
-    import pyarrow as pa
-
-    spark = docs.sparkSession
-    files = min(MOST_RANGES, part_rows(docs.count(), per_file))
-    edges = sorted({int(x) for x in docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / files for i in range(1, files)], 0.1 / files)}) if files > 1 else []
-    rows = encoded(docs, edges, path).repartition(2 * (len(edges) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-
-    def run(batches):
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
-        bucket, part, out = None, 0, []
+        bucket, part, data, out = TaskContext.get().partitionId(), 0, None, []
 
         def close():
             data.close()
@@ -120,19 +109,20 @@ def written(docs: DataFrame, folder: str, path: str | None = None, per_file: int
             out.append((bucket, part, f"{folder}/{name}", len(offsets), tokens))
 
         for b in batches:
-            for k, payload in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if k != bucket or len(offsets) >= 2 * per_file:
-                    if bucket is not None:
-                        close()
-                    part = part + 1 if k == bucket else 0
-                    bucket, name = k, f"part-{k:06d}-{uuid.uuid4().hex}.records"
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
+                if data is not None and len(offsets) >= 2 * per_file:
+                    close()
+                    part, data = part + 1, None
+                if data is None:
+                    name = f"part-{bucket:06d}-{part:06d}-{uuid.uuid4().hex}.records"
                     data, offsets, tokens, at = system.open_output_stream(f"{root}/{name}"), [], 0, 0
-                record = frame(payload)
+                own = np.append(np.frombuffer(ids, np.uint32), np.uint32(end_id)).astype(kind)
+                record = frame(payload_of(doc_id, own.tobytes(), width))
                 data.write(record)
                 offsets.append(at)
                 at += len(record)
-                tokens += (len(payload) - 10) // payload[9]
-        if bucket is not None:
+                tokens += len(own)
+        if data is not None:
             close()
         cols = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
@@ -142,7 +132,8 @@ def written(docs: DataFrame, folder: str, path: str | None = None, per_file: int
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files that the manifest names; every checksum is verified."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files that the manifest names; every checksum is verified, and that each record
+    lies where the index says."""
     import pyarrow as pa
 
     spark = manifest.sparkSession
@@ -158,9 +149,14 @@ def read_back(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 system, place = filesystem(path)
+                with system.open_input_stream(place + ".index") as f:
+                    offsets = np.frombuffer(f.read(), np.uint64).tolist()
                 with system.open_input_stream(place, buffer_size=READ_BYTES) as f:
-                    held = []
-                    for payload in read_frames(f):
+                    held, at = [], 0
+                    for payload, offset in zip(read_frames(f), offsets, strict=True):
+                        if at != offset:
+                            raise ValueError("a record does not lie where the index says")
+                        at += len(payload) + 16
                         doc_id, ids = parsed(payload)
                         held.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
@@ -174,7 +170,8 @@ def read_back(manifest: DataFrame) -> DataFrame:
 
 
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, written and read back. A null text is empty (its one id is the end id); rows with equal doc_id go in the
-    order of their payloads; rows with a null doc_id come first; an empty table gives no file and no row."""
+    """All documents, written and read back. A null text is empty (its one id is the end id); very long texts are whole; rows with
+    equal doc_id go in the order of a hash of their texts; rows with a null doc_id come first; extra columns go; an empty table gives
+    no file and no row."""
     docs = table(spark, sf_dir, "documents")
     return read_back(written(docs, new_path(spark, "records")))
