@@ -124,11 +124,14 @@ def join_lines(prev: Column | str, following: Column | str) -> Column:
     return F.when(a.rlike(r"\p{L}-$") & b.rlike(r"^\p{Ll}"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).otherwise(F.concat_ws(" ", a, b))
 
 
+# Words that start a chapter's heading.
+CHAPTER_START = "(?:chapter|part|book|prologue|epilogue|poglavlje|kapitel|chapitre|cap[ií]tulo|capitolo|teil|глава|часть)(?![A-Za-z0-9_])"
+
+
 def is_chapter_line(c: Column | str) -> Column:
     """A heading line of a plain text, at most 80 characters."""
     t = trim_ws(c)
-    names = "chapter|part|book|prologue|epilogue|poglavlje|kapitel|chapitre|cap[ií]tulo|capitolo|teil|глава|часть"
-    return (F.length(t) > 0) & (F.length(t) <= 80) & t.rlike(rf"(?i)^[ \t]*({names})(?![A-Za-z0-9_])")
+    return (F.length(t) > 0) & (F.length(t) <= 80) & t.rlike(rf"(?i)^[ \t]*{CHAPTER_START}")
 
 
 def is_citation(c: Column | str) -> Column:

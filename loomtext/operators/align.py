@@ -3,120 +3,161 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict, deque
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: the largest table of a gap that is compared exactly.
 MOST_CELLS = 1_000_000
 
 
 def rising(xs: list[int]) -> list[int]:
     """Positions of a longest strictly increasing subsequence."""
-    ends: list[int] = []
-    at: list[int] = []
-    back: list[int] = []
-    for i, x in enumerate(xs):
-        k = bisect_left(ends, x)
-        back.append(at[k - 1] if k else -1)
-        ends[k : k + 1], at[k : k + 1] = [x], [i]
-    out, i = [], at[-1] if at else -1
-    while i >= 0:
-        out.append(i)
-        i = back[i]
+    tails: list[int] = []
+    length = []
+    for x in xs:
+        k = bisect_left(tails, x)
+        tails[k : k + 1] = [x]
+        length.append(k + 1)
+    out, want, below = [], len(tails), None
+    for i in range(len(xs) - 1, -1, -1):
+        if length[i] == want and (below is None or xs[i] < below):
+            out.append(i)
+            want, below = want - 1, xs[i]
     return out[::-1]
 
 
-def _common(a, b) -> list[tuple[int, int]]:
-    """A longest common subsequence by a table; a step in a is preferred."""
-    rows = [[0] * (len(b) + 1)]
-    for x in reversed(a):
-        below, row = rows[-1], [0]
-        for j in range(len(b) - 1, -1, -1):
-            row.append(below[len(b) - 1 - j] + 1 if x == b[j] else max(below[len(b) - j], row[-1]))
-        rows.append(row)
-    size = lambda i, j: rows[len(a) - i][len(b) - j]
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many codes a and b have in common from the start."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence. rest[i, j] is its length for a[i:] and b[j:], filled a row at a time: a row is the running
+    maximum of what the row below gives. Of equal ways the one that passes over a text of a is taken."""
+    rest = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):
+        best = np.maximum(rest[i + 1, :-1], (rest[i + 1, 1:] + 1) * (b == a[i]))
+        rest[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    while rest[i, j]:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif size(i + 1, j) >= size(i, j + 1):
+        elif rest[i + 1, j] == rest[i, j]:
             i += 1
         else:
             j += 1
     return out
 
 
-def _in_order(a, b) -> list[tuple[int, int]]:
-    """Each text of b takes the first copy in a after the last one taken."""
-    places = defaultdict(list)
-    for i, x in enumerate(a):
-        places[x].append(i)
-    out, last = [], -1
-    for j, x in enumerate(b):
-        k = bisect_left(places[x], last + 1) if x in places else 0
-        if x in places and k < len(places[x]):
-            last = places[x][k]
-            out.append((last, j))
+def _next_copies(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Each code of b with its first copy in a after the one that was taken last, where there is one."""
+    copies = {int(x): np.flatnonzero(a == x) for x in np.intersect1d(a, b)}
+    out, free = [], 0
+    for j, x in enumerate(b.tolist()):
+        later = copies.get(x, np.zeros(0, int))
+        k = int(np.searchsorted(later, free))
+        if k < len(later):
+            out.append((int(later[k]), j))
+            free = int(later[k]) + 1
     return out
 
 
+def _single(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur once in x, and where."""
+    codes, first, n = np.unique(x, return_index=True, return_counts=True)
+    return codes[n == 1], first[n == 1]
+
+
+def _within(a: np.ndarray, b: np.ndarray, most_cells: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """Pairs of one stretch, and the stretches (of a, of b) between them that are to be looked at again."""
+    head = _alike(a, b)
+    tail = _alike(a[head:][::-1], b[head:][::-1])
+    pairs = [(k, k) for k in range(head)] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not len(a) or not len(b):
+        return pairs, []
+    (mine, at_a), (theirs, at_b) = _single(a), _single(b)
+    _, x, y = np.intersect1d(mine, theirs, return_indices=True)
+    order = np.argsort(at_b[y])
+    left, right = at_a[x][order].tolist(), at_b[y][order].tolist()
+    chain = [(left[k], right[k]) for k in rising(left)]
+    if not chain:
+        find = _exact if len(a) * len(b) <= most_cells else _next_copies
+        return pairs + [(head + i, head + j) for i, j in find(a, b)], []
+    edges = [(-1, -1), *chain, (len(a), len(b))]
+    between = [(head + i + 1, head + k, head + j + 1, head + m) for (i, j), (k, m) in zip(edges, edges[1:])]
+    return pairs + [(head + i, head + j) for i, j in chain], [z for z in between if z[0] < z[1] and z[2] < z[3]]
+
+
 def align(old: list[str], new: list[str], most_cells: int = MOST_CELLS) -> list[int | None]:
-    """For each new text the old one it matches, in order: ends first, then texts that are unique on both sides, then the gaps."""
+    """For each new text the old one it matches, in order: ends first, then texts that are unique on both sides, then the stretches
+    between, all of them at a time."""
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(t, len(codes)) for t in x], np.int64) for x in (old, new))
     match: list[int | None] = [None] * len(new)
-    gaps = [(0, len(old), 0, len(new))]
-    while gaps:
-        a, a_end, b, b_end = gaps.pop()
-        while a < a_end and b < b_end and old[a] == new[b]:
-            match[b] = a
-            a, b = a + 1, b + 1
-        while a < a_end and b < b_end and old[a_end - 1] == new[b_end - 1]:
-            a_end, b_end = a_end - 1, b_end - 1
-            match[b_end] = a_end
-        if a == a_end or b == b_end:
-            continue
-        mine, theirs = Counter(old[a:a_end]), Counter(new[b:b_end])
-        where = {x: i for i, x in enumerate(old[a:a_end], a) if mine[x] == 1}
-        anchors = [(where[x], j) for j, x in enumerate(new[b:b_end], b) if x in where and theirs[x] == 1]
-        if anchors:
-            chain = [anchors[k] for k in rising([i for i, _ in anchors])]
-            for i, j in chain:
-                match[j] = i
-            for (i, j), (i_end, j_end) in zip([(a - 1, b - 1), *chain], [*chain, (a_end, b_end)]):
-                gaps.append((i + 1, i_end, j + 1, j_end))
-        else:
-            find = _common if (a_end - a) * (b_end - b) <= most_cells else _in_order
-            for i, j in find(old[a:a_end], new[b:b_end]):
-                match[b + j] = a + i
+    stretches = [(0, len(a), 0, len(b))]
+    while stretches:
+        after = []
+        for i, k, j, m in stretches:
+            pairs, rest = _within(a[i:k], b[j:m], most_cells)
+            for x, y in pairs:
+                match[j + y] = i + x
+            after += [(i + p, i + q, j + r, j + t) for p, q, r, t in rest]
+        stretches = after
     return match
 
 
 def moved(old: list[str], new: list[str], match: list[int | None]) -> list[int | None]:
-    """match, with each new text left over taking the first unused old copy."""
-    used = set(match) - {None}
-    free = defaultdict(deque)
-    for i, x in enumerate(old):
-        if i not in used:
-            free[x].append(i)
-    return [m if m is not None else free[x].popleft() if free[x] else None for x, m in zip(new, match)]
+    """match, with the n-th new copy of a text that is left over taking the n-th old copy that is."""
+    taken = {m for m in match if m is not None}
+    n_old, n_new = Counter(), Counter()
+    spare = {}
+    for i, text in enumerate(old):
+        if i not in taken:
+            spare[text, n_old[text]] = i
+            n_old[text] += 1
+    out = []
+    for text, m in zip(new, match):
+        if m is None:
+            m = spare.get((text, n_new[text]))
+            n_new[text] += 1
+        out.append(m)
+    return out
 
 
-def align_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, new_blk, old_blk): each new block with the old block it matches, or null. Both have (key, blk, text); a document is
-    one group, as alignment needs all of it; old documents without a new version give nothing."""
+def aligned_in_order(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, new_blk, old_blk, text): each new block with the old block it matches in order, or null. Both have (key, blk, text); a
+    document is one group, as alignment needs all of it; old documents without a new version give nothing."""
     import pandas as pd
 
     def one(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
         before, after = before.sort_values("blk"), after.sort_values("blk")
-        a, b = before["text"].tolist(), after["text"].tolist()
-        found = moved(a, b, align(a, b))
+        found = align(before["text"].tolist(), after["text"].tolist())
         old_at = before["blk"].tolist()
-        return pd.DataFrame({key: after[key].tolist(), "new_blk": after["blk"].tolist(), "old_blk": pd.array([None if m is None else old_at[m] for m in found], dtype="Int64")})
+        return pd.DataFrame({key: after[key].tolist(), "new_blk": after["blk"].tolist(), "old_blk": pd.array([None if m is None else old_at[m] for m in found], dtype="Int64"), "text": after["text"].tolist()})
 
     cols = [key, "blk", "text"]
     kind = dict(new.dtypes)[key]
-    return old.select(cols).groupBy(key).cogroup(new.select(cols).groupBy(key)).applyInPandas(one, f"{key} {kind}, new_blk long, old_blk long")
+    return old.select(cols).groupBy(key).cogroup(new.select(cols).groupBy(key)).applyInPandas(one, f"{key} {kind}, new_blk long, old_blk long, text string")
+
+
+def moved_blocks(old: DataFrame, aligned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, new_blk, old_blk): of what aligned_in_order() left over, the n-th copy of a text with the n-th, as an equal join."""
+    used = aligned.where("old_blk is not null").select(key, F.col("old_blk").alias("blk"))
+    return match_leftovers(old.join(used, [key, "blk"], "left_anti"), aligned.where("old_blk is null").select(key, F.col("new_blk").alias("blk"), "text"), key)
+
+
+def align_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, new_blk, old_blk): each new block with the old block it matches in order or, moved, by its text; or null."""
+    aligned = aligned_in_order(old, new, key)
+    found = moved_blocks(old, aligned, key).withColumnRenamed("old_blk", "_moved")
+    return aligned.join(found, [key, "new_blk"], "left").select(key, "new_blk", F.coalesce("old_blk", "_moved").alias("old_blk"))
 
 
 def match_leftovers(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
