@@ -18,6 +18,12 @@ def normalize_term(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).lower().split()))
 
 
+@F.pandas_udf(T.StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """The text in NFC."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def slug_of(text: str, most: int | None = 40, default: str = "book") -> str:
     plain = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch)).lower()
     out = re.sub(r"[^a-z0-9]+", "-", plain).strip("-")

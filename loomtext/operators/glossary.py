@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import unicode as U
 
 _PALATAL = {"k": "c", "c": "k", "g": "z", "z": "g", "h": "s", "s": "h"}  # fixed values: endings that alternate
 
@@ -22,18 +23,26 @@ def term_pattern(key: Column | str) -> Column:
 
 
 def relevant_entries(texts: DataFrame, keys: list[str], glossary: DataFrame, most: int = 60) -> DataFrame:
-    """(keys, ord, term, target_term): the first `most` entries, in glossary order, whose term occurs in text.
+    """(keys, ord, term, target_term): the first `most` entries, in glossary order, whose term occurs in text; keys are unique.
 
-    Texts meet only the terms that share a run of letters and digits with them, by an equal join on it; the pattern then decides.
-    Terms without letters or digits go by a join on the pattern alone, against the few that there are.
+    Texts and terms in composed form meet by an equal join on one word, or sign, of the term; texts do not go along. A term that is
+    that word is found by that; only for longer ones the text is fetched and the pattern decides.
     """
-    g = glossary.select("ord", "term", "target_term", term_key("term").alias("_key")).where("_key <> ''")
-    g = g.withColumn("_first", F.regexp_extract("_key", r"([\p{L}\p{N}]+)", 1)).withColumn("_pattern", term_pattern("_key"))
-    rows = texts.select(*keys, "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("_first"))
-    hits = rows.join(g.where("_first <> ''"), "_first").where("text rlike _pattern").select(*keys, "ord", "term", "target_term")
-    odd = texts.select(*keys, "text").join(g.where("_first = ''"), F.expr("text rlike _pattern")).select(*keys, "ord", "term", "target_term")
+    token = r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"
+    g = glossary.select("ord", "term", "target_term", U.normalize_term("term").alias("_key")).where("_key <> ''")
+    first = F.when(F.col("_key").rlike(r"[\p{L}\p{N}]"), F.regexp_extract("_key", r"([\p{L}\p{N}]+)", 1)).otherwise(F.substring("_key", 1, 1))
+    g = g.withColumn("_first", first).withColumn("_pattern", F.when(F.col("_key") != first, term_pattern("_key")))
+    decomposed = F.col("text").rlike(r"[\p{M}\x{1100}-\x{11ff}\x{2126}\x{212a}\x{212b}]")
+    texts = texts.select(*keys, "text")
+    texts = texts.where(~decomposed).union(texts.where(decomposed).withColumn("text", U.composed("text")))
+    rows = texts.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(token), F.lit(1)))).alias("_first"))
+    met = rows.join(g, "_first")
+    cols = [*keys, "ord", "term", "target_term"]
+    hits = met.where("_pattern is null").select(cols)
+    if not g.where("_pattern is not null").isEmpty():
+        hits = hits.union(met.where("_pattern is not null").join(texts, keys).where("text rlike _pattern").select(cols))
     place = Window.partitionBy(*keys).orderBy("ord")
-    return hits.union(odd).withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= most).drop("_r")
+    return hits.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= most).drop("_r")
 
 
 def has_target(translation: Column, target: Column) -> Column:
@@ -55,8 +64,8 @@ def has_target(translation: Column, target: Column) -> Column:
 
 
 def merge_glossaries(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """(ord, source, target, gender, note): base rows stay; a row whose key is taken only fills the missing gender or note of the
-    last base row (or first new row) of that key; other new rows follow in order."""
+    """(added, ord, source, target, gender, note): base rows (added 0) stay; a row whose key is taken only fills the missing gender or
+    note of the last base row (or first new row) of that key; other new rows (added 1) follow in their order."""
     rows = base.withColumn("_new", F.lit(0)).unionByName(extra.withColumn("_new", F.lit(1))).withColumn("_key", term_key("source"))
     rows = rows.where((F.col("_new") == 0) | (F.col("_key") != ""))
     own = Window.partitionBy("_key")
@@ -67,7 +76,7 @@ def merge_glossaries(base: DataFrame, extra: DataFrame) -> DataFrame:
     later = lambda c: F.first(F.when((F.col("_n") > holder) & (F.col(c) != ""), F.col(c)), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     fill = lambda c: F.when(is_holder & (F.coalesce(F.col(c), F.lit("")) == ""), later(c)).otherwise(F.col(c)).alias(c)
     kept = rows.withColumn("_keep", (F.col("_new") == 0) | is_holder).select("_new", "ord", "source", "target", fill("gender"), fill("note"), "_keep")
-    return kept.where("_keep").select((F.col("_new") * 1_000_000_000 + F.col("ord")).alias("ord"), "source", "target", "gender", "note")
+    return kept.where("_keep").select(F.col("_new").alias("added"), "ord", "source", "target", "gender", "note")
 
 
 def parse_table(texts: DataFrame, keys: list[str]) -> DataFrame:

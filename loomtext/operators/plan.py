@@ -35,19 +35,22 @@ def pack(segments: DataFrame, keys: list[str], order: str, budget: int) -> DataF
     """segments with chunk: greedy packing in order within keys; a segment costs its tokens and an overhead.
 
     Whether a chunk ends depends on what came before, so it is a fold over the ordered segments of a key. Only (order, cost) pairs
-    are gathered, 16 bytes a segment; texts are not.
+    are gathered, 16 bytes a segment, and only the first segment of each chunk comes out of the fold; chunks are then counted along
+    the segments.
     """
     cost = F.col("tokens") + OVERHEAD
     gathered = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), cost.alias("t")))).alias("xs"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.lit(1).alias("chunk"), F.expr("cast(array() as array<struct<o:int,chunk:int>>)").alias("out"))
+    kind = dict(segments.dtypes)[order]
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<{kind}>)").alias("firsts"))
 
     def step(acc, x):
         full = (acc.used > 0) & (acc.used + x.t > budget)
-        chunk = F.when(full, acc.chunk + 1).otherwise(acc.chunk)
-        return F.struct(F.when(full, x.t).otherwise(acc.used + x.t).cast("long").alias("used"), chunk.alias("chunk"), F.concat(acc.out, F.array(F.struct(x.o.cast("int").alias("o"), chunk.alias("chunk")))).alias("out"))
+        return F.struct(F.when(full, x.t).otherwise(acc.used + x.t).cast("long").alias("used"), F.when(full, F.concat(acc.firsts, F.array(x.o))).otherwise(acc.firsts).alias("firsts"))
 
-    placed = gathered.select(*keys, F.explode(F.aggregate("xs", empty, step, lambda acc: acc.out)).alias("p")).select(*keys, F.col("p.o").alias(order), F.col("p.chunk").alias("chunk"))
-    return segments.join(placed, [*keys, order])
+    firsts = gathered.select(*keys, F.explode(F.aggregate("xs", empty, step, lambda acc: acc.firsts)).alias(order)).withColumn("_first", F.lit(1))
+    along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = segments.join(firsts, [*keys, order], "left")
+    return marked.withColumn("chunk", (1 + F.sum(F.coalesce("_first", F.lit(0))).over(along)).cast("int")).drop("_first")
 
 
 def chunks(packed: DataFrame, keys: list[str]) -> DataFrame:
