@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as X
 from loomtext.functions.unicode import slug_of
 from loomtext.operators import align, checks, glossary, pages, plan, protocol, script
+import loomtext.plans.lists  # noqa: F401
 import loomtext.plans.more  # noqa: F401
 import loomtext.plans.queries  # noqa: F401  registers the queries
 from loomtext.plans.registry import ORACLE_SQL, QUERIES
