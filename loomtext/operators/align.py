@@ -131,33 +131,29 @@ def moved(old: list[str], new: list[str], match: list[int | None]) -> list[int |
     return out
 
 
-def aligned_in_order(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, new_blk, old_blk, text): each new block with the old block it matches in order, or null. Both have (key, blk, text); a
-    document is one group, as alignment needs all of it; old documents without a new version give nothing."""
+def moved_blocks(old: DataFrame, new: DataFrame, aligned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, new_blk, old_blk): of what an alignment (key, new_blk, old_blk) left over, the n-th copy of a text with the n-th, as an
+    equal join; for alignments that are tables. align_blocks() does the same within a document."""
+    used = aligned.where("old_blk is not null")
+    left = lambda df, blk: df.join(used.select(key, F.col(blk).alias("blk")), [key, "blk"], "left_anti")
+    return match_leftovers(left(old, "old_blk"), left(new, "new_blk"), key)
+
+
+def align_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, new_blk, old_blk): each new block with the old block it matches in order or, moved, by its text; or null. Both have (key,
+    blk, text); a document is one group, as alignment needs all of it; old documents without a new version give nothing."""
     import pandas as pd
 
     def one(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
         before, after = before.sort_values("blk"), after.sort_values("blk")
-        found = align(before["text"].tolist(), after["text"].tolist())
+        texts = before["text"].tolist(), after["text"].tolist()
         old_at = before["blk"].tolist()
-        return pd.DataFrame({key: after[key].tolist(), "new_blk": after["blk"].tolist(), "old_blk": pd.array([None if m is None else old_at[m] for m in found], dtype="Int64"), "text": after["text"].tolist()})
+        found = [None if m is None else old_at[m] for m in moved(*texts, align(*texts))]
+        return pd.DataFrame({key: after[key].tolist(), "new_blk": after["blk"].tolist(), "old_blk": pd.array(found, dtype="Int64")})
 
     cols = [key, "blk", "text"]
     kind = dict(new.dtypes)[key]
-    return old.select(cols).groupBy(key).cogroup(new.select(cols).groupBy(key)).applyInPandas(one, f"{key} {kind}, new_blk long, old_blk long, text string")
-
-
-def moved_blocks(old: DataFrame, aligned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, new_blk, old_blk): of what aligned_in_order() left over, the n-th copy of a text with the n-th, as an equal join."""
-    used = aligned.where("old_blk is not null").select(key, F.col("old_blk").alias("blk"))
-    return match_leftovers(old.join(used, [key, "blk"], "left_anti"), aligned.where("old_blk is null").select(key, F.col("new_blk").alias("blk"), "text"), key)
-
-
-def align_blocks(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, new_blk, old_blk): each new block with the old block it matches in order or, moved, by its text; or null."""
-    aligned = aligned_in_order(old, new, key)
-    found = moved_blocks(old, aligned, key).withColumnRenamed("old_blk", "_moved")
-    return aligned.join(found, [key, "new_blk"], "left").select(key, "new_blk", F.coalesce("old_blk", "_moved").alias("old_blk"))
+    return old.select(cols).groupBy(key).cogroup(new.select(cols).groupBy(key)).applyInPandas(one, f"{key} {kind}, new_blk long, old_blk long")
 
 
 def match_leftovers(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

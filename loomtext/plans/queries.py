@@ -172,8 +172,7 @@ def j6_moved_blocks(spark, d):
     old, new = _versions(spark, d)
     kept = old.select("doc_id", F.col("blk").alias("old_blk"), F.col("text").alias("was")).where((F.col("doc_id") + F.col("old_blk")) % 3 > 0)
     found = new.join(kept, (new["doc_id"] == kept["doc_id"]) & (new["blk"] == kept["old_blk"]) & (new["text"] == kept["was"]), "left")
-    aligned = found.select(new["doc_id"], new["blk"].alias("new_blk"), "old_blk", new["text"])
-    return align.moved_blocks(old, aligned)
+    return align.moved_blocks(old, new, found.select(new["doc_id"], new["blk"].alias("new_blk"), "old_blk"))
 
 
 @query("""select l_orderkey, l_suppkey % 2 as blk, l_linenumber as part, bool_and(l_partkey % 9 > 0 and l_returnflag in ('A', 'N') and l_quantity > 2) over (partition by l_orderkey, l_suppkey % 2) as kept from lineitem""")
