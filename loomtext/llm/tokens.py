@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import regex
 
-#: Words kept by a worker (about 120 MB); beyond it the memory starts anew.
+#: Words kept by a worker (about 120 MB); beyond it the memory starts anew with the next batch.
 MOST_WORDS = 500_000
 
 # The patterns by which the two tokenizer files cut words.
@@ -32,6 +32,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Ids of words; a word that is not there is learnt as it is asked for, so each word of a text is looked up once."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self[key] = self.learn(key)
+        return ids
+
+
 class WordIds:
     """encode(texts) gives the ids of each text as little-endian uint32 bytes."""
 
@@ -45,8 +57,9 @@ class WordIds:
         self.model = self.tokenizer.model
         self.pattern = _BYTE_LEVEL if byte_level else _WORD_LEVEL
         self.letters = str.maketrans(byte_letters())
-        self.seen: dict[str, bytes] = {}
         self.short: dict[str, list[int]] = {}
+        self.ends = {x: array("I", self.part(x)).tobytes() for x in ".,"}
+        self.seen = Memory(self.learn)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,29 +90,30 @@ class WordIds:
             self.short[part] = ids
         return ids
 
-    def learn(self, keys: list[str]) -> None:
-        odd = []
-        for k in keys:
-            word = self.spelled(k)
-            try:
-                word.encode("latin-1")
-            except UnicodeEncodeError:
-                odd.append(k)
-                continue
-            if not self.byte_level:
-                word = word.lower()
-            body = word[1:] if word[0] == " " else word
-            if body.isalpha():
-                parts = (word,)
-            elif body[:-1].isalpha() and body[-1] in ".,":
-                parts = (word[:-1], body[-1])
-            else:
-                parts = self.pattern.findall(word)
-            ids: list[int] = []
-            for p in parts:
-                ids += self.part(p)
-            self.seen[k] = array("I", ids).tobytes()
-        self.seen.update(zip(odd, self.whole([self.spelled(k) for k in odd])))
+    def learn(self, key: str) -> bytes:
+        if key.isascii():
+            stem = key[:-1] if key[-1:] in self.ends else key
+            if stem.isalpha():  # one cut, its letters stand for themselves
+                ids = array("I", [t.id for t in self.model.tokenize("\u0120" + stem if self.byte_level else stem.lower())]).tobytes()
+                return ids if stem is key else ids + self.ends[key[-1]]
+        word = self.spelled(key)
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.whole([word])[0]
+        if not self.byte_level:
+            word = word.lower()
+        body = word[1:] if word[0] == " " else word
+        if body.isalpha():
+            parts = (word,)
+        elif body[:-1].isalpha() and body[-1] in ".,":
+            parts = (word[:-1], body[-1])
+        else:
+            parts = self.pattern.findall(word)
+        ids: list[int] = []
+        for p in parts:
+            ids += self.part(p)
+        return array("I", ids).tobytes()
 
     def spelled(self, key: str) -> str:
         if not self.byte_level or key[0] == "\n":
@@ -107,19 +121,10 @@ class WordIds:
         return key[1:] if key[0] == "\r" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
-        fresh: set[str] = set()
-        for words in cut:
-            if words:
-                fresh.update(words)
-        if len(self.seen) + len(fresh) > MOST_WORDS:
-            missing = fresh.difference(self.seen)
-            if len(self.seen) + len(missing) > MOST_WORDS:
-                self.seen = {k: self.seen[k] for k in fresh if k in self.seen}
-        fresh.difference_update(self.seen)
-        self.learn(list(fresh))
+        if len(self.seen) > MOST_WORDS:
+            self.seen.clear()
         get = self.seen.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self.whole([text])[0] for text, words in zip(texts, cut)]
+        return [b"".join(map(get, words)) if (words := self.words(text)) is not None else self.whole([text])[0] for text in texts]
 
 
 @lru_cache(maxsize=4)
