@@ -3,10 +3,10 @@
 Documents become pieces of at most `capacity` tokens. Only the histogram of piece lengths, at most `capacity` numbers, goes to
 the driver. The program "fewest sequences so that the chosen configurations hold every length as often as it occurs" is solved
 by multiplicative weights: each length has a price that falls as it is covered, a knapsack dynamic program over capacity finds
-the dearest configurations, and all near-dearest ones of a round are used. Of the fractional counts, those of configurations whose
-lengths are worth a whole sequence at the mean prices (the dual of the program) are rounded down, then the largest remainders taken
-while demand lasts; the program is solved again for what is left, and the last few go by best fit decreasing. All of it works on
-(length, how often), at any size the same way.
+the dearest configurations, and all near-dearest ones of a round are used. The fractional counts are rounded from the longest pieces
+down: whole counts first, then one more of each that has a remainder, while there are pieces; what is left is a smaller program,
+solved and rounded again. The last few pieces, with the few sequences that came out emptiest, go by best fit decreasing. All of it
+works on (length, how often), at any size the same way.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Rounds of pricing, and how much of the dearest configuration's value another must have to be used in its round.
-ROUNDS, NEAR = 120, 0.95
+ROUNDS, NEAR = 60, 0.95
 #: How fast a price falls with the covered share, and by how much of the demand a round may go beyond the mean share.
 RATE, STEP = 6.0, 0.1
-#: Solutions for what rounding left, and the least worth, at mean prices, of a configuration that rounding uses in the first ones
-#: and in the last.
-SOLUTIONS, WORTH, LAST_WORTH = 8, 0.999, 0.97
+#: Share of the tokens that one rounding places before the program is solved again for the rest.
+SHARE = 0.3
+#: Shares of the pieces that go by best fit decreasing: the last ones, and at most so many, in steps, of the
+#: emptiest sequences with them.
+TAIL, SPARE, SPARE_STEPS = 0.03, 0.06, 12
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,20 +82,16 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.nd
 Configuration = tuple[tuple[int, int], ...]
 
 
-def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[Configuration, float], np.ndarray]:
-    """Fractional solution {((index of length, how often), ...): how many sequences}, covering demand on average once, and the mean
-    price of each length, where the dearest configuration is worth 1."""
+def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[Configuration, float]:
+    """Fractional solution {((index of length, how often), ...): how many sequences}, covering demand on average once."""
     cover = np.zeros(len(lengths))
-    prices, weight = np.zeros(len(lengths)), 0.0
     used: dict[Configuration, float] = {}
-    for r in range(rounds):
+    for _ in range(rounds):
         share = cover / demand
         mean = float((cover * lengths).sum() / (demand * lengths).sum())
         values = lengths / capacity * np.exp(-RATE * (share - mean))
         best, last = price(values, lengths, capacity)
         full = best[capacity]
-        prices += values / full * (r + 1)  # later rounds know more
-        weight += r + 1
         behind = np.argsort(share, kind="stable")
         target = mean + STEP
         for j in behind:
@@ -114,7 +112,7 @@ def configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, round
             for k, m in key:
                 cover[k] += m * many
     scale = float((cover * lengths).sum() / (demand * lengths).sum()) if used else 1
-    return {k: v / max(scale, 1e-12) for k, v in used.items()}, prices / max(weight, 1e-12)
+    return {k: v / max(scale, 1e-12) for k, v in used.items()}
 
 
 def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Counter:
@@ -160,38 +158,91 @@ def best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
-    """[(((length, how often), ...), sequences)] that hold each length exactly as often as the histogram says."""
+def rounded(lengths: np.ndarray, demand: np.ndarray, found: dict[Configuration, float], capacity: int, share: float = SHARE) -> tuple[Counter, np.ndarray]:
+    """Whole counts of configurations, and what they leave of demand: from the longest piece down, until `share` of the tokens is
+    placed, each length's configurations (those in which it is the longest) by their whole counts, then one more of those with a
+    remainder, the fullest first, while there are pieces. Short pieces, which fit in anywhere, stay for later solutions."""
+    whole: Counter = Counter()
+    rest = demand.copy()
+    fill = {key: sum(int(lengths[k]) * m for k, m in key) for key in found}
+    of: dict[int, list[Configuration]] = {}
+    for key in found:
+        of.setdefault(key[-1][0], []).append(key)
+    goal, done = share * float((lengths * demand).sum()), 0
+    for j in range(len(lengths) - 1, -1, -1):
+        if done >= goal:
+            break
+        own = sorted(of.get(j, ()), key=lambda key: (-fill[key], -found[key], key))
+        for key, most in [(key, int(found[key])) for key in own] + [(key, 1) for key in own if found[key] > int(found[key])]:
+            n = min(most, min(int(rest[k]) // m for k, m in key))
+            if n > 0:
+                whole[key] += n
+                done += n * fill[key]
+                for k, m in key:
+                    rest[k] -= n * m
+    return whole, rest
+
+
+def _named(lengths: np.ndarray, whole: Counter) -> Counter:
+    return Counter({tuple((int(lengths[k]), m) for k, m in key): n for key, n in whole.items()})
+
+
+def _as_arrays(left: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
+
+
+def _emptiest(chosen: Counter, pieces: int, capacity: int) -> Counter:
+    """The sequences with the most room, as many as hold at most so many pieces."""
+    out: Counter = Counter()
+    for key, n in sorted(chosen.items(), key=lambda kn: (sum(a * m for a, m in kn[0]), kn[0])):
+        size = sum(m for _, m in key)
+        take = min(n, pieces // size)
+        if take:
+            out[key] = take
+            pieces -= take * size
+        if take < n or sum(a * m for a, m in key) == capacity:
+            break
+    return out
+
+
+def planned(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Configuration, int]], int]:
+    """[(((length, how often), ...), sequences)] that hold each length exactly as often as the histogram says, and how many pieces
+    shorter than the capacity are where rounding put them."""
     chosen: Counter = Counter()
     left = {n: c for n, c in sorted(histogram.items()) if c > 0}
-    if left.get(capacity):
-        chosen[((capacity, 1),)] = left.pop(capacity)
-    worth = WORTH
-    for _ in range(SOLUTIONS):
-        if not left:
+    full = left.pop(capacity, 0)
+    total = sum(left.values())
+    while sum(left.values()) > TAIL * total:
+        lengths, demand = _as_arrays(left)
+        whole, rest = rounded(lengths, demand, configurations(lengths, demand, capacity), capacity)
+        if not whole:
             break
-        lengths, demand = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
-        rest = demand.copy()
-        found, prices = configurations(lengths, demand, capacity)
-        worths = {key: sum(m * prices[k] for k, m in key) for key in found}
-        parts = sorted(((key, x) for key, x in found.items() if worths[key] >= worth), key=lambda p: (-worths[p[0]], -p[1], p[0]))
-        for whole in (True, False):
-            for key, x in parts if whole else sorted(parts, key=lambda p: (int(p[1]) - p[1], p[0])):
-                n = min(int(x) if whole else int(x > int(x)), min(int(rest[k]) // m for k, m in key))
-                if n > 0:
-                    chosen[tuple((int(lengths[k]), m) for k, m in key)] += n
-                    for k, m in key:
-                        rest[k] -= n * m
+        chosen.update(_named(lengths, whole))
         left = {int(a): int(b) for a, b in zip(lengths, rest) if b}
-        if rest.sum() > 0.95 * demand.sum():
-            if worth == LAST_WORTH:
-                break
-            worth = LAST_WORTH
-    if left:
-        lengths, demand = np.array(list(left), np.int64), np.array(list(left.values()), np.int64)
-        for key, n in best_fit(lengths, demand, capacity).items():
-            chosen[tuple((int(lengths[k]), m) for k, m in key)] += n
-    return sorted(chosen.items())
+    by_rounding = total - sum(left.values())
+    # the tail, with as many of the sequences that came out emptiest as saves most
+    pieces = lambda some: sum(n * sum(m for _, m in key) for key, n in some.items())
+    fewest, tail, out = None, Counter(), Counter()
+    for step in range(SPARE_STEPS + 1):
+        spare = _emptiest(chosen, int(SPARE * total * step / SPARE_STEPS), capacity)
+        more = Counter(left)
+        for key, n in spare.items():
+            more.update({a: m * n for a, m in key})
+        lengths, demand = _as_arrays(dict(sorted(more.items())))
+        packed_again = _named(lengths, best_fit(lengths, demand, capacity))
+        if fewest is None or packed_again.total() - spare.total() < fewest:
+            fewest, tail, out = packed_again.total() - spare.total(), packed_again, spare
+    chosen.subtract(out)
+    by_rounding -= pieces(out)
+    chosen.update(tail)
+    if full:
+        chosen[((capacity, 1),)] += full
+    return sorted((key, n) for key, n in chosen.items() if n), by_rounding
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
+    """The sequences of planned()."""
+    return planned(histogram, capacity)[0]
 
 
 def layout(chosen) -> list[tuple[int, int, int, int, int, int]]:
@@ -220,7 +271,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     places = spark.createDataFrame(rows, "length long, a long, b long, m long, sequence long, at long")
     places = places.groupBy("length").agg(F.collect_list(F.struct("a", "b", "m", "sequence", "at")).alias("places"))
     r = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], sum(histogram.values()))
-    r = r.join(F.broadcast(places), "length")  # at most `capacity` rows; the plan has at most SOLUTIONS * ROUNDS * capacity configurations at any size
+    r = r.join(F.broadcast(places), "length")  # at most `capacity` rows; the plan has at most ROUNDS * capacity configurations a solution, and solutions grow with log(1 / TAIL)
     r = r.withColumn("p", F.filter("places", lambda p: (p.a <= F.col("rank")) & (F.col("rank") < p.b))[0])
     k = F.col("rank") - F.col("p.a")
     return r.select(
