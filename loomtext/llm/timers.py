@@ -86,6 +86,7 @@ def _changes(changes: DataFrame) -> DataFrame:
 def _hot(rows: DataFrame) -> DataFrame:
     """(client, cuts, parts): quantiles of the times of clients with more than HOT_ROWS rows, and slots between two of them."""
     many = rows.where("client is not null").groupBy("client").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS)
+    many = materialize(many, "timers-many")  # of known size: a small one is sent to the rows, which so stay where they are
     shares = [i / QUANTILES for i in range(QUANTILES + 1)]
     timed = rows.where(F.col("t") > NONE).select("client", "t").join(many, "client")
     return timed.groupBy("client", "n").agg(F.percentile_approx("t", shares, 10_000).alias("cuts")).select("client", "cuts", F.ceil(F.col("n") / KEY_ROWS / QUANTILES).cast("long").alias("parts"))
