@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -53,7 +54,7 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
                 h = (h ^ ord(ch)) * 16777619 & 0xFFFFFFFF
             v[h % 64] += 1
             v[(h >> 8) % 64] += 0.5
-        norm = sum(x * x for x in v) ** 0.5 or 1.0
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
         return [x / norm for x in v]
 
     return texts.map(one)
