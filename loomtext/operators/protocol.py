@@ -26,7 +26,16 @@ def elements(reply: Column | str) -> Column:
 
 def parse_reply(reply: Column | str, expected: Column | str) -> Column:
     """struct(segments, missing, extra, duplicate, conflicting, ok): the first element of an id wins, a blank one is missing."""
-    es, want = elements(reply), X.col(expected)
+    return parse_elements(elements(reply), X.col(expected))
+
+
+def with_parsed(rows: DataFrame, reply: str, expected: str, name: str) -> DataFrame:
+    """rows with parse_reply() as column `name`; the reply's patterns run once for each row, not once for each id."""
+    return rows.withColumn("_elements", elements(reply)).withColumn(name, parse_elements(F.col("_elements"), X.col(expected))).drop("_elements")
+
+
+def parse_elements(es: Column, want: Column) -> Column:
+    """parse_reply() of elements that were taken from the reply before."""
     ids = F.transform(es, lambda e: e.id)
     distinct = F.array_distinct(ids)
     first = lambda i: F.element_at(F.filter(es, lambda e: e.id == i), 1).text

@@ -505,8 +505,7 @@ def x2_parsed_replies(spark, d):
     rows = c.select("conv_id", "turn", F.col("turn").cast("string").alias("seg_id"), body.alias("text"))
     req = protocol.format_segments(rows, ["conv_id"], "turn").join(c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.col("turn").cast("string"))).alias("ids"), F.min("turn").alias("low")).where("low = 0"), "conv_id")
     reply = F.concat(F.lit("Sure:\n"), F.col("request"), F.when(k % 3 == 1, "<seg id='x'>y</seg>").otherwise(""), F.when((k % 4 == 1) & (k % 3 != 0), "<seg id=0>other</seg>").otherwise(""))
-    p = req.select("conv_id", "ids", protocol.parse_reply(reply, "ids").alias("p"))
-    return p.select("conv_id", "ids", "p.missing", "p.extra", "p.duplicate")
+    return protocol.with_parsed(req.withColumn("reply", reply), "reply", "ids", "p").select("conv_id", "ids", "p.missing", "p.extra", "p.duplicate")
 
 
 @query("select user_id, sum(value) as v from (select user_id, list_sort(list(event_id))[1:3] as first from events group by 1) f join events e using (user_id) where list_contains(f.first, e.event_id) group by 1".replace("sum(value) as v", "count(*) as v"))
