@@ -32,6 +32,9 @@ TRAIN_LINES, EPOCHS, SEED = 400, 6, 7
 MOST_PARTS, LEAST_DIGITS, MOST_DIGITS, MOST_CHARS = 15, 7, 19, 64
 SIDE_CHARS, LEFT_PARTS, RIGHT_PARTS = 64, 8, 9
 
+#: Characters before a span in which a cue may stand; spans of a zone whose features are kept, or scored, at a time.
+CUE_CHARS, SEEN = 16, 10_000
+
 # The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,7 +112,7 @@ def features(text: str, start: int, end: int) -> list[str]:
     groups = _DIGITS.findall(span)
     digits = "".join(groups)
     rest = "".join(sorted(set(_DIGITS.sub("", span)) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")))
-    cue = _CUE.search(text, max(0, start - 16), start)
+    cue = _CUE.search(text, max(0, start - CUE_CHARS), start)
     quad = len(groups) == 4 and span == ".".join(groups)
     has_at = "@" in span or "(at)" in span.lower() or "[at]" in span.lower()
     out = [
@@ -181,17 +184,25 @@ class SemiCrf:
         self.weights = np.zeros((0, len(KINDS)))
 
     def rows(self, text: str, zone, grow: bool = False) -> list[list[int]]:
-        out = []
+        if grow:
+            return [[self.index.setdefault(n, len(self.index)) for n in features(text, a, b)] for a, b, _ in zone]
+        out, seen = [], {}  # a span and what stands around it often come again in a zone
         for a, b, _ in zone:
-            names = features(text, a, b)
-            if grow:
-                out.append([self.index.setdefault(n, len(self.index)) for n in names])
-            else:
-                out.append([self.index[n] for n in names if n in self.index])
+            key = text[max(0, a - CUE_CHARS - 1) : a], text[a:b], text[b : b + 1]
+            if key not in seen:
+                if len(seen) == SEEN:
+                    seen.clear()
+                seen[key] = [self.index[n] for n in features(text, a, b) if n in self.index]
+            out.append(seen[key])
         return out
 
     def scores(self, rows: list[list[int]], zone) -> np.ndarray:
-        s = np.array([self.weights[r].sum(0) for r in rows]).reshape(-1, len(KINDS))
+        s = np.zeros((len(rows), len(KINDS)))
+        if len(rows) == 1:
+            s[0] = self.weights[rows[0]].sum(0)
+        for i in range(0, len(rows) if len(rows) > 1 else 0, SEEN):
+            part = rows[i : i + SEEN]
+            np.add.at(s, np.repeat(np.arange(i, i + len(part)), [len(r) for r in part]), self.weights[[k for r in part for k in r]])
         numeric = np.array([n for _, _, n in zone], bool)
         s[numeric, 0] = -np.inf
         s[~numeric, 1:] = -np.inf

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, free_name, materialize, part_rows, table
+from .common import bounded_batches, discard, materialize, part_rows, table
 
 K, EVERY, FACTOR = 20, 20, 1.0
 #: Entries of a shard, queries of a block, points of a leaf.
@@ -150,10 +150,16 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0)).distinct()
 
 
+def _most_of_an_id(vectors: DataFrame, rows: DataFrame) -> int:
+    """How many distinct rows have one id at most: so many of a query's best may be its own."""
+    most = lambda df: df.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    return 1 if most(vectors.select("vec_id").where("vec_id is not null")) == 1 else most(rows)
+
+
 def _entries(rows: DataFrame, k: int) -> DataFrame:
-    """(v, ids): each distinct vector with its k + 1 smallest ids: no answer holds more of them."""
+    """(v, ids): each distinct vector with its k smallest ids: no answer holds more of them."""
     same = Window.partitionBy("v").orderBy("vec_id")
-    return rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
 def _cells(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -173,7 +179,7 @@ def _cells(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _routed(queries: DataFrame, sample: np.ndarray, pivots: np.ndarray, cells: list, k: int, factor: float, blocks: int) -> DataFrame:
-    """(shard, block, qid, least, v): queries with the score that counts from the sample alone, for each shard that may hold more."""
+    """(shard, block, qid, least, v): queries with the k-th best score in the sample alone, for each shard that may hold more."""
     import pyarrow as pa
 
     dim = pivots.shape[1]
@@ -185,8 +191,8 @@ def _routed(queries: DataFrame, sample: np.ndarray, pivots: np.ndarray, cells: l
                 q, ids = _matrix(part.column(0), dim), part.column(1).to_numpy()
                 q2 = (q * q).sum(1)
                 least = np.full(len(q), -np.inf)
-                if len(sample) > k:
-                    least = np.partition(q @ sample.T, -(k + 1), axis=1)[:, -(k + 1)] - SLACK * np.sqrt(q2 * (sample * sample).sum(1).max())
+                if len(sample) >= k:
+                    least = np.partition(q @ sample.T, -k, axis=1)[:, -k] - SLACK * np.sqrt(q2 * (sample * sample).sum(1).max())
                 who, shard = [], []
                 for cell, parts, radius, norm in cells:
                     diff = q - pivots[cell]
@@ -204,7 +210,7 @@ def _routed(queries: DataFrame, sample: np.ndarray, pivots: np.ndarray, cells: l
 
 
 def _searched(shards: DataFrame, routed: DataFrame, dim: int, k: int, factor: float) -> DataFrame:
-    """(qid, vec_id, score): what each shard has for each query, k + 1 rows at most."""
+    """(qid, vec_id, score): what each shard has for each query, k rows at most."""
     import pyarrow as pa
 
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
@@ -212,7 +218,7 @@ def _searched(shards: DataFrame, routed: DataFrame, dim: int, k: int, factor: fl
         if not entries.num_rows or not asked.num_rows:
             return pa.table(none)
         qid = asked["qid"].to_numpy()
-        a, b, s = Tree(_matrix(entries["v"], dim)).search(_matrix(asked["v"], dim), asked["least"].to_numpy(), k + 1, factor)
+        a, b, s = Tree(_matrix(entries["v"], dim)).search(_matrix(asked["v"], dim), asked["least"].to_numpy(), k, factor)
         lists = entries["ids"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -222,7 +228,7 @@ def _searched(shards: DataFrame, routed: DataFrame, dim: int, k: int, factor: fl
         order = np.lexsort((ids, -s, a))
         a, s, ids = a[order], s[order], ids[order]
         first = np.searchsorted(a, a, side="left")
-        top = np.arange(len(a)) - first <= k
+        top = np.arange(len(a)) - first < k
         return pa.table({"qid": qid[a[top]], "vec_id": ids[top], "score": s[top]})
 
     sides = [d.groupBy("shard", "block") for d in (shards, routed)]
@@ -239,9 +245,10 @@ def nearest(vectors: DataFrame, is_query, k: int = K, factor: float = FACTOR) ->
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = usable(vectors)
+    spare = _most_of_an_id(vectors, rows)
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))))
-    entries = materialize(_entries(rows, k), "vantage-entries")
+    entries = materialize(_entries(rows, k + spare), "vantage-entries")
     n_entries = entries.count()
     sample = np.array([r.v for r in entries.orderBy(F.xxhash64("ids"), "ids").limit(SAMPLE).collect()], float).reshape(-1, dim)
     pivots = sample[: min(PIVOTS, part_rows(n_entries, SHARD))] if len(sample) else np.zeros((1, dim))
@@ -250,13 +257,13 @@ def nearest(vectors: DataFrame, is_query, k: int = K, factor: float = FACTOR) ->
     cells = [(r.cell, part_rows(r.n, SHARD), r.r * (1 + SLACK), r.norm * (1 + SLACK)) for r in stats]
     parts = F.create_map(*[F.lit(x).cast("long") for c in cells for x in c[:2]])[F.col("cell")] if cells else F.lit(1).cast("long")
     asked = rows.where(is_query)
-    queries = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "vantage-queries")
+    queries = materialize(asked.select("v").distinct().withColumn("qid", F.monotonically_increasing_id()), "vantage-queries")
     blocks = part_rows(queries.count(), BLOCK)
     shard = F.shiftleft(F.col("cell"), 32) + F.pmod(F.xxhash64("ids"), parts)
     shards = celled.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "v", "ids")
-    found = _searched(shards, _routed(queries, sample, pivots, cells, k, factor, blocks), dim, k, factor)
+    found = _searched(shards, _routed(queries, sample, pivots, cells, k + spare, factor, blocks), dim, k + spare, factor)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + spare)
     lists = materialize(top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")), "vantage-found")
     by_query = asked.join(queries, "v").select("vec_id", "qid").join(lists, "qid")
     others = F.slice(F.filter("near", lambda x: x.vec_id != F.col("vec_id")), 1, k)
