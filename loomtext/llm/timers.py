@@ -31,7 +31,7 @@ DELAY = 36 * 3600 * 10**6
 #: About so many rows of all batches belong to a key; a client with more than HOT_ROWS is cut into slots.
 KEY_ROWS, HOT_ROWS = 20_000, 50_000
 #: Quantiles of a hot client's times between which its slots are cut evenly.
-QUANTILES = 64
+QUANTILES = 256
 #: A missing number.
 NONE = -(2**63)
 #: The clock of timers runs from 1970 to 2261.
