@@ -53,7 +53,7 @@ def _micros(c):
 
 
 def _batch(day):
-    """Number of a batch; what is earlier than the first day comes with batch 0."""
+    """Number of a batch; what is earlier than the first day comes with batch 0, a null day with the last one."""
     return F.greatest(F.lit(0), F.least(F.lit(BATCHES - 1), F.floor((day - FIRST_DAY) * BATCHES / DAYS))).cast("int")
 
 
@@ -68,7 +68,7 @@ def _number(c):
 def _sales(sales: DataFrame) -> DataFrame:
     s = sales
     return s.select(
-        F.coalesce(_batch(_day(s["arrived_at"])), F.lit(0)).alias("batch"), F.lit(SALE).alias("kind"), s["client_id"].cast("long").alias("client"), _number(s["sale_id"]).alias("id"), _micros(s["sold_at"]).alias("t"),
+        _batch(_day(s["arrived_at"])).alias("batch"), F.lit(SALE).alias("kind"), s["client_id"].cast("long").alias("client"), _number(s["sale_id"]).alias("id"), _micros(s["sold_at"]).alias("t"),
         F.lit(NONE).alias("seq"), F.lit(NONE).alias("cents"), F.lit(None).cast("string").alias("op"),
     )
 
@@ -364,7 +364,7 @@ def enriched(sales: DataFrame, changes: DataFrame) -> DataFrame:
     """(rec, id, batch, n_held, change_id, balance_cents, op) of every sale and every late change, see the module.
 
     Changes without valid_at take no part; repeated changes count once, repeated sales as often as they occur. A null client_id is
-    nobody: its sales have no versions. A null arrived_at comes with batch 0, and so does what is earlier than the first day. A null seq or
+    nobody: its sales have no versions. A null arrived_at comes with the last batch, as least() passes over nulls; what is earlier than the first day with batch 0. A null seq or
     change_id is the smallest. A sale without sold_at goes out in its own batch without a version. Extra columns count for telling
     repeated changes apart and are ignored otherwise. Empty tables give an empty result.
     """

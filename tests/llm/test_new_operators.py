@@ -97,7 +97,7 @@ def replay(sales, changes):
     distinct = {tuple(sorted(c.items(), key=lambda kv: kv[0])): c for c in changes if c["valid_at"] is not None}.values()
     by_sale, by_change = defaultdict(list), defaultdict(list)
     for s in sales:
-        by_sale[0 if s["arrived_at"] is None else cut(day(s["arrived_at"]))].append(s)
+        by_sale[9 if s["arrived_at"] is None else cut(day(s["arrived_at"]))].append(s)
     for c in distinct:
         by_change[cut(day(c["valid_at"]) + zlib.crc32(str(c["change_id"]).encode()) % 4)].append(c)
     out, waiting, held = [], [], defaultdict(list)
@@ -232,6 +232,7 @@ def test_variants_against_all_pairs(spark):
                 w = rng.choice([w[:k] + c + w[k:], w[:k] + w[k + 1 :], w[:k] + c + w[k + 1 :]])
             words.append(w if rng.random() < 0.7 else w.upper())
         docs.append((i, rng.choice([" ", "-", " 1 "]).join(words)))
+    docs += [(1000 + i, "chainaa " * 22 + "chainab " * 3 + "chainbb " * (i < 5)) for i in range(10)]
     docs += [(None, "Banana " * 7), (None, None), (-3, ""), (5, None), docs[0], docs[0]]
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n int, word string")
     want = brute_variants(docs)
