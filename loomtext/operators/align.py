@@ -176,3 +176,35 @@ def runs(items: DataFrame, keys: list[str], order: str, origin: str) -> DataFram
     first = F.row_number().over(along) == 1
     change = first | ~F.col(origin).eqNullSafe(F.lag(origin).over(along))
     return items.withColumn("_c", change.cast("int")).withColumn("run", F.sum("_c").over(along)).drop("_c")
+
+
+def refreshed(new: DataFrame, old: DataFrame, aligned: DataFrame, key: str, budget: int) -> DataFrame:
+    """(key, blk, text, tokens, old_blk, from_chunk, chunk, state, final): the chunk list of a source after it changed.
+
+    new has (key, blk, text, tokens), old (key, blk, text, chunk, state, final), aligned (key, new_blk, old_blk). A block whose text is that of its
+    old block, in a finished chunk with a final text, keeps it; blocks that follow one another out of one old chunk stay a chunk with its
+    state. The gaps between are packed anew, pending. Chunks are numbered through in order.
+    """
+    from .plan import pack
+
+    matched = aligned.where("old_blk is not null").select(key, F.col("new_blk").alias("blk"), "old_blk")
+    was = old.select(key, F.col("blk").alias("old_blk"), F.col("text").alias("_text"), F.col("chunk").alias("_chunk"), F.col("state").alias("_state"), F.col("final").alias("_final"))
+    items = new.select(key, "blk", "text", "tokens").join(matched, [key, "blk"], "left").join(was, [key, "old_blk"], "left")
+    keeps = (F.col("text") == F.col("_text")) & F.col("_state").isin("done", "flagged") & F.col("_final").isNotNull()
+    items = items.withColumn("from_chunk", F.when(keeps, F.col("_chunk"))).withColumn("final", F.when(keeps, F.col("_final"))).withColumn("state", F.when(keeps, F.col("_state")).otherwise("pending"))
+    items = runs(items.drop("_text", "_chunk", "_state", "_final"), [key], "blk", "from_chunk")
+    fresh = pack(items.where("from_chunk is null"), [key, "run"], "blk", budget).withColumnRenamed("chunk", "_in")
+    both = items.where("from_chunk is not null").withColumn("_in", F.lit(1)).unionByName(fresh)
+    return both.withColumn("chunk", F.dense_rank().over(Window.partitionBy(key).orderBy("run", "_in"))).select(key, "blk", "text", "tokens", "old_blk", "from_chunk", "chunk", "state", "final")
+
+
+def refresh_report(after: DataFrame, old: DataFrame, aligned: DataFrame, key: str) -> DataFrame:
+    """(key, kept, to_translate, removed, chunks, chunks_kept, edits_kept, edits_dropped) of what refreshed() gave; old has `edited`."""
+    here = after.groupBy(key).agg(F.count("from_chunk").alias("kept"), F.count(F.when(F.col("from_chunk").isNull(), 1)).alias("to_translate"), F.max("chunk").alias("chunks"), F.countDistinct(F.when(F.col("from_chunk").isNotNull(), F.col("chunk"))).alias("chunks_kept"))
+    carried_ = after.where("from_chunk is not null").select(key, F.col("old_blk").alias("blk"), F.lit(1).alias("_carried"))
+    matched = aligned.where("old_blk is not null").select(key, F.col("old_blk").alias("blk"), F.lit(1).alias("_matched")).distinct()
+    mine = F.coalesce(F.col("edited"), F.lit(False)) & F.col("final").isNotNull()
+    before = old.join(carried_, [key, "blk"], "left").join(matched, [key, "blk"], "left").groupBy(key).agg(
+        F.count(F.when(F.col("_matched").isNull(), 1)).alias("removed"), F.count(F.when(mine & F.col("_carried").isNotNull(), 1)).alias("edits_kept"), F.count(F.when(mine & F.col("_carried").isNull(), 1)).alias("edits_dropped")
+    )
+    return before.join(here, key, "full").select(key, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("kept", "to_translate", "removed", "chunks", "chunks_kept", "edits_kept", "edits_dropped")))

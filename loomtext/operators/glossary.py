@@ -98,3 +98,30 @@ def table_text(entries: DataFrame, keys: list[str]) -> DataFrame:
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in ("source", "target", "type", "gender", "note"))), F.lit(" |"))
     head = "| Source | Target | Type | Gender | Note |\n|---|---|---|---|---|\n"
     return entries.groupBy(*keys).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("line")))), lambda s: s.line), "\n"), F.lit("\n")).alias("text"))
+
+
+# The types of a term.
+TERM_TYPES = ["person", "place", "org", "term", "phrase"]
+
+
+def merge_passes(existing: DataFrame, passes: DataFrame) -> DataFrame:
+    """(added, ord, source, target, gender, note, type): the glossary after passes over the text, (pass, ord, source, target, type, gender, note, failed).
+
+    Passes are read side by side and merged once: the first row of a term wins and later ones fill its gaps, which is what merging
+    pass after pass gives. Rows of failed passes, without source or without target are left out; unknown types become `term`. If there are passes and
+    all have failed, reading the result fails.
+    """
+    clean = lambda c: X.trim_ws(F.coalesce(F.col(c), F.lit("")))
+    kind = F.lower(clean("type"))
+    typed = lambda df: df.withColumn("type", F.when(kind.isin(TERM_TYPES), kind).otherwise("term"))
+    good = passes.where(~F.coalesce("failed", F.lit(False)) & (clean("source") != "") & (clean("target") != ""))
+    row = lambda df, order: df.select(order.alias("ord"), clean("source").alias("source"), clean("target").alias("target"), F.nullif(F.lower(clean("gender")), F.lit("")).alias("gender"), F.nullif(clean("note"), F.lit("")).alias("note"), "type")
+    extra = row(typed(good), F.struct(F.col("pass").cast("long").alias("pass"), F.col("ord").cast("long").alias("ord")))
+    base = existing.select(F.struct(F.lit(0).cast("long").alias("pass"), F.col("ord").cast("long").alias("ord")).alias("ord"), "source", "target", "gender", "note")
+    kinds = extra.groupBy(term_key("source").alias("_k")).agg(F.min_by("type", "ord").alias("_type"))
+    old = existing.groupBy(term_key("source").alias("_k")).agg(F.min_by("type", "ord").alias("_old"))
+    out = merge_glossaries(base, extra.drop("type")).withColumn("_k", term_key("source")).join(old, "_k", "left").join(kinds, "_k", "left")
+    lost = passes.agg((F.count("*") > 0).alias("some"), F.coalesce(F.bool_and(F.coalesce("failed", F.lit(False))), F.lit(False)).alias("all"))
+    out = out.crossJoin(F.broadcast(lost))  # one row
+    fine = F.when(F.col("some") & F.col("all"), F.raise_error(F.lit("every glossary pass failed")).cast("int")).otherwise(F.col("added"))
+    return out.select(fine.alias("added"), F.col("ord.pass").alias("pass"), F.col("ord.ord").alias("ord"), "source", "target", "gender", "note", F.coalesce("_old", "_type").alias("type"))

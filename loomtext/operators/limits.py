@@ -36,3 +36,39 @@ def burst_tokens(events: DataFrame, key: str, ts: str, text: str, order: str, mi
 def latest(events: DataFrame, key: str, ts: str, order: str, value: str) -> DataFrame:
     """(key, value): the last event of each key; what a reducer of an event stream keeps."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(ts, order)).alias(value))
+
+
+def in_force(requests: DataFrame, limits: DataFrame, key: str, ts: str, values: list[str], width: str = "DAY") -> DataFrame:
+    """requests with the values of the last of limits (key, ts, values) at or before their time; null before the first.
+
+    Both are cut by day (or `width`), so no key is one task: a day knows its own limits and the last one before it, which comes from a
+    window over the limits and the days alone. Of limits at one time the largest values hold. Extra columns of requests stay.
+    """
+    t = F.col(ts).cast("timestamp")
+    day = lambda df: df.withColumn("_day", F.date_trunc(width, t))
+    value = F.struct(*values)
+    told = day(limits.where(F.col(ts).isNotNull()).select(key, ts, value.alias("_v"))).groupBy(key, "_day", ts).agg(F.max("_v").alias("_v"))
+    asked = day(requests)
+    ends = told.groupBy(key, "_day").agg(F.max_by("_v", ts).alias("_v"))
+    days = asked.select(key, "_day").distinct().join(ends, [key, "_day"], "full")
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(key, "_day", F.last("_v", ignorenulls=True).over(before).alias("_before"))
+    # what holds from each change to the next of its day, matched by position rather than by a range join
+    name = "_request"
+    rows = asked.withColumn(name, F.struct(*[F.col(c) for c in requests.columns])).select(key, "_day", F.col(ts).alias("_t"), F.lit(1).alias("_kind"), name, F.lit(None).cast(told.schema["_v"].dataType).alias("_v"))
+    changes = told.select(key, "_day", F.col(ts).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema[name].dataType).alias(name), "_v")
+    along = Window.partitionBy(key, "_day").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.unionByName(changes).withColumn("_now", F.last("_v", ignorenulls=True).over(along)).where("_kind = 1")
+    on = (seen[key].eqNullSafe(carried[key])) & (seen["_day"].eqNullSafe(carried["_day"]))
+    out = seen.join(carried, on, "left").withColumn("_now", F.coalesce("_now", "_before"))
+    return out.select(*(F.col(f"{name}.{c}").alias(c) for c in requests.columns), *(F.col(f"_now.{v}").alias(v) for v in values))
+
+
+def with_live_limits(requests: DataFrame, read_limits, key: str, ts: str, values: list[str], sink):
+    """A streaming writer of requests with the limits in force: limits are read anew (read_limits(spark)) for each micro-batch, so a change is
+    seen from the next one on; sink(rows, batch) writes, and has to be the same for a batch that comes again."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        sink(in_force(batch, read_limits(batch.sparkSession), key, ts, values), number)
+
+    return requests.writeStream.foreachBatch(each)

@@ -1,4 +1,4 @@
-"""Queries of whole runs: the project runner over conversations, with a model of columns that forgets, repeats and breaks tags."""
+"""Queries of whole runs: the runner over conversations, alias chains, glossary passes, refreshed chunk lists, limits, names, digests."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import protocol, runner
+from ..operators import align, chains, digests, glossary, limits, plan, protocol, runner, script
 from ..operators.stages import new_folder
-from .inputs import TRIM
+from . import inputs as I
+from .inputs import SEGMENTS, TRIM
 from .registry import query, table
 
 
@@ -69,3 +70,145 @@ def g1_project_runs(spark, d):
     out = runner.run(conversation_chunks(spark, d), ["conv_id"], column_model, 2, new_folder(spark, "runs"))
     chars = F.aggregate(F.map_values("final"), F.lit(0).cast("long"), lambda n, t: n + F.length(t))
     return out.select("conv_id", "state", F.size("final").cast("long").alias("n_final"), chars.alias("chars"), "asks")
+
+
+_TARGET = "case when event_id % 50 = 0 then 'm' || event_id when event_id % 101 = 1 then 'a' || event_id + 1 when event_id % 101 = 2 then 'a' || event_id - 1 when event_id < 8 then 'm' || event_id else 'a' || event_id - event_id % 7 - 1 end"
+
+
+@query(f"""with recursive e as (select 'a' || event_id as alias, {_TARGET} as target from events),
+ r as (select alias, target, 1 as steps from e union select r.alias, e.target, least(r.steps + 1, 60) from r join e on e.alias = r.target where r.steps < 60),
+ last as (select alias, target, steps from r where target like 'm%')
+ select e.alias, last.target, last.steps::bigint as steps, last.alias is null as circular from e left join last using (alias)""")
+def m8_resolved_aliases(spark, d):
+    """Aliases that lead down to every fiftieth, which names a model, but for some that lead round in a circle."""
+    k = F.col("event_id")
+    a = lambda n: F.concat(F.lit("a"), n.cast("string"))
+    m = F.concat(F.lit("m"), k.cast("string"))
+    target = F.when(k % 50 == 0, m).when(k % 101 == 1, a(k + 1)).when(k % 101 == 2, a(k - 1)).when(k < 8, m).otherwise(a(k - k % 7 - 1))
+    return chains.resolved(table(spark, d, "events").select(a(k).alias("alias"), target.alias("target")), new_folder(spark, "chains"))
+
+
+_DEFAULTS = "map {'b': case when p_partkey % 2 = 0 then p_brand end, 'a': case when p_partkey % 3 = 0 then p_type end, 'c': case when p_partkey % 5 = 0 then '' end}"
+
+
+@query(f"""with p as (select p_partkey, case when p_partkey % 4 = 0 then [p_name] when p_partkey % 4 = 1 then [] end as given, {_DEFAULTS} as defaults, case when p_partkey % 7 > 2 then ['c', 'x', 'b'] end as "order" from part),
+ l as (select p_partkey, given, list_filter(list_transform("order", lambda g: defaults[g]), lambda x: x is not null and x <> '') as a, list_filter([defaults['a'], defaults['b'], defaults['c']], lambda x: x is not null and x <> '') as b from p)
+ select p_partkey, case when len(given) > 0 then given when len(a) > 0 then a when len(b) > 0 then b else ['deepseek/deepseek-flash', 'strata/default'] end as fallbacks from l""")
+def m8_fallback_lists(spark, d):
+    k = F.col("p_partkey")
+    given = F.when(k % 4 == 0, F.array("p_name")).when(k % 4 == 1, F.expr("cast(array() as array<string>)"))
+    defaults = F.create_map(F.lit("b"), F.when(k % 2 == 0, F.col("p_brand")), F.lit("a"), F.when(k % 3 == 0, F.col("p_type")), F.lit("c"), F.when(k % 5 == 0, F.lit("")))
+    order = F.when(k % 7 > 2, F.array(F.lit("c"), F.lit("x"), F.lit("b")))
+    return table(spark, d, "part").select("p_partkey", chains.fallback_list(given, defaults, order).alias("fallbacks"))
+
+
+_LISTED = "(select user_id, list({'ref': case when event_id % 9 = 0 then 'role' else 'p' || event_id % 4 || '/m' || event_id % 3 end, 'kind': 'p' || event_id % 4, 'client': event_id % 4 = 3 and event_id % 9 > 0} order by event_id)[1:6] as refs from events group by user_id)"
+_ROWS = "[" + ", ".join(f"{{'now': '{r}', 'was': '{r}', 'kind': '{r.split('/')[0]}', 'taken': false}}" for r in ("p0/m1", "p1/m0", "p0/m2", "p2/m0", "p1/m2", "q/x")) + "]"
+
+
+@query(f"""with recursive l as (select user_id, refs, list_filter(refs, lambda r: r.ref like '%/%' and not r.client) as mine from {_LISTED}),
+ f as (select user_id, refs, mine, 1 as i, {_ROWS} as slots, []::varchar[] as placed from l union all
+  select user_id, refs, mine, i + 1, case when pos > 0 then list_transform(slots, lambda s, k: case when k = pos then {{'now': ref, 'was': s.was, 'kind': s.kind, 'taken': true}} else s end) else slots end, case when pos > 0 then list_append(placed, ref) else placed end
+  from (select *, mine[i].ref as ref, coalesce(nullif(coalesce(list_position(list_transform(slots, lambda s: not s.taken and s.was = mine[i].ref), true), 0), 0), list_position(list_transform(slots, lambda s: not s.taken and s.kind = mine[i].kind), true), 0) as pos from f where i <= len(mine))),
+ z as (select *, list_transform(list_filter(slots, lambda s: s.taken and s.now <> s.was), lambda s: s.was) as gone from f where i = len(mine) + 1),
+ o as (select user_id, list_concat(list_transform(list_filter(refs, lambda r: r.client), lambda r: r.ref), list_transform(slots, lambda s: s.now), list_transform(list_filter(refs, lambda r: not list_contains(placed, r.ref) and not list_contains(gone, r.ref)), lambda r: r.ref)) as xs from z)
+ select user_id, list_filter(xs, lambda x, i: list_position(xs, x) = i) as "order" from o""")
+def o2_shared_order(spark, d):
+    """Lists of six models under one order of six rows: own rows, rows of their kind, clients first, aliases last."""
+    k = F.col("event_id")
+    kind = F.concat(F.lit("p"), (k % 4).cast("string"))
+    ref = F.when(k % 9 == 0, "role").otherwise(F.concat(kind, F.lit("/m"), (k % 3).cast("string")))
+    one = F.struct(k, ref.alias("ref"), kind.alias("kind"), ((k % 4 == 3) & (k % 9 > 0)).alias("client"))
+    lists = table(spark, d, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(one)), 1, 6).alias("refs"))
+    rows = F.array(*(F.struct(F.lit(r).alias("ref"), F.lit(r.split("/")[0]).alias("kind")) for r in ("p0/m1", "p1/m0", "p0/m2", "p2/m0", "p1/m2", "q/x")))
+    return lists.select("user_id", chains.shared_order(F.col("refs"), rows).alias("order"))
+
+
+@query("select folder, sha256(string_agg(name || chr(0) || content || chr(0), '' order by name)) as sha256 from (select doc_id // 20 as folder, 'doc-' || lpad(doc_id::varchar, 12, '0') || '.md' as name, coalesce(text, '') as content from documents) group by folder")
+def n5_folder_digests(spark, d):
+    """Twenty documents are a folder."""
+    files = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("folder"), F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".md")).alias("name"), F.col("text").alias("content"))
+    return digests.folder_digests(files, "folder", "name", "content")
+
+
+_LIMIT = "(select user_id % 20 as provider, ts, max(floor(value)::bigint) as rpm from events where event_type = 'error' and value is not null group by all)"
+
+
+@query(f"select r.event_id, r.provider, l.rpm from (select event_id, user_id % 20 as provider, ts from events where event_type <> 'error') r asof left join {_LIMIT} l on r.provider = l.provider and r.ts >= l.ts")
+def t8_limits_in_force(spark, d):
+    """Errors change the limit of their provider; every other event has the limit that holds at its time."""
+    e = table(spark, d, "events").withColumn("provider", F.col("user_id") % 20)
+    changes = e.where("event_type = 'error' and value is not null").select("provider", "ts", F.floor("value").cast("long").alias("rpm"))
+    asked = e.where("event_type <> 'error'").select("event_id", "provider", "ts")
+    return limits.in_force(asked, changes, "provider", "ts", ["rpm"]).select("event_id", "provider", "rpm")
+
+
+@query("""with p as (select p_partkey % 6 as pass, p_partkey as ord, trim(p_name) as source, p_type as target, case when p_partkey % 5 = 0 then 'f' else '' end as gender, case when p_partkey % 3 = 0 then p_brand end as note, case when p_partkey % 4 = 0 then 'PLACE' else 'thing' end as type from part where p_partkey % 6 <> 3 and p_partkey % 11 <> 0),
+ o as (select 0 as pass, p_partkey as ord, p_name as source, 'own' as target, null as gender, null as note, 'phrase' as type from part where p_partkey < 20 and p_partkey in (select min(p_partkey) from part group by lower(p_name))),
+ b as (select *, 0 as rank from o union all select *, 1 from p),
+ k as (select lower(source) as k, max(struct_pack(rank := -rank, pass := -pass, ord := -ord, source := source, target := target, type := case when lower(type) in ('place', 'phrase') then lower(type) else 'term' end)) as first,
+  arg_min(nullif(gender, ''), (rank, pass, ord)) filter (nullif(gender, '') is not null) as gender, arg_min(note, (rank, pass, ord)) filter (note is not null) as note from b group by 1)
+ select (-first.rank)::int as added, (-first.pass)::bigint as pass, (-first.ord)::bigint as ord, first.source as source, first.target as target, gender, note, first.type as type from k""")
+def g4_glossary_passes(spark, d):
+    """Five passes that worked and one that failed, over an own glossary without genders and notes."""
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part")
+    passes = parts.select((k % 6).alias("pass"), k.alias("ord"), F.concat(F.lit(" "), "p_name").alias("source"), F.when(k % 11 != 0, F.col("p_type")).otherwise(" ").alias("target"), F.when(k % 4 == 0, "PLACE").otherwise("thing").alias("type"), F.when(k % 5 == 0, "F").otherwise("").alias("gender"), F.when(k % 3 == 0, F.col("p_brand")).alias("note"), (k % 6 == 3).alias("failed"))
+    least = parts.groupBy(F.lower("p_name")).agg(F.min("p_partkey").alias("p_partkey"))
+    none = F.lit(None).cast("string")
+    own = parts.where("p_partkey < 20").join(least.select("p_partkey"), "p_partkey", "left_semi").select(k.alias("ord"), F.col("p_name").alias("source"), F.lit("own").alias("target"), none.alias("gender"), none.alias("note"), F.lit("phrase").alias("type"))
+    return glossary.merge_passes(own, passes)
+
+
+_BUDGET = 150
+_PACK = lambda rows, key: f"""select {key}, blk, r, t as used, 1 as pack, t from {rows} where r = 1 union all
+  select {", ".join("s." + c for c in key.split(", "))}, s.blk, s.r, case when p.used + s.t > {_BUDGET} then s.t else p.used + s.t end, case when p.used + s.t > {_BUDGET} then p.pack + 1 else p.pack end, s.t"""
+_REFRESHED = f"""with recursive o1 as (select doc_id, blk, text, tokens + 8 as t, row_number() over (partition by doc_id order by blk) as r from {SEGMENTS}),
+ op as ({_PACK("o1", "doc_id")} from op p join o1 s on s.doc_id = p.doc_id and s.r = p.r + 1),
+ old as (select doc_id, blk, text, pack as chunk, case when (doc_id + pack) % 5 = 0 then 'failed' when (doc_id + pack) % 5 = 1 then 'flagged' else 'done' end as state, blk % 13 = 5 as edited from op join o1 using (doc_id, blk)),
+ new as (select doc_id, blk, case when blk % 11 = 3 then text || '!' else text end as text, tokens + 8 as t from {SEGMENTS} where (doc_id + blk) % 7 <> 0),
+ i as (select new.*, case when old.text = new.text and state in ('done', 'flagged') then chunk end as from_chunk, case when old.text = new.text and state in ('done', 'flagged') then state else 'pending' end as state from new left join old using (doc_id, blk)),
+ c as (select *, case when lag(blk) over w is null or from_chunk is distinct from lag(from_chunk) over w then 1 else 0 end as c from i window w as (partition by doc_id order by blk)),
+ ru as (select *, sum(c) over (partition by doc_id order by blk) as run from c),
+ g as (select doc_id, run, blk, t, row_number() over (partition by doc_id, run order by blk) as r from ru where from_chunk is null),
+ gp as ({_PACK("g", "doc_id, run")} from gp p join g s on s.doc_id = p.doc_id and s.run = p.run and s.r = p.r + 1),
+ a as (select ru.doc_id, ru.blk, from_chunk, state, dense_rank() over (partition by ru.doc_id order by ru.run, coalesce(pack, 1)) as chunk from ru left join gp on gp.doc_id = ru.doc_id and gp.blk = ru.blk)"""
+
+
+def _refresh(spark, d):
+    """Old chunks with states, edits and finals, a new version, and their alignment by place."""
+    segments = I.segments(spark, d)
+    old = plan.pack(segments, ["doc_id"], "blk", _BUDGET)
+    by = (F.col("doc_id") + F.col("chunk")) % 5
+    old = old.withColumn("state", F.when(by == 0, "failed").when(by == 1, "flagged").otherwise("done")).withColumn("edited", F.col("blk") % 13 == 5).withColumn("final", F.concat(F.lit("x "), "text"))
+    new = segments.where("(doc_id + blk) % 7 <> 0").withColumn("text", F.when(F.col("blk") % 11 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    aligned = new.select("doc_id", F.col("blk").alias("new_blk"), F.col("blk").alias("old_blk"))
+    return old, new, aligned
+
+
+@query(f"{_REFRESHED} select doc_id, blk, from_chunk::int as from_chunk, chunk::int as chunk, state from a")
+def g12_refreshed_chunks(spark, d):
+    """Chunk lists after lines were dropped and edited: kept runs, and gaps packed anew."""
+    old, new, aligned = _refresh(spark, d)
+    return align.refreshed(new, old, aligned, "doc_id", _BUDGET).select("doc_id", "blk", "from_chunk", "chunk", "state")
+
+
+@query(f"""{_REFRESHED}, n as (select doc_id, count(from_chunk) as kept, count(*) - count(from_chunk) as to_translate, max(chunk) as chunks, count(distinct case when from_chunk is not null then chunk end) as chunks_kept from a group by doc_id),
+ b as (select old.doc_id, count(*) filter (new.blk is null) as removed, count(*) filter (edited and from_chunk is not null) as edits_kept, count(*) filter (edited and from_chunk is null) as edits_dropped from old left join new using (doc_id, blk) left join a using (doc_id, blk) group by old.doc_id)
+ select doc_id, coalesce(kept, 0)::bigint as kept, coalesce(to_translate, 0)::bigint as to_translate, removed::bigint as removed, coalesce(chunks, 0)::bigint as chunks, coalesce(chunks_kept, 0)::bigint as chunks_kept, edits_kept::bigint as edits_kept, edits_dropped::bigint as edits_dropped from b left join n using (doc_id)""")
+def g12_refresh_reports(spark, d):
+    old, new, aligned = _refresh(spark, d)
+    return align.refresh_report(align.refreshed(new, old, aligned, "doc_id", _BUDGET), old, aligned, "doc_id")
+
+
+@query("""select c_custkey, case c_custkey % 6 when 0 then '**IVANA** (low): ' || c_name when 1 then 'ON SCREEN: Ivana (hat, (red, old) boots), Ben, Cy' when 2 then 'CY: ' || c_name when 3 then 'TESTIMONY: Ivana' when 4 then 'On screen: Ben (x), Dee, Ivana' else 'Ana said: ' || c_name end as localized,
+ case c_custkey % 6 when 2 then 'CY' when 4 then 'Dee' end as kept from customer""")
+def f19_localized_names(spark, d):
+    """Script lines of six forms; one name has a colon, another a comma, and both stay."""
+    k, name = F.col("c_custkey") % 6, F.col("c_name")
+    lines = F.when(k == 0, F.concat(F.lit("**ANA** (low): "), name)).when(k == 1, "ON SCREEN: Ana (hat, (red, old) boots), Ben, Cy").when(k == 2, F.concat(F.lit("CY: "), name)).when(k == 3, "TESTIMONY: Ana").when(k == 4, "On screen: Ben (x), Dee, Ana").otherwise(F.concat(F.lit("Ana said: "), name))
+    names = {"ana": "Ivana", "dee": "Dee, jr", "ben": " "}
+    own = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    with_colon = F.map_concat(own, F.create_map(F.lit("cy"), F.lit("C: y")))
+    rows = table(spark, d, "customer").select("c_custkey", lines.alias("line"), F.when(k == 2, with_colon).otherwise(own).alias("names"))
+    return script.localized_names(rows, "line", "names").select("c_custkey", "localized", "kept")
