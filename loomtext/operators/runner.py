@@ -60,8 +60,8 @@ def decide(rows: DataFrame, models: int) -> DataFrame:
     """rows (segs, model, wrong, follow, reply) with outcome, found (id -> text) and next: what is asked in the round that follows.
 
     An answer that gives every segment once, with its tags, is good. One that lacks few, has no unknown ids and is not alone gives the rest, and
-    the few are asked for. Else the same model is asked again with a note, then the next model, then the two halves; a single segment
-    that no model gives fails.
+    the few are asked for. Else the same model is asked again with a note, then the next model, then the two halves. A single segment
+    that no model gives fails; one whose tags no model keeps is taken without tags, which the review will find.
     """
     rows = _parsed(rows)
     read, n = F.col("read"), F.size("ids")
@@ -71,11 +71,13 @@ def decide(rows: DataFrame, models: int) -> DataFrame:
     good = known & (F.size("ask") == 0)
     few = known & (F.size("ask") < n) & (F.size("ask") <= F.greatest(F.lit(2), F.ceil(n / 4))) & (F.col("follow") < FOLLOW_UPS)
     outcome = (
-        F.when(good, "good").when(few, "salvaged").when(F.col("wrong") + 1 < WRONG_ANSWERS, "again").when(F.col("model") + 1 < models, "next model").when(n > 1, "halved").otherwise("failed")
+        F.when(good, "good").when(few, "salvaged").when(F.col("wrong") + 1 < WRONG_ANSWERS, "again").when(F.col("model") + 1 < models, "next model").when(n > 1, "halved").when(known & (F.size("broken") == 1), "untagged").otherwise("failed")
     )
     rows = rows.withColumn("outcome", outcome)
     is_ = lambda o: F.col("outcome") == o
-    found = F.when(is_("good") | is_("salvaged"), F.map_filter("read.segments", lambda k, _: ~F.array_contains("ask", k)))
+    text = lambda s: F.try_element_at(read.segments, s.id)
+    taken = F.filter("segs", lambda s: is_("untagged") | ((is_("good") | is_("salvaged")) & ~F.array_contains("ask", s.id)))
+    found = F.map_from_entries(F.transform(taken, lambda s: F.struct(s.id, X.fit_edges(s.text, F.when(is_("untagged"), X.strip_tags(text(s))).otherwise(text(s))))))
     none, model, zero = F.lit(None), F.col("model"), F.lit(0)
     problems = F.concat_ws("; ", *(F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", "))) for name, c in (("missing", read.missing), ("unknown", read.extra), ("told twice", read.conflicting), ("tags", F.col("broken")))))
     half = F.ceil(n / 2).cast("int")
@@ -87,7 +89,7 @@ def decide(rows: DataFrame, models: int) -> DataFrame:
         .when(is_("halved"), F.array(_ask(F.slice("segs", F.lit(1), half), zero, zero, zero, none), _ask(F.slice("segs", half + 1, n - half), zero, zero, zero, none)))
         .otherwise(nothing)
     )
-    return rows.withColumn("found", F.coalesce(found, F.expr("cast(map() as map<string,string>)"))).withColumn("next", follows).drop("read", "broken", "ids", "ask")
+    return rows.withColumn("found", found).withColumn("next", follows).drop("read", "broken", "ids", "ask")
 
 
 def translated(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str, most_rounds: int | None = None) -> list[DataFrame] | None:
@@ -116,13 +118,14 @@ def _issues(pairs: DataFrame, keys: list[str], minor: bool) -> DataFrame:
     return found if minor else found.where("severity = 'major'")
 
 
-def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str, fix_minor: bool = False, most_rounds: int | None = None) -> DataFrame | None:
+def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str, fix_minor: bool = False, proofread: bool = False, most_rounds: int | None = None) -> DataFrame | None:
     """(keys, state, final, asks) of chunks (keys, state, segs array<struct<id, text>>, final map): done and flagged ones stay as they are, all others
     start over. None: it was stopped after most_rounds rounds, and the same call without them goes on.
 
     A chunk of which a segment was never given is failed and keeps what it has. Else its pairs are reviewed by the deterministic
     checks, the segments with a major issue (any, with fix_minor) are asked for once more, an answer is taken where it is read and its
-    tags hold, and the chunk is flagged if a major issue remains. `asks` counts requests; chunks that were not run have none.
+    tags hold, and the chunk is flagged if a major issue remains. With proofread, the translation is asked about once before, and a text is taken
+    where the answer is whole and accept_proofread() takes it. `asks` counts requests; chunks that were not run have none.
     """
     spark = chunks.sparkSession
     finished = F.col("state").isin("done", "flagged")
@@ -135,6 +138,20 @@ def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str
     rows = todo.select(*keys, "segs").join(got, keys, "left")
     rows = stage(spark, f"{path}/translated", lambda: rows.withColumn("final", F.coalesce("final", F.expr("cast(map() as map<string,string>)"))).withColumn("asks", F.coalesce("asks", F.lit(0))))
     whole = F.size("final") == F.size("segs")
+    if proofread:
+        given = rows
+
+        def read_again() -> DataFrame:
+            asks = given.where(whole & (F.size("segs") > 0))
+            asks = asks.withColumn("sources", F.col("segs")).withColumn("segs", F.transform("segs", lambda s: F.struct(s.id.alias("id"), F.element_at("final", s.id).alias("text"))))
+            asks = asks.withColumn("reply", model(request_of(F.col("segs"), F.lit(None).cast("string")), F.lit(0), F.lit("proofread")))
+            read = _parsed(asks.select(*keys, "sources", "segs", "reply", F.col("final").alias("before"))).where("read.ok")
+            new = F.transform("sources", lambda s: F.struct(s.id, checks.accept_proofread(s.text, F.element_at("before", s.id), F.element_at("read.segments", s.id))))
+            return read.select(*keys, F.map_from_entries(new).alias("proof"))
+
+        proofs = stage(spark, f"{path}/proofread", read_again)
+        asked = (whole & (F.size("segs") > 0)).cast("int")
+        rows = given.join(proofs, keys, "left").select(*keys, "segs", F.coalesce("proof", "final").alias("final"), (F.col("asks") + asked).alias("asks"))
 
     def pairs(of: DataFrame) -> DataFrame:
         one = of.where(whole).select(*keys, F.explode("segs").alias("s"), "final")

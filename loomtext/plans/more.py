@@ -316,19 +316,18 @@ def k5_books(spark, d):
 
 @query(f"select doc_id, list_sort(list(blk::varchar)) as ids, sum(length(text))::bigint as chars from {SEGMENTS} group by 1")
 def g5_translated(spark, d):
-    """Chunks through the translation agent, with a model that gives every segment back in capitals but forgets one at first."""
-    import re
+    """Chunks through the runner, with a model that gives every segment back reversed but forgets the first of many until it is asked again."""
+    from ..operators import runner
+    from ..operators.stages import new_folder
 
-    from ..operators import agents
-
-    def model(messages):
-        found = re.findall(r'<seg id="([^"]*)">(.*?)</seg>', messages[-1]["content"], re.S)
-        lazy = "## Problem" not in messages[-1]["content"] and len(found) > 3
-        return "\n".join(f'<seg id="{i}">{t[::-1] if t.strip() == t else t}</seg>' for i, t in found[lazy:])
+    def model(request, number, task):
+        first = (F.regexp_count(request, F.lit("<seg ")) > 3) & request.startswith("<seg")
+        return F.array_join(F.transform(protocol.elements(request), lambda e, i: F.when(first & (i == 0), "").otherwise(X.segment_element(e.id, F.reverse(e.text)))), "\n")
 
     segs = plan.pack(I.segments(spark, d), ["doc_id"], "blk", 1500).select("doc_id", "chunk", "blk", F.regexp_replace("text", "^[ \t\r\n]+|[ \t\r\n]+$", "").alias("text"))
-    chunks = segs.groupBy("doc_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda s: F.struct(s.blk.cast("string").alias("id"), s.text.alias("text"))).alias("segments"))
-    done = agents.translated(chunks, [model]).groupBy("doc_id").agg(F.flatten(F.collect_list(F.map_entries("final"))).alias("final"))
+    chunks = segs.groupBy("doc_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda s: F.struct(s.blk.cast("string").alias("id"), s.text.alias("text"))).alias("segs"))
+    chunks = chunks.withColumn("state", F.lit("pending")).withColumn("final", F.expr("cast(map() as map<string,string>)"))
+    done = runner.run(chunks, ["doc_id", "chunk"], model, 1, new_folder(spark, "runs")).groupBy("doc_id").agg(F.flatten(F.collect_list(F.map_entries("final"))).alias("final"))
     return done.select("doc_id", F.array_sort(F.transform("final", lambda e: e.key)).alias("ids"), F.aggregate("final", F.lit(0).cast("long"), lambda a, e: a + F.length(e.value)).alias("chars"))
 
 

@@ -25,6 +25,15 @@ def _local(root: ET.Element, name: str) -> list[ET.Element]:
     return [e for e in root.iter() if M.name_of(e) == name]
 
 
+def _tree(data: bytes) -> ET.Element:
+    """A document's tree; what is not strict XML (entities without a declaration, open elements) is read as HTML. Every document keeps its
+    place, as block ids count them, so one that holds nothing is an empty tree."""
+    try:
+        return ET.fromstring(data)
+    except ET.ParseError:
+        return M.parse_html(data.decode("utf-8-sig", "replace"))
+
+
 class Book:
     """An EPUB's package document and its text documents in reading order: spine, then navigation, then NCX."""
 
@@ -45,10 +54,7 @@ class Book:
             path = place(e)
             if path in names and path not in [p for p, _, _ in self.documents]:
                 kind = "ncx" if e in ncx else "nav" if e in nav else "text"
-                try:
-                    self.documents.append((path, kind, ET.fromstring(self.zip.read(path))))
-                except ET.ParseError:
-                    continue
+                self.documents.append((path, kind, _tree(self.zip.read(path))))
 
     def meta(self) -> list[tuple[str, ET.Element]]:
         found = [(i, next(iter(self.opf.iter(f"{_DC}{tag}")), None)) for i, tag in (("m.1", "title"), ("m.2", "description"))]

@@ -97,62 +97,88 @@ def put(el: ET.Element, parts: list) -> None:
             el.append(p)
 
 
-def inline(parts: list, found: dict[int, ET.Element]) -> str:
-    """Text with <n>..</n> for elements and <n/> for empty or opaque ones; found gets the element of each number."""
-    out = []
-    for p in parts:
-        if isinstance(p, str):
-            out.append(p)
-        elif isinstance(p.tag, str):
-            n = len(found) + 1
-            found[n] = p
-            inner = content(p)
-            out.append(f"<{n}/>" if not inner or name_of(p) in OPAQUE else f"<{n}>{inline(inner, found)}</{n}>")
-    return "".join(out)
-
-
 class Found:
+    """A block: its kind, text with numbered tags, the element of each number, the container it stands in and what of that it is."""
+
     __slots__ = ("kind", "text", "elements", "parent", "parts")
 
     def __init__(self, kind, text, elements, parent, parts):
         self.kind, self.text, self.elements, self.parent, self.parts = kind, text, elements, parent, parts
 
 
-def _kind(el: ET.Element, nav: bool) -> str:
-    n = name_of(el)
-    if nav:
-        return "toc"
-    return "heading" if re.fullmatch("h[1-6]", n) else {"li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell", "figcaption": "caption", "caption": "caption"}.get(n, "para")
+# Kinds of blocks by the element that holds them; any other is a paragraph.
+KINDS = {f"h{n}": "heading" for n in range(1, 7)} | {"li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell", "figcaption": "caption", "caption": "caption"}
+
+
+def _mixed(root: ET.Element) -> set[ET.Element]:
+    """root and the containers below which there is another one. Each element is marked once, from the container upwards."""
+    above, out = {}, {root}
+    for el in root.iter():
+        for c in el:
+            above[c] = el
+            if name_of(c) in CONTAINER:
+                up = el
+                while up not in out and up is not None:
+                    out.add(up)
+                    up = above.get(up)
+    return out
+
+
+class _Run:
+    """Inline content that is being gathered: text, numbered elements, and the parts of the container it is made of."""
+
+    def __init__(self) -> None:
+        self.pieces: list[str] = []
+        self.elements: dict[int, ET.Element] = {}
+        self.parts: list = []
+
+    def number(self, el: ET.Element) -> int:
+        self.elements[len(self.elements) + 1] = el
+        return len(self.elements)
+
+    def block(self, holder: ET.Element, nav: bool) -> list[Found]:
+        text = re.sub(r"[ \t\r\n\f]+", " ", "".join(self.pieces)).strip()
+        kind = "toc" if nav else KINDS.get(name_of(holder), "para")
+        return [Found(kind, text, self.elements, holder, self.parts)] if _TAG.sub("", text).strip() else []
 
 
 def find_blocks(body: ET.Element, nav: bool = False) -> list[Found]:
-    """Blocks in document order: elements without containers inside, and runs of inline content between containers."""
-    out: list[Found] = []
-
-    def block(parent, parts, nav):
-        elements: dict[int, ET.Element] = {}
-        text = " ".join(re.sub(r"[ \t\r\n\f]+", " ", inline(parts, elements)).strip().split(" "))
-        if _TAG.sub("", text).strip():
-            out.append(Found(_kind(parent, nav), text, elements, parent, parts))
-
-    def walk(parent, nav):
-        run: list = []
-        for p in [*content(parent), None]:
-            known = name_of(p) if isinstance(p, ET.Element) else ""
-            if p is None or known in SKIPPED or known in CONTAINER:
-                if any(not isinstance(x, str) or x.strip() for x in run):
-                    block(parent, run, nav)
-                run = []
-                if known in CONTAINER:
-                    inner = nav or known == "nav"
-                    if any(name_of(d) in CONTAINER for d in p.iter() if d is not p):
-                        walk(p, inner)
-                    else:
-                        block(p, content(p), inner)
+    """Blocks in document order: the inline content between the borders of containers.
+
+    The tree is gone through once, with the open elements on a list, so any depth will do. Elements within a run become <n>..</n>,
+    empty and opaque ones <n/>. Scripts and the like end a run where other containers stand beside them, and are part of it where they do not.
+    """
+    mixed, out, run = _mixed(body), [], _Run()
+    opened: list[tuple] = [(body, iter(content(body)), 0, nav)]  # element, what is left of it, its number or 0 for a container, in navigation
+    while opened:
+        el, left, number, in_nav = opened[-1]
+        part = next(left, None)
+        if part is None:
+            opened.pop()
+            if number:
+                run.pieces.append(f"</{number}>")
+                continue
+            out += run.block(el, in_nav)
+            run = _Run()
+            continue
+        name = name_of(part) if isinstance(part, ET.Element) else ""
+        if not number and (name in CONTAINER or (name in SKIPPED and el in mixed)):
+            out += run.block(el, in_nav)
+            run = _Run()
+            if name in CONTAINER:
+                opened.append((part, iter(content(part)), 0, in_nav or name == "nav"))
+            continue
+        if not number:
+            run.parts.append(part)
+        if isinstance(part, str):
+            run.pieces.append(part)
+        elif isinstance(part.tag, str):
+            n, inside = run.number(part), content(part)
+            if not inside or name in OPAQUE:
+                run.pieces.append(f"<{n}/>")
             else:
-                run.append(p)
-
-    walk(body, nav)
+                run.pieces.append(f"<{n}>")
+                opened.append((part, iter(inside), n, in_nav))
     return out
 
 
