@@ -16,8 +16,9 @@ from functools import lru_cache
 
 import regex
 
-#: Words kept by a worker (about 120 MB); beyond it the memory starts anew with the next batch.
-MOST_WORDS = 500_000
+#: Words kept by a worker, and the characters of a word that is kept: under 150 MB in all. A full memory starts anew at once, within a
+#: text too; long words (encoded data, say) are worked out wherever they stand.
+MOST_WORDS, MOST_CHARS = 400_000, 64
 
 # The patterns by which the two tokenizer files cut words.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -40,7 +41,11 @@ class Memory(dict):
         self.learn = learn
 
     def __missing__(self, key: str) -> bytes:
-        ids = self[key] = self.learn(key)
+        ids = self.learn(key)
+        if len(key) <= MOST_CHARS:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[key] = ids
         return ids
 
 
@@ -121,8 +126,6 @@ class WordIds:
         return key[1:] if key[0] == "\r" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > MOST_WORDS:
-            self.seen.clear()
         get = self.seen.__getitem__
         return [b"".join(map(get, words)) if (words := self.words(text)) is not None else self.whole([text])[0] for text in texts]
 

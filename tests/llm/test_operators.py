@@ -277,7 +277,6 @@ def test_pieces_and_sequences(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(packing.TOKENIZER))
-    t.encode_special_tokens = True
     got = packing.packed(table(spark, SMALL, "documents")).collect()
     pieces = {(r.doc_id, r.piece): r for r in got}
     for d, x in texts.items():
@@ -346,7 +345,6 @@ def test_records_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(records.TOKENIZER))
-    t.encode_special_tokens = True
     manifest = records.written(table(spark, SMALL, "documents"), new_path(spark, "t"), per_file=40)
     got = {r.doc_id: r for r in records.read_back(manifest).collect()}
     at = 0

@@ -281,3 +281,45 @@ def test_an_id_of_many_rows_is_many_ranges(spark, tmp_path):
     for r in sorted(records.read_back(manifest).collect(), key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+
+
+def test_the_memory_of_words_is_bounded(monkeypatch):
+    from loomtext.llm import tokens
+
+    monkeypatch.setattr(tokens, "MOST_WORDS", 10)
+    own, free = (WordIds(tokenizer_path("word_bpe_49k.json"), False) for _ in range(2))
+    texts = [" ".join(f"word{i} w{'x' * (i % 90)}" for i in range(200)), "base64" * 50_000, "a b c " * 50]
+    got = own.encode(texts)
+    assert len(own.seen) <= 10 and max(map(len, own.seen)) <= 64
+    monkeypatch.setattr(tokens, "MOST_WORDS", 10**9)
+    assert got == free.encode(texts) == free.whole(texts)
+
+
+def test_estimation_over_patterns_is_estimation_row_by_row():
+    """The posterior of every row from expectation-maximisation over single rows, written out, is that of its vote pattern; and it
+    outvotes a careless rule that all-must-pass would obey, on the side of what the rows are."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(4000) < 0.7
+    accuracy = [0.95, 0.92, 0.9, 0.62, 0.9]  # the fourth rule is careless
+    votes = np.stack([np.where(rng.random(4000) < 0.2, 0, np.where((rng.random(4000) < a) == truth, 1, -1)) for a in accuracy], 1)
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    share, p = quality.estimate(patterns, counts.astype(float))
+    got = quality.posterior(patterns, share, p)[where.ravel()]
+
+    good = 1 / (1 + np.exp(-1.4 * votes.sum(1)))
+    before = -np.inf
+    for _ in range(quality.ROUNDS):
+        prior = min(max(good.mean(), quality.SMOOTH), 1 - quality.SMOOTH)
+        odds = {}
+        for k, belief in ((0, 1 - good), (1, good)):
+            mass = belief.sum() / len(votes)
+            odds[k] = [[(belief[votes[:, r] == v].sum() / len(votes) + quality.SMOOTH) / (mass + 3 * quality.SMOOTH) for v in (-1, 0, 1)] for r in range(5)]
+        logs = [np.log(w) + sum(np.log(np.array(odds[k][r])[votes[:, r] + 1]) for r in range(5)) for k, w in ((0, 1 - prior), (1, prior))]
+        good = 1 / (1 + np.exp(logs[0] - logs[1]))
+        now = float(np.logaddexp(*logs).mean())
+        if now - before < quality.SETTLED:
+            break
+        before = now
+    assert np.abs(good - got).max() < 1e-6
+    kept, all_pass = got >= 0.5, (votes >= 0).all(1)
+    assert (kept == truth).mean() > 0.95 and (all_pass == truth).mean() < 0.75 and (kept & ~all_pass & truth).sum() > 500
