@@ -273,3 +273,18 @@ def brief_additions(existing: Column | str, fields: dict[str, tuple[Column, list
     rows = F.transform(fresh, lambda c: F.concat(F.lit("- "), c["name"], F.coalesce(F.concat(F.lit(" ("), c["gender"], F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), c["note"]), F.lit(""))))
     head = F.when((F.size(fresh) > 0) & ~col(existing).rlike(r"(?im)^#+\s*characters"), F.array(F.lit("## Characters"))).otherwise(F.expr("cast(array() as array<string>)"))
     return F.concat(F.array_compact(F.array(*lines)), head, rows)
+
+
+def rounded_to(value: Column, step: float) -> Column:
+    """The nearest multiple of a step, halves up."""
+    return F.floor(value / step + 0.5).cast("double") * step
+
+
+def content_hash(c: Column | str) -> Column:
+    """SHA-256 of a text's UTF-8 bytes, or of bytes."""
+    return F.sha2(col(c).cast("binary"), 256)
+
+
+def host(url: Column | str) -> Column:
+    """The host of an address, in lower case; empty where there is none."""
+    return F.lower(F.regexp_extract(col(url), "^https?://([^/:?#]+)", 1))

@@ -104,3 +104,8 @@ def merge_reviews(deterministic: DataFrame, model: DataFrame, keys: list[str]) -
     first = Window.partitionBy(*keys, "type").orderBy("_p", "ord")
     own = both.withColumn("_r", F.row_number().over(first))
     return own.where((F.col("_p") == 0) | (F.col("_r") == 1)).drop("_p", "_r")
+
+
+def affected(segments: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments with at least one issue."""
+    return segments.join(issues.select(*keys), keys, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,18 @@ def with_live_limits(requests: DataFrame, read_limits, key: str, ts: str, values
         sink(in_force(batch, read_limits(batch.sparkSession), key, ts, values), number)
 
     return requests.writeStream.foreachBatch(each)
+
+
+def utc_day(ts: Column) -> Column:
+    """The UTC day of a time, in a session whose zone is UTC."""
+    return F.to_date(ts.cast("timestamp"))
+
+
+def next_utc_day(ts: Column) -> Column:
+    """The day at whose start a daily count begins anew."""
+    return F.date_add(utc_day(ts), 1)
+
+
+def back_off(retry: Column, base: float = 2.0, most: float = 8.0) -> Column:
+    """Seconds to wait before a retry."""
+    return F.least(F.lit(most), F.pow(F.lit(base), retry))

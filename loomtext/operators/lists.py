@@ -107,3 +107,58 @@ def listed_models(entries: Column) -> Column:
         F.when(priced, million(m.pricing.input_cache_read)).alias("price_cached"),
         (kinds.isNull() | ((F.size(kinds) == 1) & (F.element_at(kinds, 1) == "text"))).alias("text_only"),
     )
+
+
+def first_hits(hits: DataFrame, key: str, order: str, most: int = 60) -> DataFrame:
+    """(key, hits): the first hits of each key in order, at most so many; the rest never leaves its task."""
+    along = Window.partitionBy(key).orderBy(order)
+    top = hits.withColumn("_r", F.row_number().over(along)).where(F.col("_r") <= most)
+    return top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", order))), lambda s: s[order]).alias("hits"))
+
+
+def by_index(replies: DataFrame, key: str, index: str, value: str, name: str) -> DataFrame:
+    """(key, name): values that came in any order, put back by their index."""
+    return replies.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda s: s[value]).alias(name))
+
+
+def newest_rows(rows: DataFrame, key: str, order: list, most: int = 3) -> DataFrame:
+    """The last rows of each key, for a live view."""
+    newest = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most).drop("_r")
+
+
+def carried_forward(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """rows with the last value, its own included, that was not null."""
+    along = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(along))
+
+
+def distinct_values(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """(key, name): each value once, sorted."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(name))
+
+
+def ordered_distinct(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, values): each value once, in the order of its first row."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_o"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", value))), lambda s: s[value]).alias("values"))
+
+
+def with_seeds(ids: Column, seeds: list[str]) -> Column:
+    """Offered and seed ids as one sorted list."""
+    return F.array_sort(F.array_union(ids, F.array(*map(F.lit, seeds))))
+
+
+def missing_seeds(ids: Column, seeds: list[str]) -> Column:
+    """Seed ids that are not there yet, sorted."""
+    return F.array_sort(F.array_except(F.array(*map(F.lit, seeds)), ids))
+
+
+def with_section(rows: DataFrame, key: str, section: str, block_id: Column, text: Column) -> DataFrame:
+    """(key, section, block_id, text): rows as blocks of a section, to be united with those of others by name."""
+    return rows.select(key, F.lit(section).alias("section"), block_id.alias("block_id"), text.alias("text"))
+
+
+def without_row(names: DataFrame, have: DataFrame, name: str) -> DataFrame:
+    """names, each once, for which have has no row."""
+    return names.join(have.select(name), name, "left_anti").distinct()

@@ -85,3 +85,8 @@ def page_lines(items: DataFrame, key: str = "doc_id") -> DataFrame:
 
     kind = dict(items.dtypes)[key]
     return items.groupBy(key, "page").applyInPandas(one, f"{key} {kind}, page int, ord int, y double, x double, x_end double, size double, text string, margin boolean")
+
+
+def distinct_pages(lines: DataFrame, keys: list, page: str) -> DataFrame:
+    """(keys, pages): on how many pages a line stands."""
+    return lines.groupBy(*keys).agg(F.countDistinct(page).alias("pages"))

@@ -95,3 +95,35 @@ def same_source_other_hash(projects: DataFrame) -> DataFrame:
 def first_success(attempts: DataFrame, call: str, order: str) -> DataFrame:
     """(call, model): the first attempt of each call that worked."""
     return attempts.where("ok").groupBy(call).agg(F.min_by("model", order).alias("model"))
+
+
+def todo(chunks: DataFrame) -> DataFrame:
+    """Chunks that are still to be run."""
+    return chunks.where(F.col("state").isin("pending", "failed"))
+
+
+def next_stage(state: Column, segments: Column, translation: Column, proofread: Column) -> Column:
+    """Where a run goes on with a chunk: null for one that is done or flagged. A pending chunk that a pause parked keeps the output of the
+    stages that finished; any other starts over, one at work when the run broke off too."""
+    parked = (state == "pending") & (F.size(translation) > 0)
+    whole = F.size(F.array_except(segments, F.map_keys(translation))) == 0
+    proofs = F.size(proofread) > 0
+    return F.when(state.isin("done", "flagged"), None).when(parked & whole & proofs, "review").when(parked & whole, "proofread").when(parked, "rest").otherwise("translate")
+
+
+def newest_first(projects: DataFrame, key: str, ts: str, name: str) -> DataFrame:
+    """(key, projects): names of a key's projects, the newest first, by name where the time is one."""
+    newest = F.struct((-F.unix_micros(F.col(ts).cast("timestamp"))).alias("t"), name)
+    return projects.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(newest)), lambda s: s[name].cast("string")), ",").alias("projects"))
+
+
+def patched(base: Column, patch: Column) -> Column:
+    """A value after a patch: a missing patch keeps it, an empty one clears it."""
+    merged = F.coalesce(patch, base)
+    return F.when(merged != "", merged)
+
+
+def looked_up(rows: DataFrame, name: str, known: DataFrame, known_name: str) -> DataFrame:
+    """rows with `found`: the known spelling of a name whatever its case; a name that is not known stays as it is."""
+    table = known.select(F.col(known_name).alias("_known"), F.lower(known_name).alias("_k")).dropDuplicates(["_k"])
+    return rows.withColumn("_k", F.lower(name)).join(table, "_k", "left").withColumn("found", F.coalesce("_known", name)).drop("_k", "_known")

@@ -96,3 +96,33 @@ def untranslated(segments: DataFrame, keys: list[str], done: DataFrame) -> DataF
     failed, running = F.col("state") == "failed", F.col("state").isin(RUNNING)
     by = chunk.groupBy(*keys).agg(listed(failed).alias("failed"), listed(running).alias("running"), listed(~failed & ~running).alias("pending"))
     return by.join(blocks, keys, "left").select(*keys, F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"), "failed", "running", "pending")
+
+
+def spend(chunks: DataFrame, *keys: str, tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> DataFrame:
+    """(keys, tokens_in, tokens_out): sums for each chunk, each project and all, one level for each key."""
+    return chunks.rollup(*keys).agg(F.sum(tokens_in).cast("long").alias("tokens_in"), F.sum(tokens_out).alias("tokens_out"))
+
+
+def queue_counts(tasks: DataFrame, key: str, waiting: Column, leased: Column) -> DataFrame:
+    """(key, waiting, leased): tasks of each client by condition."""
+    return tasks.groupBy(key).agg(F.count_if(waiting).alias("waiting"), F.count_if(leased).alias("leased"))
+
+
+def server_slots(instances: DataFrame, key: str, parallel: Column, most: int = 16) -> DataFrame:
+    """(key, slots): requests that the loaded instances of a server take at once, each at least one, in all at most `most`."""
+    return instances.groupBy(key).agg(F.least(F.lit(most), F.sum(F.greatest(F.lit(1), parallel))).cast("long").alias("slots"))
+
+
+def version_report(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, kept, new, removed) of two versions (key, blk, text): the n-th copy of a text is kept if the other has an n-th one."""
+    place = Window.partitionBy(key, "text").orderBy("blk")
+    n = lambda df, c: df.select(key, "text", F.col("blk").alias(c), F.row_number().over(place).alias("_n"))
+    both = n(old, "_a").join(n(new, "_b"), [key, "text", "_n"], "full")
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return both.groupBy(key).agg(F.count_if(a & b).alias("kept"), F.count_if(~a).alias("new"), F.count_if(~b).alias("removed"))
+
+
+def first_and_last(events: DataFrame, key: str, order: list[str], first: str, last: str) -> DataFrame:
+    """(key, first, last): one column of the first event of each key, another of the last."""
+    o = F.struct(*order)
+    return events.groupBy(key).agg(F.min_by(first, o).alias("first"), F.max_by(last, o).alias("last"))

@@ -41,8 +41,7 @@ def o10_known_terms(spark, d):
 @query("select l_orderkey, list(l_partkey order by l_linenumber, l_partkey) as parts from lineitem group by 1")
 def o11_replies_by_index(spark, d):
     """Replies that come in any order, put back by their index."""
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda r: r.l_partkey).alias("parts"))
+    return lists.by_index(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "parts")
 
 
 @query("select s_nationkey, s_suppkey, row_number() over (partition by s_nationkey order by (s_suppkey % 3 = 0) desc, s_name) as place from supplier where s_acctbal > 0")
@@ -54,14 +53,13 @@ def o12_picker_order(spark, d):
 @query(f"select doc_id, 's0' as section, 'title' as block_id, source as text from documents union all select doc_id, 's1', 'b' || blk, text from {SEGMENTS}")
 def u3_meta_and_sections(spark, d):
     """Blocks of a meta section and those of the text as one table."""
-    meta = table(spark, d, "documents").select("doc_id", F.lit("s0").alias("section"), F.lit("title").alias("block_id"), F.col("source").alias("text"))
-    return meta.unionByName(I.segments(spark, d).select("doc_id", F.lit("s1").alias("section"), F.concat(F.lit("b"), F.col("blk").cast("string")).alias("block_id"), "text"))
+    meta = lists.with_section(table(spark, d, "documents"), "doc_id", "s0", F.lit("title"), F.col("source"))
+    return meta.unionByName(lists.with_section(I.segments(spark, d), "doc_id", "s1", F.concat(F.lit("b"), F.col("blk").cast("string")), F.col("text")))
 
 
 @query("select user_id, list_sort(list_distinct(list(event_type) || ['seed', 'view'])) as ids from events group by 1")
 def u4_offered_and_seed(spark, d):
-    seed = F.array(F.lit("seed"), F.lit("view"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.array_union(F.collect_set("event_type"), seed)).alias("ids"))
+    return table(spark, d, "events").groupBy("user_id").agg(lists.with_seeds(F.collect_set("event_type"), ["seed", "view"]).alias("ids"))
 
 
 @query("select l_orderkey, list_filter(list('p' || (l_suppkey % 3) || '/m' || l_partkey order by l_linenumber, l_partkey, l_suppkey), lambda x: not starts_with(x, 'p' || (l_orderkey % 3) || '/')) as refs from lineitem group by 1")

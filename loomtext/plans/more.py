@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import unicode as U
-from ..operators import checks, pages, plan, projects, protocol, routing, script
+from ..operators import checks, limits, lists, pages, plan, projects, protocol, rollup, routing, script
 from ..sources import markdown, markup
 from ..streaming import leases
 from . import inputs as I
@@ -74,7 +74,7 @@ def f28_joined_lines(spark, d):
 
 @query("select p_partkey, floor(p_retailprice / 0.5 + 0.5)::double * 0.5 as size from part")
 def n4_rounded_sizes(spark, d):
-    return table(spark, d, "part").select("p_partkey", (F.floor(F.col("p_retailprice") / 0.5 + 0.5).cast("double") * 0.5).alias("size"))
+    return table(spark, d, "part").select("p_partkey", X.rounded_to(F.col("p_retailprice"), 0.5).alias("size"))
 
 
 @query("select doc_id from documents where doc_id % 2 = 0")
@@ -144,8 +144,7 @@ def a12_shared_targets(spark, d):
 
 @query("select user_id, least(16, sum(case when v < 1 then 1 else v end))::bigint as slots from (select user_id, event_id % 5 as v from events) group by 1")
 def a16_server_slots(spark, d):
-    v = F.greatest(F.lit(1), F.col("event_id") % 5)
-    return table(spark, d, "events").groupBy("user_id").agg(F.least(F.lit(16), F.sum(v)).cast("long").alias("slots"))
+    return rollup.server_slots(table(spark, d, "events"), "user_id", F.col("event_id") % 5)
 
 
 @query("select lower(trim(p_type)) as name, max_by(p_name, p_partkey) as target from part where p_brand like '%1' and p_size > 5 group by 1")
@@ -234,7 +233,7 @@ def t3_lease_states(spark, d):
 
 @query(f"select doc_id, list_sort(list(distinct substr(text, 1, 1))) as firsts from {SEGMENTS} group by 1")
 def u2_distinct_lists(spark, d):
-    return I.segments(spark, d).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.substring("text", 1, 1)))).alias("firsts"))
+    return lists.distinct_values(I.segments(spark, d), "doc_id", F.substring("text", 1, 1), "firsts")
 
 
 @query("select p_partkey from part where p_size is not null and p_size not in (select n_nationkey from nation)")
@@ -244,7 +243,7 @@ def s27_missing_references(spark, d):
 
 @query("select event_id, least(8, power(2, event_id % 6))::double as wait from events")
 def n10_back_off(spark, d):
-    return table(spark, d, "events").select("event_id", F.least(F.lit(8.0), F.pow(F.lit(2.0), F.col("event_id") % 6)).alias("wait"))
+    return table(spark, d, "events").select("event_id", limits.back_off(F.col("event_id") % 6).alias("wait"))
 
 
 @query(f"select doc_id, count(*) as requests, sum(length(text))::bigint as chars from {SEGMENTS} group by 1")
@@ -270,27 +269,30 @@ def s17_paragraphs(spark, d):
 
 @query("select o_custkey, string_agg(o_orderkey::varchar, ',' order by o_orderdate desc, o_orderkey) as projects from orders group by 1")
 def o1_newest_first(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"), "o_orderkey"))), lambda s: s.o_orderkey.cast("string")), ",").alias("projects"))
+    return projects.newest_first(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query(f"select project, chunk_index, model, ts from {CHUNKS} where state = 'done'")
+@query(f"select project, chunk_index, case when state in ('done', 'flagged') then null when state = 'pending' and project % 4 > 0 then case when project % 4 = 1 then 'rest' when project % 8 = 3 then 'review' else 'proofread' end else 'translate' end as stage from {CHUNKS}")
 def t9_resume(spark, d):
-    """Finished chunks are passed over; of the rest nothing is lost."""
-    c = I.chunks(spark, d)
-    todo = c.join(c.where("state = 'done'").select("project", "chunk_index"), ["project", "chunk_index"], "left_anti")
-    return c.join(todo.select("project", "chunk_index"), ["project", "chunk_index"], "left_anti").select("project", "chunk_index", "model", "ts")
+    """Where a run goes on with each chunk; pauses left some with a part of their translation, with all of it, or proofread."""
+    k, ids = F.col("project"), ["a", "b", "c"]
+    texts = lambda names: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lit("x") for _ in names)))
+    none = F.expr("cast(map() as map<string,string>)")
+    translation = F.when(k % 4 == 0, none).when(k % 4 == 1, texts(ids[:1])).otherwise(texts(ids))
+    stage = projects.next_stage(F.col("state"), F.array(*map(F.lit, ids)), translation, F.when(k % 8 == 3, texts(ids)).otherwise(none))
+    return I.chunks(spark, d).select("project", "chunk_index", stage.alias("stage"))
 
 
 @query(f"select project, max(chunk_index) - min(chunk_index) as span, arg_max(model, (ts, chunk_index)) as last, arg_min(state, (ts, chunk_index)) as first from {CHUNKS} group by 1")
 def w12_first_and_last(spark, d):
-    o = F.struct("ts", "chunk_index")
-    return I.chunks(spark, d).groupBy("project").agg((F.max("chunk_index") - F.min("chunk_index")).alias("span"), F.max_by("model", o).alias("last"), F.min_by("state", o).alias("first"))
+    c = I.chunks(spark, d)
+    ends = rollup.first_and_last(c, "project", ["ts", "chunk_index"], "state", "model")
+    return ends.join(c.groupBy("project").agg((F.max("chunk_index") - F.min("chunk_index")).alias("span")), "project")
 
 
 @query(f"select project, string_agg(qa_model, ',' order by f) as models from (select project, qa_model, min(chunk_index) as f from {CHUNKS} where qa_model is not null group by 1, 2) group by 1")
 def u6_ordered_distinct(spark, d):
-    c = I.chunks(spark, d).where("qa_model is not null")
-    return c.groupBy("project").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "qa_model"))), lambda s: s.qa_model)), ",").alias("models"))
+    return lists.ordered_distinct(I.chunks(spark, d), "project", "chunk_index", "qa_model").select("project", F.array_join("values", ",").alias("models"))
 
 
 
@@ -385,24 +387,23 @@ def f32_brief_additions(spark, d):
 def j12_missing_names(spark, d):
     """Names without a row of their own, each once; large parts have one."""
     p = table(spark, d, "part")
-    have = p.where("p_size > 45").select(F.col("p_type").alias("name"))
-    return p.select("p_brand", F.col("p_type").alias("name")).join(have, "name", "left_anti").distinct()
+    return lists.without_row(p.select("p_brand", F.col("p_type").alias("name")), p.where("p_size > 45").select(F.col("p_type").alias("name")), "name")
 
 
 @query("select doc_id, list_sort(list(distinct k)) as missing from (select doc_id, unnest(['en', 'fr', 'de', 'es']) as k, lang from documents) where k <> lang group by 1")
 def j17_missing_seeds(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_sort(F.array_except(F.array(*map(F.lit, ["en", "fr", "de", "es"])), F.array("lang"))).alias("missing"))
+    return table(spark, d, "documents").select("doc_id", lists.missing_seeds(F.array("lang"), ["en", "fr", "de", "es"]).alias("missing"))
 
 
 @query("select event_type, regexp_replace(lower(event_type), '[0-9]+', '#', 'g') as k, count(distinct user_id) as pages from events group by 1, 2")
 def a8_distinct_pages(spark, d):
-    return table(spark, d, "events").groupBy("event_type", X.normalize_repeat("event_type").alias("k")).agg(F.countDistinct("user_id").alias("pages"))
+    return pages.distinct_pages(table(spark, d, "events"), ["event_type", X.normalize_repeat("event_type").alias("k")], "user_id")
 
 
 @query("select user_id, count(*) filter (event_id % 3 = 0) as waiting, count(*) filter (event_id % 3 = 1) as leased from events group by 1")
 def a15_queue_counts(spark, d):
     k = F.col("event_id") % 3
-    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(k == 0).alias("waiting"), F.count_if(k == 1).alias("leased"))
+    return rollup.queue_counts(table(spark, d, "events"), "user_id", k == 0, k == 1)
 
 
 @query(f"""with o as (select doc_id, text, blk, row_number() over (partition by doc_id, text order by blk) as i from {SEGMENTS}), n as (select doc_id, blk, case when blk % 11 = 3 then text || '!' else text end as text from {SEGMENTS} where (doc_id + blk) % 7 <> 0),
@@ -410,10 +411,6 @@ def a15_queue_counts(spark, d):
  select doc_id, count(o.blk) filter (m.blk is not null) as kept, count(m.blk) filter (o.blk is null) as new, count(o.blk) filter (m.blk is null) as removed from o full join m using (doc_id, text, i) group by 1""")
 def a19_refresh_report(spark, d):
     """Blocks kept, new and removed between two versions, by copies of equal text."""
-    place = Window.partitionBy("doc_id", "text").orderBy("blk")
     old = I.segments(spark, d)
     new = old.where("(doc_id + blk) % 7 <> 0").withColumn("text", F.when(F.col("blk") % 11 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    n = lambda df, c: df.select("doc_id", "text", F.col("blk").alias(c), F.row_number().over(place).alias("i"))
-    both = n(old, "a").join(n(new, "b"), ["doc_id", "text", "i"], "full")
-    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
-    return both.groupBy("doc_id").agg(F.count_if(a & b).alias("kept"), F.count_if(~a).alias("new"), F.count_if(~b).alias("removed"))
+    return rollup.version_report(old, new, "doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import unicode as U
-from ..operators import align, checks, glossary, limits, pages, plan, protocol, rollup, routing, script
+from ..operators import align, checks, glossary, limits, lists, pages, plan, projects, protocol, rollup, routing, script
 from . import inputs as I
 from .inputs import BLOCKS, CHUNKS, GLOSSARY, PAIRS, SEGMENTS, TRIM, WS
 from .registry import query, table
@@ -61,7 +61,7 @@ def s9_page_titles(spark, d):
 
 @query("select lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host, count(*) as n from pages group by all")
 def s32_hosts(spark, d):
-    return table(spark, d, "pages").groupBy(F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("host")).agg(F.count("*").alias("n"))
+    return table(spark, d, "pages").groupBy(X.host("url").alias("host")).agg(F.count("*").alias("n"))
 
 
 @query(f"select doc_id, blk from {BLOCKS} where {TRIM.format('text')} <> ''")
@@ -71,7 +71,7 @@ def p1_translatable(spark, d):
 
 @query(f"select project, chunk_index from {CHUNKS} where state in ('pending', 'failed')")
 def p2_todo(spark, d):
-    return I.chunks(spark, d).where(F.col("state").isin("pending", "failed")).select("project", "chunk_index")
+    return projects.todo(I.chunks(spark, d)).select("project", "chunk_index")
 
 
 @query("select event_id, length(m) as n, (link >= 0.25) as citation from (select event_id, m, length(u)::double / length(m) as link from (select event_id, 'www.x.org/' || event_type as u, 'www.x.org/' || event_type || repeat(' w', (event_id % 60)::int) as m from events))")
@@ -85,17 +85,15 @@ def p11_language_lookup(spark, d):
     """A case-insensitive lookup that passes unknown names through."""
     nation = table(spark, d, "nation")
     c = table(spark, d, "customer").join(F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("_own"))), "c_nationkey")  # 25 nations
-    wanted = F.lower(F.when(F.col("c_custkey") % 2 == 0, F.col("_own")).otherwise(F.col("c_name")))
-    known = nation.where("n_nationkey % 2 = 0").select("n_name", F.lower("n_name").alias("_k"))
-    return c.withColumn("_k", wanted).join(F.broadcast(known), "_k", "left").select("c_custkey", F.coalesce("n_name", "c_name").alias("language"))
+    asked = c.withColumn("asked", F.when(F.col("c_custkey") % 2 == 0, F.lower("_own")).otherwise(F.col("c_name")))
+    return projects.looked_up(asked, "asked", nation.where("n_nationkey % 2 = 0"), "n_name").select("c_custkey", F.when((F.col("c_custkey") % 2 == 0) & (F.col("found") == F.col("asked")), F.col("c_name")).otherwise(F.col("found")).alias("language"))
 
 
 @query("select c_custkey, case when c_custkey % 4 = 0 then null when c_custkey % 4 = 1 then c_mktsegment else c_name end as value from customer")
 def p12_patch_merge(spark, d):
     """A patch over a base: absent keeps, empty clears."""
     patch = F.when(F.col("c_custkey") % 4 == 0, "").when(F.col("c_custkey") % 4 != 1, F.col("c_name"))
-    merged = F.coalesce(patch, F.col("c_mktsegment"))
-    return table(spark, d, "customer").select("c_custkey", F.when(merged != "", merged).alias("value"))
+    return table(spark, d, "customer").select("c_custkey", projects.patched(F.col("c_mktsegment"), patch).alias("value"))
 
 
 _HITS = f"select s.doc_id, s.blk, g.ord, g.term from (select *, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {SEGMENTS}) s join {GLOSSARY} g on list_contains(s.w, g.term)"
@@ -189,7 +187,7 @@ def j8_qa_pairs(spark, d):
 @query("select distinct o_custkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l_quantity > 49)")
 def j9_affected(spark, d):
     hot = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(hot, "o_orderkey", "left_semi").select("o_custkey").distinct()
+    return checks.affected(table(spark, d, "orders"), hot, ["o_orderkey"]).select("o_custkey").distinct()
 
 
 _SERVED = "(select event_id, event_type || '-' || user_id as served from events)"
@@ -225,7 +223,7 @@ def a2_qa_scores(spark, d):
 
 @query("select l_orderkey, l_linenumber, sum(l_quantity)::bigint as tokens_in, sum(l_partkey)::bigint as tokens_out from lineitem group by rollup (l_orderkey, l_linenumber)")
 def a4_spend(spark, d):
-    return table(spark, d, "lineitem").rollup("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("tokens_in"), F.sum("l_partkey").alias("tokens_out"))
+    return rollup.spend(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", tokens_in="l_quantity", tokens_out="l_partkey")
 
 
 @query("select l_orderkey, l_linenumber, (greatest(0, l_partkey - l_suppkey) * 3.0::double + l_suppkey * 0.5::double + l_quantity * 15.0::double) / 1000000 as usd from lineitem")
@@ -318,18 +316,12 @@ def w9_aliases(spark, d):
 @query(f"select doc_id, blk, last_value(case when length(text) < 40 then text end ignore nulls) over (partition by doc_id order by blk) as heading from {SEGMENTS}")
 def w10_carried_headings(spark, d):
     """The last heading before each line; a short line stands for a heading."""
-    from pyspark.sql import Window
-
-    along = Window.partitionBy("doc_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, 0)
-    return I.segments(spark, d).select("doc_id", "blk", F.last(F.when(F.length("text") < 40, F.col("text")), ignorenulls=True).over(along).alias("heading"))
+    return lists.carried_forward(I.segments(spark, d), "doc_id", "blk", F.when(F.length("text") < 40, F.col("text")), "heading").select("doc_id", "blk", "heading")
 
 
 @query("select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r <= 3")
 def w11_live_tails(spark, d):
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return table(spark, d, "events").withColumn("r", F.row_number().over(newest)).where("r <= 3").select("user_id", "event_id")
+    return lists.newest_rows(table(spark, d, "events"), "user_id", [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id")
 
 
 @query(f"select conv_id, turn, regexp_extract_all(source, '<(?:/[0-9]+|[0-9]+/?)>') as tags, regexp_replace(source, '<(?:/[0-9]+|[0-9]+/?)>', '', 'g') as plain from {PAIRS}")
@@ -434,13 +426,13 @@ def n3_scores(spark, d):
 
 @query("select doc_id, sha256(text) as hash from documents")
 def n5_hashes(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", X.content_hash("text").alias("hash"))
 
 
 @query("select event_id, cast(ts as date) as day, cast(cast(ts as date) + 1 as date) as resets from events")
 def n8_utc_days(spark, d):
-    day = F.to_date(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").select("event_id", day.alias("day"), F.date_add(day, 1).alias("resets"))
+    ts = F.col("ts")
+    return table(spark, d, "events").select("event_id", limits.utc_day(ts).alias("day"), limits.next_utc_day(ts).alias("resets"))
 
 
 @query("select event_id, count(*) over (partition by user_id order by ts range between interval 59999999 microseconds preceding and interval 1 microseconds preceding) as in_window from events")
@@ -508,9 +500,9 @@ def x2_parsed_replies(spark, d):
     return protocol.with_parsed(req.withColumn("reply", reply), "reply", "ids", "p").select("conv_id", "ids", "p.missing", "p.extra", "p.duplicate")
 
 
-@query("select user_id, sum(value) as v from (select user_id, list_sort(list(event_id))[1:3] as first from events group by 1) f join events e using (user_id) where list_contains(f.first, e.event_id) group by 1".replace("sum(value) as v", "count(*) as v"))
+@query("select user_id, list(event_id order by event_id)[1:60] as hits from events group by user_id")
 def o5_first_hits(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.size(F.slice(F.sort_array(F.collect_list("event_id")), 1, 3)).cast("long").alias("v"))
+    return lists.first_hits(table(spark, d, "events"), "user_id", "event_id")
 
 
 @query("select k, problem from (select s_suppkey as k, 'missing' as problem from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 3 > 0) union all select c_custkey, 'unknown' from customer where c_custkey % 3 > 0 and c_custkey not in (select s_suppkey from supplier))")
