@@ -13,7 +13,10 @@ from . import markup as M
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _PARTS = [r"word/document\.xml", r"word/footnotes\.xml", r"word/endnotes\.xml", r"word/header\d*\.xml", r"word/footer\d*\.xml"]
-_INTO = {_W + t for t in ("hyperlink", "ins", "smartTag", "sdt", "sdtContent", "fldSimple")}
+# What stands around runs without being text of its own; a field, kept as it is; and what says nothing of how text looks.
+_INTO = {_W + t for t in ("hyperlink", "ins", "moveTo", "smartTag", "customXml", "sdt", "sdtContent", "bdo", "dir")}
+_FIELD = _W + "fldSimple"
+_UNSEEN = {_W + t for t in ("lang", "noProof", "lastRenderedPageBreak")}
 
 
 def parts(z: zipfile.ZipFile) -> list[str]:
@@ -24,10 +27,10 @@ def parts(z: zipfile.ZipFile) -> list[str]:
 
 
 def _runs(p: ET.Element, link: ET.Element | None = None) -> list[tuple[ET.Element, ET.Element | None]]:
-    """The runs of a paragraph in order, with the hyperlink each is in; deleted text is passed over."""
+    """The runs and fields of a paragraph in order, with the hyperlink each is in; text that was deleted or moved away is passed over."""
     out = []
     for c in p:
-        if c.tag == _W + "r":
+        if c.tag in (_W + "r", _FIELD):
             out.append((c, link))
         elif c.tag in _INTO:
             out += _runs(c, c if c.tag == _W + "hyperlink" else link)
@@ -35,8 +38,9 @@ def _runs(p: ET.Element, link: ET.Element | None = None) -> list[tuple[ET.Elemen
 
 
 def _format(run: ET.Element) -> bytes:
-    own = run.find(_W + "rPr")
-    return ET.tostring(own) if own is not None else b""
+    """How a run looks; a field looks like its first run. The language of text is not a matter of looks."""
+    own = run.find(f"{_W}r/{_W}rPr" if run.tag == _FIELD else _W + "rPr")
+    return b"".join(ET.tostring(c) for c in own if c.tag not in _UNSEEN) if own is not None else b""
 
 
 class Paragraph:
@@ -46,9 +50,10 @@ class Paragraph:
         self.p, self.runs = p, _runs(p)
         weight: Counter = Counter()
         for r, _ in self.runs:
-            weight[_format(r)] += sum(len(t.text or "") for t in r.iter(_W + "t"))
+            if r.tag != _FIELD:
+                weight[_format(r)] += sum(len(t.text or "") for t in r.iter(_W + "t"))
         self.base = max(weight, key=weight.get) if weight else b""
-        self.base_run = next((r for r, _ in self.runs if _format(r) == self.base), None)
+        self.base_run = next((r for r, _ in self.runs if r.tag != _FIELD and _format(r) == self.base), None)
         self.elements: dict[int, ET.Element] = {}
         self.text = self._text()
 
@@ -72,10 +77,10 @@ class Paragraph:
                 n += 1
                 self.elements[n], open_format = r, (n, fmt)
                 out.append(f"<{n}>")
-            for c in r:
+            for c in [r] if r.tag == _FIELD else r:
                 if c.tag == _W + "t":
                     out.append(c.text or "")
-                elif c.tag != _W + "rPr":
+                elif c.tag != _W + "rPr" and c.tag not in _UNSEEN:
                     n += 1
                     self.elements[n] = c
                     out.append(f"<{n}/>")
@@ -98,15 +103,18 @@ class Paragraph:
         return "para"
 
     def write(self, translation: str) -> None:
+        """Puts a translation in the place of the runs. What began among them, as a bookmark does, begins before it, what ended ends after it."""
         used = set(map(int, re.findall(r"<(\d+)/?>", self.text)))
         tree = M.rebuild(translation, {n: ET.Element(str(n)) for n in used})
         tree = [re.sub(r"</?\d+/?>", "", translation)] if tree is None else tree
-        for r, link in self.runs:
-            holder = next((e for e in self.p.iter() if r in list(e)), None)
-            if holder is not None:
-                holder.remove(r)
-        for c in [c for c in self.p if c.tag in _INTO]:
+        gone = {_W + "r", _FIELD, *_INTO}
+        whole = list(self.p)
+        first = next((i for i, c in enumerate(whole) if c.tag in gone), len(whole))
+        begun = [c for c in whole[first:] if c.tag.endswith("Start")]
+        after = [c for c in whole[first:] if c.tag not in gone and c not in begun]
+        for c in whole:
             self.p.remove(c)
+        self.p.extend([*whole[:first], *begun])
 
         def run(fmt_of: ET.Element | None, child: ET.Element) -> ET.Element:
             r = ET.Element(_W + "r")
@@ -124,7 +132,10 @@ class Paragraph:
                     into.append(run(fmt, t))
                     continue
                 own = self.elements[int(x.tag)]
-                if own.tag == _W + "hyperlink":
+                if own.tag == _FIELD:
+                    into.append(copy.deepcopy(own))
+                    into[-1].tail = None
+                elif own.tag == _W + "hyperlink":
                     link = ET.SubElement(into, own.tag, dict(own.attrib))
                     emit(M.content(x), link, fmt)
                 elif own.tag == _W + "r":
@@ -133,6 +144,7 @@ class Paragraph:
                     into.append(run(fmt, copy.deepcopy(own)))
 
         emit(tree, self.p, self.base_run)
+        self.p.extend(after)
 
 
 def _paragraphs(data: bytes):

@@ -218,6 +218,31 @@ def _docx():
     return out.getvalue()
 
 
+def _document(body):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_docx_keeps_moved_text_fields_and_bookmarks():
+    run = lambda t, b="": f'<w:r><w:rPr>{b}</w:rPr><w:t xml:space="preserve">{t}</w:t></w:r>'
+    page = '<w:fldSimple w:instr=" PAGE "><w:r><w:t>7</w:t></w:r></w:fldSimple>'
+    body = (
+        f'<w:p><w:pPr><w:jc w:val="left"/></w:pPr>{run("one ")}<w:moveFrom>{run("away ")}</w:moveFrom><w:moveTo>{run("moved ")}</w:moveTo><w:customXml>{run("custom ")}</w:customXml>{run("end")}</w:p>'
+        f'<w:p>{run("same ", "<w:lang w:val=&quot;en&quot;/>".replace("&quot;", chr(34)))}{run("words", "<w:noProof/>")}<w:r><w:lastRenderedPageBreak/><w:t> here</w:t></w:r></w:p>'
+        f'<w:p>{run("a ")}<w:bookmarkStart w:id="1" w:name="x"/>{run("b ")}<w:bookmarkEnd w:id="1"/>{run("c ")}{page}</w:p>'
+    )
+    data = _document(body)
+    assert [r["text"] for r in docx.read(data)] == ["one moved custom end", "same words here", "a b c <1/>"]
+    out = docx.write(data, {"document-1": "jedan kraj", "document-3": "A B <1/> C"})
+    assert [r["text"] for r in docx.read(out)] == ["jedan kraj", "same words here", "A B <1/> C"]
+    xml = zipfile.ZipFile(io.BytesIO(out)).read("word/document.xml").decode()
+    assert xml.index("bookmarkStart") < xml.index("A B") < xml.index(" PAGE ") < xml.index("> C<") < xml.index("bookmarkEnd")
+    assert xml.index("w:jc" if "w:jc" in xml else ":jc") < xml.index("jedan kraj")
+
+
 def test_docx_round_trip():
     data = _docx()
     rows = {r["block_id"]: r for r in docx.read(data)}
