@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .stages import stage
 
-# The models that are tried where nothing is set.
-LAST_RESORT = ["deepseek/deepseek-flash", "strata/default"]
-
-
 def resolved(edges: DataFrame, path: str) -> DataFrame:
     """(alias, target, steps, circular) of edges (alias, target), one for each alias: the end of its chain, or none if it runs into a circle.
 
@@ -35,14 +31,14 @@ def resolved(edges: DataFrame, path: str) -> DataFrame:
     return ends
 
 
-def fallback_list(given: Column, defaults: Column, order: Column) -> Column:
+def fallback_list(given: Column, defaults: Column, order: Column, last_resort: list[str]) -> Column:
     """The given list where it has rows; else the defaults (group -> model) in the given order of groups, else all of them by group; else
-    LAST_RESORT. Empty names count for nothing."""
+    the last resort. Empty names count for nothing."""
     named = lambda xs: F.filter(xs, lambda x: x.isNotNull() & (x != ""))
     some = lambda xs: F.when(F.size(xs) > 0, xs)
     ordered = named(F.transform(order, lambda g: F.try_element_at(defaults, g)))
     by_group = named(F.transform(F.array_sort(F.map_entries(defaults)), lambda e: e.value))
-    return F.coalesce(some(given), some(ordered), some(by_group), F.array(*map(F.lit, LAST_RESORT)))
+    return F.coalesce(some(given), some(ordered), some(by_group), F.array(*map(F.lit, last_resort)))
 
 
 def shared_order(refs: Column, rows: Column) -> Column:

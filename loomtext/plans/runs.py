@@ -93,13 +93,13 @@ _DEFAULTS = "map {'b': case when p_partkey % 2 = 0 then p_brand end, 'a': case w
 
 @query(f"""with p as (select p_partkey, case when p_partkey % 4 = 0 then [p_name] when p_partkey % 4 = 1 then [] end as given, {_DEFAULTS} as defaults, case when p_partkey % 7 > 2 then ['c', 'x', 'b'] end as "order" from part),
  l as (select p_partkey, given, list_filter(list_transform("order", lambda g: defaults[g]), lambda x: x is not null and x <> '') as a, list_filter([defaults['a'], defaults['b'], defaults['c']], lambda x: x is not null and x <> '') as b from p)
- select p_partkey, case when len(given) > 0 then given when len(a) > 0 then a when len(b) > 0 then b else ['deepseek/deepseek-flash', 'strata/default'] end as fallbacks from l""")
+ select p_partkey, case when len(given) > 0 then given when len(a) > 0 then a when len(b) > 0 then b else ['near/small', 'far/large'] end as fallbacks from l""")
 def m8_fallback_lists(spark, d):
     k = F.col("p_partkey")
     given = F.when(k % 4 == 0, F.array("p_name")).when(k % 4 == 1, F.expr("cast(array() as array<string>)"))
     defaults = F.create_map(F.lit("b"), F.when(k % 2 == 0, F.col("p_brand")), F.lit("a"), F.when(k % 3 == 0, F.col("p_type")), F.lit("c"), F.when(k % 5 == 0, F.lit("")))
     order = F.when(k % 7 > 2, F.array(F.lit("c"), F.lit("x"), F.lit("b")))
-    return table(spark, d, "part").select("p_partkey", chains.fallback_list(given, defaults, order).alias("fallbacks"))
+    return table(spark, d, "part").select("p_partkey", chains.fallback_list(given, defaults, order, ["near/small", "far/large"]).alias("fallbacks"))
 
 
 _LISTED = "(select user_id, list({'ref': case when event_id % 9 = 0 then 'role' else 'p' || event_id % 4 || '/m' || event_id % 3 end, 'kind': 'p' || event_id % 4, 'client': event_id % 4 = 3 and event_id % 9 > 0} order by event_id)[1:6] as refs from events group by user_id)"
