@@ -109,3 +109,23 @@ def merge_reviews(deterministic: DataFrame, model: DataFrame, keys: list[str]) -
 def affected(segments: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:
     """Segments with at least one issue."""
     return segments.join(issues.select(*keys), keys, "left_semi")
+
+
+def reply_issues(issues: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Issues (keys, ord, type, ...) that a reviewing model gave, of segments there are (pairs: keys, source, target): tag issues go where the tags
+    hold, and of one segment's issues of a type the first stays."""
+    known = issues.join(pairs.select(*keys, tag_check("source", "target").ok.alias("_tags_hold")), keys)
+    first = Window.partitionBy(*keys, "type").orderBy("ord")
+    kept = known.where((F.col("type") != "tags") | ~F.col("_tags_hold")).withColumn("_r", F.row_number().over(first))
+    return kept.where(F.col("_r") == 1).drop("_r", "_tags_hold")
+
+
+def submission_problems(read: Column, segs: Column) -> Column:
+    """array<string>: what keeps work that came from outside from being taken; empty: all of it is taken, else none.
+
+    read is a parsed reply, segs array<struct<id, text>>.
+    """
+    told = lambda ids, what: F.transform(ids, lambda i: F.concat(i, F.lit(": " + what)))
+    given = F.filter(segs, lambda s: F.map_contains_key(read.segments, s.id))
+    wrong = F.filter(given, lambda s: ~tag_check(s.text, F.try_element_at(read.segments, s.id)).ok)
+    return F.concat(told(read.missing, "missing"), told(read.extra, "unknown"), told(read.conflicting, "given twice"), told(F.transform(wrong, lambda s: s.id), "tags"))

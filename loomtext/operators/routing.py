@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,24 @@ def usable(candidates: DataFrame) -> DataFrame:
 def anti_merge(picked: DataFrame, file_rows: DataFrame, key: str) -> DataFrame:
     """Rows of a file, and picked rows whose key it lacks."""
     return file_rows.unionByName(picked.join(file_rows.select(key), key, "left_anti"))
+
+
+def reviewer_agents(client_only: Column, models: Column, proofread: Column) -> Column:
+    """array<string>: the agents that a client-only project's reviewer models work for; none without such models."""
+    some = client_only & (F.size(models) > 0)
+    return F.when(some & F.coalesce(proofread, F.lit(False)), F.array(F.lit("qa"), F.lit("proofreader"))).when(some, F.array(F.lit("qa"))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def reviewer_problem(ref: Column, translator: str, local: list[str], client: str = "client") -> Column:
+    """Why a model may not review in a project that spends nothing; null: it may. Other clients and models of local providers may."""
+    provider = F.split(ref, "/")[0]
+    free = (provider == client) | provider.isin(local)
+    return F.when(F.instr(ref, "/") == 0, "not provider/model").when(ref == translator, "it translates").when(~free, "not free")
+
+
+def outside_refs(refs: Column, agent: Column, reviewers: Column, models: Column, translator: str, local: list[str], client: str = "client") -> Column:
+    """Of the models an agent of a client-only project would ask, those it may not: a reviewer may ask its reviewer models that may review,
+    any other agent only clients."""
+    reviews = F.array_contains(reviewers, agent)
+    may_review = lambda r: F.array_contains(models, r) & reviewer_problem(r, translator, local, client).isNull()
+    return F.filter(refs, lambda r: F.when(reviews, ~may_review(r)).otherwise(F.split(r, "/")[0] != client))

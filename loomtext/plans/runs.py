@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import align, chains, digests, glossary, limits, plan, protocol, runner, script
+from ..operators import align, chains, checks, digests, glossary, limits, plan, protocol, routing, runner, script
 from ..operators.stages import new_folder
 from . import inputs as I
-from .inputs import SEGMENTS, TRIM
+from .inputs import PAIRS, SEGMENTS, TRIM
 from .registry import query, table
 
 
@@ -227,3 +227,45 @@ def x1_text_files(spark, d):
     pieces = spark.read.format("loomtext").option("rangeBytes", "32768").load(folder)
     whole = digests.stream_digests(pieces, "path", "start", "raw").withColumn("doc_id", F.regexp_extract("path", "^(-?[0-9]+)", 1).cast("long"))
     return whole.select("doc_id", "n_bytes", "sha256")
+
+
+_HOLDS = "case when conv_id % 2 = 0 then conv_id % 5 in (0, 1) else conv_id % 3 > 0 or conv_id % 5 = 4 end"
+
+
+@query(f"select conv_id, turn, unnest(case when {_HOLDS} then [1] else [0, 1] end) as ord, case when ord = 0 then 'tags' else 'style' end as type from {PAIRS}")
+def j10_reply_issues(spark, d):
+    """Four issues of each pair, one of tags, two of a kind, one of a segment that is not there."""
+    pairs = I.pairs(spark, d)
+    issue = lambda o, t, turn: F.struct(F.lit(o).alias("ord"), F.lit(t).alias("type"), turn.alias("turn"))
+    turn = F.col("turn")
+    given = pairs.select("conv_id", F.explode(F.array(issue(0, "tags", turn), issue(1, "style", turn), issue(2, "style", turn), issue(0, "omission", turn + 1000))).alias("i")).select("conv_id", "i.turn", "i.ord", "i.type")
+    return checks.reply_issues(given, pairs, ["conv_id", "turn"]).select("conv_id", "turn", "ord", "type")
+
+
+@query("""select conv_id, list_sort(list_concat(case when conv_id % 3 = 0 then ['0: missing'] else []::varchar[] end, case when conv_id % 3 = 1 then ['x: unknown'] else []::varchar[] end, case when conv_id % 3 <> 0 and conv_id % 4 = 1 then ['0: given twice'] else []::varchar[] end,
+  case when conv_id % 5 = 2 then list_filter(list(turn::varchar || ': tags'), lambda t: conv_id % 3 <> 0 or t <> '0: tags') else []::varchar[] end)) as problems from conversations where conv_id in (select conv_id from conversations where turn = 0) group by conv_id""")
+def v6_submission_problems(spark, d):
+    """Work from outside: an element blank, unknown, twice and unlike, or without its tags."""
+    c = table(spark, d, "conversations")
+    k, turn = F.col("conv_id"), F.col("turn").cast("string")
+    text = F.when((k % 3 == 0) & (F.col("turn") == 0), " ").when(k % 5 == 2, "plain").otherwise("<1>good</1>")
+    element = X.segment_element(turn, text)
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(turn.alias("id"), F.lit("<1>source</1>").alias("text")))).alias("segs"), F.array_join(F.sort_array(F.collect_list(element)), "\n").alias("body"), F.min("turn").alias("low")).where("low = 0")
+    reply = F.concat("body", F.when(k % 3 == 1, "<seg id='x'>y</seg>").otherwise(""), F.when((k % 4 == 1) & (k % 3 != 0), "<seg id=0>other</seg>").otherwise(""))
+    read = protocol.with_parsed(rows.withColumn("reply", reply).withColumn("ids", F.transform("segs", lambda s: s.id)), "reply", "ids", "p")
+    return read.select("conv_id", F.array_sort(checks.submission_problems(F.col("p"), F.col("segs"))).alias("problems"))
+
+
+@query("""with p as (select p_partkey, p_partkey % 3 > 0 as client_only, case p_partkey % 4 when 0 then []::varchar[] when 1 then ['client/other', 'near/m'] when 2 then ['client/own', 'far/m', 'plain'] else ['near/m'] end as models, case p_partkey % 5 when 0 then true when 1 then false end as proofread, (['qa', 'proofreader', 'translator'])[p_partkey % 3 + 1] as agent from part),
+ a as (select *, case when client_only and len(models) > 0 then case when proofread then ['qa', 'proofreader'] else ['qa'] end else []::varchar[] end as agents from p),
+ b as (select *, list_transform(models, lambda m: case when m not like '%/%' then 'not provider/model' when m = 'client/own' then 'it translates' when m like 'client/%' or m like 'near/%' then null else 'not free' end) as problems from a)
+ select p_partkey, agents, problems, list_filter(['client/own', 'client/other', 'near/m', 'far/m'], lambda r: case when list_contains(agents, agent) then not (list_contains(models, r) and r in ('client/other', 'near/m')) else r not like 'client/%' end) as outside from b""")
+def g13_reviewers(spark, d):
+    """Who may review in projects that spend nothing, and which models their agents may not ask."""
+    k = F.col("p_partkey")
+    some = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.expr("cast(array() as array<string>)")
+    models = F.when(k % 4 == 0, some()).when(k % 4 == 1, some("client/other", "near/m")).when(k % 4 == 2, some("client/own", "far/m", "plain")).otherwise(some("near/m"))
+    rows = table(spark, d, "part").select("p_partkey", models.alias("models"), F.element_at(some("qa", "proofreader", "translator"), (k % 3 + 1).cast("int")).alias("agent"), routing.reviewer_agents(k % 3 > 0, models, F.when(k % 5 == 0, True).when(k % 5 == 1, False)).alias("agents"))
+    problems = F.transform("models", lambda m: routing.reviewer_problem(m, "client/own", ["near"]))
+    outside = routing.outside_refs(some("client/own", "client/other", "near/m", "far/m"), F.col("agent"), F.col("agents"), F.col("models"), "client/own", ["near"])
+    return rows.select("p_partkey", "agents", problems.alias("problems"), outside.alias("outside"))
