@@ -17,8 +17,12 @@ def state_counts(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(*(F.count_if(F.col("state") == s).alias(s) for s in STATES))
 
 
-def qa_scores(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, score, scored, models, independent): mean of the scored to one decimal, reviewers in order of appearance."""
+def qa_scores(chunks: DataFrame, keys: list[str], reviewer: str | None = None) -> DataFrame:
+    """(keys, score, scored, models, independent): mean of the scored to one decimal, reviewers in order of appearance.
+
+    independent: no scored chunk was reviewed by the model that translated it; before any is scored, whether the settings name a
+    reviewer, the boolean column `reviewer` of chunks where that is given.
+    """
     scored = F.col("qa_score").isNotNull()
     mean = F.sum("qa_score") / F.count("qa_score")
     names = F.transform(F.array_sort(F.collect_list(F.when(scored & F.col("qa_model").isNotNull(), F.struct("chunk_index", "qa_model")))), lambda s: s.qa_model)
@@ -26,7 +30,7 @@ def qa_scores(chunks: DataFrame, keys: list[str]) -> DataFrame:
         (F.floor(mean * 10 + 0.5) / 10).alias("score"),
         F.count("qa_score").alias("scored"),
         F.array_join(F.array_distinct(names), ",").alias("models"),
-        F.coalesce(F.bool_and(F.when(scored, ~F.col("qa_model").eqNullSafe(F.col("model")))), F.lit(False)).alias("independent"),
+        F.coalesce(F.bool_and(F.when(scored, ~F.col("qa_model").eqNullSafe(F.col("model")))), F.bool_or(reviewer) if reviewer else F.lit(None), F.lit(False)).alias("independent"),
     )
 
 
@@ -65,11 +69,13 @@ def upper_median(c: str) -> Column:
     return F.element_at(xs, (F.floor(F.size(xs) / 2) + 1).cast("int"))
 
 
-def estimate(chunks: DataFrame, keys: list[str], agents: DataFrame) -> DataFrame:
-    """(keys, agent, tokens_in, tokens_out, cost_usd, seconds) for agents with prices, tokens a second and workers."""
+def estimate(chunks: DataFrame, keys: list[str], agents: list[tuple]) -> DataFrame:
+    """(keys, agent, tokens_in, tokens_out, cost_usd, seconds) for agents (name, local, price in, price out, workers, glossary budget); they are
+    settings, so they are part of the expression and no table."""
     n = chunks.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("tokens").alias("source"))
     n = n.withColumn("out", F.floor(F.col("source") * 1.2 + 0.5).cast("long"))
-    rows = n.crossJoin(F.broadcast(agents))  # four rows
+    names = ("agent", "local", "price_in", "price_out", "workers", "glossary_budget")
+    rows = n.withColumn("_a", F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, a))) for a in agents)))).select(*n.columns, "_a.*")
     passes = F.greatest(F.lit(1), F.ceil(F.col("source") / F.col("glossary_budget"))).cast("long")
     a = F.col("agent")
     tokens_in = F.when(a == "glossary", F.col("source") + passes * 2400).when(a == "translator", F.col("source") + F.col("n") * 1000).otherwise(F.col("source") + F.col("out") + F.col("n") * 1000)

@@ -216,9 +216,10 @@ def a1_state_counts(spark, d):
 
 @query(f"""select project, floor(sum(qa_score) / count(qa_score) * 10 + 0.5) / 10 as score, count(qa_score) as scored,
  coalesce((select string_agg(m, ',' order by f) from (select qa_model as m, min(chunk_index) as f from {CHUNKS} i where i.project = c.project and qa_score is not null and qa_model is not null group by 1)), '') as models,
- coalesce(bool_and(qa_model is distinct from model) filter (qa_score is not null), false) as independent from {CHUNKS} c group by project""")
+ coalesce(bool_and(qa_model is distinct from model) filter (qa_score is not null), project % 2 = 0) as independent from {CHUNKS} c group by project""")
 def a2_qa_scores(spark, d):
-    return rollup.qa_scores(I.chunks(spark, d), ["project"])
+    """Projects with an even number name a reviewer in their settings."""
+    return rollup.qa_scores(I.chunks(spark, d).withColumn("reviewer", F.col("project") % 2 == 0), ["project"], "reviewer")
 
 
 @query("select l_orderkey, l_linenumber, sum(l_quantity)::bigint as tokens_in, sum(l_partkey)::bigint as tokens_out from lineitem group by rollup (l_orderkey, l_linenumber)")
@@ -241,8 +242,7 @@ _AGENTS = [("translator", False, 3.0, 15.0, 4, 2000), ("proofreader", False, 1.0
   case agent when 'glossary' then greatest(1, ceil(source / 2000.0))::bigint * 500 when 'qa' then n * 200 else out end::bigint as tokens_out from n cross join a)
  select doc_id, agent, tokens_in, tokens_out, case when local then 0.0::double else (tokens_in * pi + tokens_out * po) / 1000000 end as cost_usd, tokens_out / (case when local then 30 else 80 end)::double / (case when agent = 'glossary' then 1 else 4 end) as seconds from x""")
 def a6_estimate(spark, d):
-    agents = spark.createDataFrame(_AGENTS, "agent string, local boolean, price_in double, price_out double, workers int, glossary_budget long")
-    return rollup.estimate(I.segments(spark, d), ["doc_id"], agents)
+    return rollup.estimate(I.segments(spark, d), ["doc_id"], _AGENTS)
 
 
 @query("""select l_suppkey, (select q from (select l_quantity as q, sum(l_linenumber) as w, min(l_orderkey * 10 + l_linenumber) as o from lineitem i where i.l_suppkey = l.l_suppkey group by 1) order by w desc, o limit 1) as mode,
