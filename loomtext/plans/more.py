@@ -246,19 +246,6 @@ def n10_back_off(spark, d):
     return table(spark, d, "events").select("event_id", limits.back_off(F.col("event_id") % 6).alias("wait"))
 
 
-@query(f"select doc_id, count(*) as requests, sum(length(text))::bigint as chars from {SEGMENTS} group by 1")
-def g8_requests(spark, d):
-    """Requests of all chunks as messages of glossary, previous passage and segments; their segments are read back."""
-    segs = plan.pack(I.segments(spark, d), ["doc_id"], "blk", 1500).withColumn("seg_id", F.col("blk").cast("string"))
-    keys = ["doc_id", "chunk"]
-    req = protocol.format_segments(segs, keys, "blk")
-    terms = segs.where("blk = 0").select(*keys).join(I.glossary(spark, d).select(F.col("ord").alias("doc_id"), "ord", "term", "target_term"), "doc_id")
-    tails = plan.previous_tails(segs.withColumn("final", F.col("text")), ["doc_id"])
-    ms = projects.requests(req, keys, terms, tails, "Translate.")
-    found = ms.select("doc_id", F.explode(protocol.elements(F.element_at("messages", 2).content)).alias("e"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("requests"), F.sum(F.length("e.text")).alias("chars"))
-
-
 @query()
 def s17_paragraphs(spark, d):
     """Lines of documents, given places on pages, joined into paragraphs."""

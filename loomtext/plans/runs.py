@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import align, chains, checks, digests, glossary, limits, plan, protocol, routing, runner, script
+from ..operators import align, chains, checks, digests, glossary, limits, plan, projects, protocol, routing, runner, script
 from ..operators.stages import new_folder
 from . import inputs as I
-from .inputs import PAIRS, SEGMENTS, TRIM
+from .inputs import GLOSSARY, PAIRS, SEGMENTS, TRIM
+from .queries import _PACKED, BUDGET
 from .registry import query, table
 
 
@@ -269,3 +270,22 @@ def g13_reviewers(spark, d):
     problems = F.transform("models", lambda m: routing.reviewer_problem(m, "client/own", ["near"]))
     outside = routing.outside_refs(some("client/own", "client/other", "near/m", "far/m"), F.col("agent"), F.col("agents"), F.col("models"), "client/own", ["near"])
     return rows.select("p_partkey", "agents", problems.alias("problems"), outside.alias("outside"))
+
+
+_NL = "chr(10)"
+
+
+@query(f"""{_PACKED}, x as (select p.doc_id, p.chunk, p.blk, s.text from p join {SEGMENTS} s using (doc_id, blk)),
+ q as (select doc_id, chunk, min(blk) = 0 as starts, string_agg('<seg id="' || blk || '">' || text || '</seg>', {_NL} order by blk) as q from x group by 1, 2),
+ r as (select *, dense_rank() over (partition by doc_id, chunk order by blk desc) as r from x), t as (select doc_id, chunk + 1 as chunk, string_agg(text, {_NL} || {_NL} order by blk) as t from r where r <= 2 group by 1, 2),
+ g as (select ord as doc_id, '- ' || term || ' = ' || target_term as line from {GLOSSARY})
+ select doc_id, chunk, md5(concat_ws({_NL} || {_NL}, case when starts then '## Glossary' || {_NL} || line end, '## Previous passage' || {_NL} || case when length(t) > 1200 then '...' || right(t, 1200) else t end, '## Segments' || {_NL} || q)) as content
+ from q left join t using (doc_id, chunk) left join g using (doc_id)""")
+def g8_requests(spark, d):
+    """What a model is asked for each chunk: glossary terms of the first, the end of the passage before, and the segments."""
+    segs = plan.pack(I.segments(spark, d), ["doc_id"], "blk", BUDGET).withColumn("seg_id", F.col("blk").cast("string"))
+    keys = ["doc_id", "chunk"]
+    terms = segs.where("blk = 0").select(*keys).join(I.glossary(spark, d).select(F.col("ord").alias("doc_id"), "ord", "term", "target_term"), "doc_id")
+    tails = plan.previous_tails(segs.withColumn("final", F.col("text")), ["doc_id"])
+    asked = projects.requests(protocol.format_segments(segs, keys, "blk"), keys, terms, tails, "Translate.")
+    return asked.select(*keys, F.md5(F.element_at("messages", 2).content.cast("binary")).alias("content"))
