@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import checks, protocol
+from . import checks, protocol, replies
 from .projects import final_state
 from .stages import stage
 
@@ -178,3 +178,23 @@ def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str
     state = F.when(whole, final_state(F.coalesce("major", F.lit(0)), F.lit(None))).otherwise("failed")
     ran = out.select(*keys, state.alias("state"), "final", F.col("asks").cast("long").alias("asks"))
     return ran.unionByName(chunks.where(finished).select(*keys, "state", "final", F.lit(0).cast("long").alias("asks")))
+
+
+def answers(asks: DataFrame, keys: list[str], schema: dict, model: Model, path: str) -> DataFrame:
+    """(keys, json, problems, asks) of asks (keys, request): the JSON object that the model answers with, where it keeps the schema.
+
+    An answer that does not is asked for once more, with its problems named; what is still wrong then gives no JSON and its problems.
+    Both rounds are committed stages under path, so a stopped run asks for nothing twice.
+    """
+    spark = asks.sparkSession
+
+    def asked(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("reply", model(F.col("request"), F.lit(0), F.lit("json")))
+        return rows.select(*keys, "request", "reply", replies.structured("reply", schema).alias("problems"))
+
+    first = stage(spark, f"{path}/asked", lambda: asked(asks.select(*keys, "request")))
+    note = F.concat(F.lit("\n\nThe last answer was not usable: "), F.array_join("problems", "; "), F.lit(". Answer with one JSON object."))
+    wrong = F.size("problems") > 0
+    second = stage(spark, f"{path}/repaired", lambda: asked(first.where(wrong).withColumn("request", F.concat("request", note))))
+    both = first.where(~wrong).withColumn("asks", F.lit(1)).unionByName(second.withColumn("asks", F.lit(2)))
+    return both.select(*keys, F.when(~wrong, X.first_json("reply")).alias("json"), "problems", "asks")

@@ -289,3 +289,24 @@ def g8_requests(spark, d):
     tails = plan.previous_tails(segs.withColumn("final", F.col("text")), ["doc_id"])
     asked = projects.requests(protocol.format_segments(segs, keys, "blk"), keys, terms, tails, "Translate.")
     return asked.select(*keys, F.md5(F.element_at("messages", 2).content.cast("binary")).alias("content"))
+
+
+_TERMS = {"type": "object", "required": ["terms"], "properties": {"terms": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["source", "size"], "properties": {"source": {"type": "string", "minLength": 1}, "size": {"type": "integer"}}}}}}
+
+
+@query("""select p_partkey, case when p_partkey % 5 < 4 then '{"terms": [{"source": "' || p_name || '", "size": ' || p_size || '}]}' end as json,
+ case p_partkey % 5 when 4 then case when p_partkey % 2 = 0 then ['terms[0].size: not integer', 'terms[0].source: missing'] else ['terms: too few items'] end else []::varchar[] end as problems, case when p_partkey % 5 in (1, 2, 4) then 2 else 1 end as asks from part""")
+def g7_repaired_answers(spark, d):
+    """Terms as JSON: some answers are right at once, some in a fence after thinking, some only after their problems are named, some never."""
+    k = F.col("p_partkey")
+    asks = table(spark, d, "part").select(k, F.concat_ws("|", k.cast("string"), "p_name", F.col("p_size").cast("string")).alias("request"))
+
+    def model(request, number, task):
+        part = lambda i: F.regexp_extract(request, r"^([0-9]+)\|([^|]*)\|([0-9]+)", i)
+        n, again = part(1).cast("long"), F.instr(request, "not usable") > 0
+        good = F.concat(F.lit('{"terms": [{"source": "'), part(2), F.lit('", "size": '), part(3), F.lit("}]}"))
+        never = F.when(n % 2 == 0, '{"terms": [{"size": "x"}]}').otherwise('{"terms": []}')
+        return F.when(n % 5 == 0, good).when(n % 5 == 3, F.concat(F.lit("<think>{no}</think>```json\n"), good, F.lit("\n```"))).when(n % 5 == 4, never).when(again, good).when(n % 5 == 1, "no object").otherwise('{"term": 1}')
+
+    out = runner.answers(asks, ["p_partkey"], _TERMS, model, new_folder(spark, "runs"))
+    return out.select("p_partkey", "json", F.array_sort("problems").alias("problems"), "asks")
