@@ -127,3 +127,17 @@ def looked_up(rows: DataFrame, name: str, known: DataFrame, known_name: str) ->
     """rows with `found`: the known spelling of a name whatever its case; a name that is not known stays as it is."""
     table = known.select(F.col(known_name).alias("_known"), F.lower(known_name).alias("_k")).dropDuplicates(["_k"])
     return rows.withColumn("_k", F.lower(name)).join(table, "_k", "left").withColumn("found", F.coalesce("_known", name)).drop("_k", "_known")
+
+
+# Formats of which a changed source is a new project.
+NOT_REFRESHED = ("vn", "vnp")
+
+
+def refresh_refusal(running: Column, kind: Column, new_kind: Column) -> Column:
+    """Why a project's source may not be refreshed now; null: it may."""
+    return F.when(running, "pause the project before refreshing the source").when(kind.isin(*NOT_REFRESHED), "make a new project for the changed book").when(new_kind != kind, F.concat(F.lit("the new source is "), new_kind, F.lit(", the project is "), kind))
+
+
+def edit_refusal(running: Column, what: str) -> Column:
+    """Why a project may not be changed by hand now; null: it may."""
+    return F.when(running, F.lit(f"pause the project before {what}"))

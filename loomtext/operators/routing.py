@@ -62,3 +62,15 @@ def outside_refs(refs: Column, agent: Column, reviewers: Column, models: Column,
     reviews = F.array_contains(reviewers, agent)
     may_review = lambda r: F.array_contains(models, r) & reviewer_problem(r, translator, local, client).isNull()
     return F.filter(refs, lambda r: F.when(reviews, ~may_review(r)).otherwise(F.split(r, "/")[0] != client))
+
+
+def model_choice(show: Column, picked: Column, hidden: Column, known: Column, listed: Column, local: Column, priced: Column) -> Column:
+    """struct(picked, hidden, problem): a model after it was asked to be shown or hidden.
+
+    Hiding takes a picked model off the picks and hides any other. Showing picks a model that is not known, if its provider lists it, with
+    a price unless the provider is local. With a problem nothing changes.
+    """
+    fresh = show & ~known & ~picked
+    problem = F.when(fresh & ~listed, "not listed").when(fresh & ~local & ~priced, "no price")
+    fine = problem.isNull()
+    return F.struct(F.when(fine, (show & picked) | fresh).otherwise(picked).alias("picked"), F.when(~fine, hidden).when(show, False).otherwise(hidden | ~picked).alias("hidden"), problem.alias("problem"))

@@ -310,3 +310,25 @@ def g7_repaired_answers(spark, d):
 
     out = runner.answers(asks, ["p_partkey"], _TERMS, model, new_folder(spark, "runs"))
     return out.select("p_partkey", "json", F.array_sort("problems").alias("problems"), "asks")
+
+
+@query("""select o_orderkey, case when o_orderkey % 7 = 0 then 'pause the project before refreshing the source' when kind in ('vn', 'vnp') then 'make a new project for the changed book' when now <> kind then 'the new source is ' || now || ', the project is ' || kind end as refresh,
+ case when o_orderkey % 7 = 0 then 'pause the project before editing' end as edit from (select o_orderkey, (['md', 'vn', 'epub', 'vnp', 'txt'])[(o_orderkey % 5 + 1)::int] as kind, case when o_custkey % 3 = 0 then 'txt' else (['md', 'vn', 'epub', 'vnp', 'txt'])[(o_orderkey % 5 + 1)::int] end as now from orders)""")
+def p13_refusals(spark, d):
+    """Projects that run, whose format is not refreshed, or whose new source is of another format."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ["md", "vn", "epub", "vnp", "txt"])), (k % 5 + 1).cast("int"))
+    now = F.when(F.col("o_custkey") % 3 == 0, "txt").otherwise(kind)
+    return table(spark, d, "orders").select("o_orderkey", projects.refresh_refusal(k % 7 == 0, kind, now).alias("refresh"), projects.edit_refusal(k % 7 == 0, "editing").alias("edit"))
+
+
+_BITS = ", ".join(f"(event_id // {2**i}) % 2 = 1 as {n}" for i, n in enumerate(("shows", "picked", "hidden", "known", "listed", "local", "priced")))
+
+
+@query(f"""with b as (select event_id, {_BITS} from events), p as (select *, case when shows and not known and not picked then case when not listed then 'not listed' when not local and not priced then 'no price' end end as problem from b)
+ select event_id, case when problem is not null then picked when shows then picked or not known else false end as is_picked, case when problem is not null then hidden when shows then false else hidden or not picked end as is_hidden, problem from p""")
+def m10_model_choices(spark, d):
+    """Every combination of a request and what is known of its model."""
+    bit = lambda i: F.floor(F.col("event_id") / 2**i) % 2 == 1
+    rows = table(spark, d, "events").select("event_id", routing.model_choice(*(bit(i) for i in range(7))).alias("c"))
+    return rows.select("event_id", F.col("c.picked").alias("is_picked"), F.col("c.hidden").alias("is_hidden"), F.col("c.problem").alias("problem"))
