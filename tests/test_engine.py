@@ -15,6 +15,7 @@ from loomtext.operators import align, checks, glossary, pages, plan, protocol, s
 import loomtext.plans.lists  # noqa: F401
 import loomtext.plans.more  # noqa: F401
 import loomtext.plans.queries  # noqa: F401  registers the queries
+import loomtext.plans.runs  # noqa: F401
 from loomtext.plans.registry import ORACLE_SQL, QUERIES
 from loomtext.sources import docx, epub, markdown, markup
 from loomtext.streaming import leases
