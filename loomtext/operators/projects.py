@@ -135,9 +135,9 @@ NOT_REFRESHED = ("vn", "vnp")
 
 def refresh_refusal(running: Column, kind: Column, new_kind: Column) -> Column:
     """Why a project's source may not be refreshed now; null: it may."""
-    return F.when(running, "pause the project before refreshing the source").when(kind.isin(*NOT_REFRESHED), "make a new project for the changed book").when(new_kind != kind, F.concat(F.lit("the new source is "), new_kind, F.lit(", the project is "), kind))
+    return F.when(running, "it is running: refresh it later").when(kind.isin(*NOT_REFRESHED), "its format is not refreshed").when(new_kind != kind, F.concat(F.lit("the source is now "), new_kind, F.lit(", the project was made for "), kind))
 
 
 def edit_refusal(running: Column, what: str) -> Column:
     """Why a project may not be changed by hand now; null: it may."""
-    return F.when(running, F.lit(f"pause the project before {what}"))
+    return F.when(running, F.lit(f"it is running: {what} has to wait"))

@@ -312,8 +312,8 @@ def g7_repaired_answers(spark, d):
     return out.select("p_partkey", "json", F.array_sort("problems").alias("problems"), "asks")
 
 
-@query("""select o_orderkey, case when o_orderkey % 7 = 0 then 'pause the project before refreshing the source' when kind in ('vn', 'vnp') then 'make a new project for the changed book' when now <> kind then 'the new source is ' || now || ', the project is ' || kind end as refresh,
- case when o_orderkey % 7 = 0 then 'pause the project before editing' end as edit from (select o_orderkey, (['md', 'vn', 'epub', 'vnp', 'txt'])[(o_orderkey % 5 + 1)::int] as kind, case when o_custkey % 3 = 0 then 'txt' else (['md', 'vn', 'epub', 'vnp', 'txt'])[(o_orderkey % 5 + 1)::int] end as now from orders)""")
+@query("""select o_orderkey, case when o_orderkey % 7 = 0 then 'it is running: refresh it later' when kind in ('vn', 'vnp') then 'its format is not refreshed' when now <> kind then 'the source is now ' || now || ', the project was made for ' || kind end as refresh,
+ case when o_orderkey % 7 = 0 then 'it is running: editing has to wait' end as edit from (select o_orderkey, (['md', 'vn', 'epub', 'vnp', 'txt'])[(o_orderkey % 5 + 1)::int] as kind, case when o_custkey % 3 = 0 then 'txt' else (['md', 'vn', 'epub', 'vnp', 'txt'])[(o_orderkey % 5 + 1)::int] end as now from orders)""")
 def p13_refusals(spark, d):
     """Projects that run, whose format is not refreshed, or whose new source is of another format."""
     k = F.col("o_orderkey")
