@@ -21,8 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from . import markdown
 
-#: Bytes of a file that are one partition, about; and bytes copied at a time.
-RANGE_BYTES, COPY_BYTES = 8 << 20, 1 << 20
+#: Bytes of a file that are one partition, about; bytes copied at a time; and bytes that a writing task sorts at a time.
+RANGE_BYTES, COPY_BYTES, HELD_BYTES = 8 << 20, 1 << 20, 32 << 20
 FORMATS = {"md": True, "markdown": True, "txt": False, "text": False}
 SCHEMA = "path string, start long, kind string, body string, raw string"
 
@@ -163,7 +163,7 @@ class Parts(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """Tasks write parts aside, a row each where rows of files are mixed, else a run; commit puts the parts of each file together."""
+    """Tasks write parts aside, of rows sorted in blocks, one for each run of a file; commit puts the parts of each file together."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.aside, self.overwrite = options["path"], f".aside-{uuid.uuid4().hex}", overwrite
@@ -172,10 +172,22 @@ class Writer(DataSourceWriter):
         system, place = _file_system(self.path)
         aside = f"{place.rstrip('/')}/{self.aside}"
         system.create_dir(aside, recursive=True)
-        held = sorted(((r["path"], r["start"], r["raw"]) for r in rows), key=lambda r: r[:2])
+        out: list = []
+        held, size = [], 0
+        for r in rows:
+            held.append((r["path"], r["start"], (r["raw"] or "").encode("utf-8")))
+            size += len(held[-1][2])
+            if size > HELD_BYTES:
+                out += self._parts(system, aside, held)
+                held, size = [], 0
+        out += self._parts(system, aside, held)
+        return Parts(out)
+
+    @staticmethod
+    def _parts(system, aside: str, held: list) -> list:
+        """Writes rows as a part for each run of one file without a gap."""
         out, f, now, end = [], None, None, -1
-        for path, start, raw in held:
-            data = (raw or "").encode("utf-8")
+        for path, start, data in sorted(held, key=lambda r: r[:2]):
             if f is None or path != now or start != end:
                 if f:
                     f.close()
@@ -186,7 +198,7 @@ class Writer(DataSourceWriter):
             end = start + len(data)
         if f:
             f.close()
-        return Parts(out)
+        return out
 
     def commit(self, messages) -> None:
         system, place = _file_system(self.path)
