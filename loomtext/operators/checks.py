@@ -98,10 +98,11 @@ def accept_proofread(source: Column | str, before: Column | str, after: Column |
 
 
 def merge_reviews(deterministic: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """Issues of both, first wins for a segment and type; unknown types become mistranslation, other severities minor."""
+    """Issues of both, first wins for a segment and type; unknown types become mistranslation, other severities minor. Of issues
+    that one place has of a type the major comes first, so the result does not depend on the order of rows."""
     tidy = model.withColumn("type", F.when(F.col("type").isin(ISSUE_TYPES), F.col("type")).otherwise("mistranslation")).withColumn("severity", F.when(F.col("severity") == "major", "major").otherwise("minor"))
     both = deterministic.withColumn("_p", F.lit(0)).unionByName(tidy.withColumn("_p", F.lit(1)))
-    first = Window.partitionBy(*keys, "type").orderBy("_p", "ord")
+    first = Window.partitionBy(*keys, "type").orderBy("_p", "ord", F.col("severity") != "major")
     own = both.withColumn("_r", F.row_number().over(first))
     return own.where((F.col("_p") == 0) | (F.col("_r") == 1)).drop("_p", "_r")
 

@@ -99,6 +99,14 @@ def test_inflected_targets(spark, translation, target, found):
     assert value(spark, glossary.has_target(F.lit(translation), F.lit(target))) is found
 
 
+def test_issues_of_one_place_merge_alike_in_any_order(spark):
+    schema = "k long, ord long, type string, severity string"
+    rows = [(k, o, t, s) for k in range(20) for o, t in ((1, "omission"), (2, "odd")) for s in ("minor", "major")]
+    for order in (rows, rows[::-1]):
+        got = checks.merge_reviews(spark.createDataFrame([], schema), spark.createDataFrame(order, schema).coalesce(1), ["k"]).collect()
+        assert sorted((r.k, r.ord, r.type, r.severity) for r in got) == [(k, o, t, "major") for k in range(20) for o, t in ((1, "omission"), (2, "mistranslation"))]
+
+
 def test_whole_word_terms(spark):
     g = spark.createDataFrame([(1, "Da", "x"), (2, "old  house", "y"), (3, "Mr.", "z"), (4, "é", "w")], "ord int, term string, target_term string")
     texts = spark.createDataFrame([(1, "A day at the Old\thouse with mr. Smith"), (2, "da, é!")], "id int, text string")
