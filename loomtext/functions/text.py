@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once for a row however often it is used; within a lambda Spark would work it out each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trim_ws(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+$", "")
+    return F.trim(col(c), F.lit(" \t\r\n"))
 
 
 def words(c: Column | str) -> Column:
@@ -73,20 +80,22 @@ def lead(c: Column | str) -> Column:
 
 def strip_thinking(c: Column | str) -> Column:
     t = F.regexp_replace(col(c), r"(?is)<think>.*?</think>", "")
-    return F.regexp_replace(F.substring_index(t, "</think>", -1), rf"^{WS}+", "")
+    return F.ltrim(F.substring_index(t, "</think>", -1), F.lit(" \t\r\n"))
 
 
 def clean_prose(c: Column | str) -> Column:
-    t = trim_ws(strip_thinking(c))
     fence = r"(?is)^```[a-z]*\n(.*?)\n```$"
-    return F.when(t.rlike(fence), trim_ws(F.regexp_extract(t, fence, 1))).otherwise(t)
+    return let(trim_ws(strip_thinking(c)), lambda t: F.when(t.startswith("```") & t.rlike(fence), trim_ws(F.regexp_extract(t, fence, 1))).otherwise(t))
 
 
 def first_json(c: Column | str) -> Column:
     """The text from the first { to the last } of a reply, null where there is none."""
-    t = strip_thinking(c)
-    start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
-    return F.when((start > 0) & (F.instr(t, "}") > 0) & (end > start), F.substring(t, start, end - start + 1))
+
+    def between(t: Column) -> Column:
+        start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        return F.when((start > 0) & (F.instr(t, "}") > 0) & (end > start), F.substring(t, start, end - start + 1))
+
+    return let(strip_thinking(c), between)
 
 
 def escape_xml(c: Column | str) -> Column:

@@ -39,11 +39,18 @@ def nests(tokens: Column) -> Column:
 
 def tag_check(source: Column | str, translated: Column | str) -> Column:
     """struct(ok, missing, extra, misnested): the same multiset of tags, properly nested; lists are sorted."""
-    a, b = X.tag_tokens(source), X.tag_tokens(translated)
-    na, nb = numbered(a), numbered(b)
-    missing, extra = F.array_sort(_bare(F.array_except(na, nb))), F.array_sort(_bare(F.array_except(nb, na)))
-    bad = ~nests(b)
-    return F.struct(((F.size(missing) == 0) & (F.size(extra) == 0) & ~bad).alias("ok"), missing.alias("missing"), extra.alias("extra"), bad.alias("misnested"))
+    left = lambda a, b: F.array_sort(_bare(F.array_except(a, b)))
+    told = lambda missing, extra, bad: F.struct(((F.size(missing) == 0) & (F.size(extra) == 0) & ~bad).alias("ok"), missing.alias("missing"), extra.alias("extra"), bad.alias("misnested"))
+
+    def compared(a: Column, b: Column) -> Column:
+        return X.let(numbered(a), lambda na: X.let(numbered(b), lambda nb: X.let(left(na, nb), lambda m: X.let(left(nb, na), lambda x: X.let(~nests(b), lambda bad: told(m, x, bad))))))
+
+    return X.let(X.tag_tokens(source), lambda a: X.let(X.tag_tokens(translated), lambda b: compared(a, b)))
+
+
+def tags_hold(source: Column, translated: Column) -> Column:
+    """tag_check().ok, at no cost where neither text has a tag."""
+    return (~source.contains("<") & ~translated.contains("<")) | tag_check(source, translated).ok
 
 
 def looks_untranslated(source: Column | str, kept_terms: list[str] = ()) -> Column:
@@ -62,20 +69,29 @@ def _quoted(t: str) -> str:
 
 def plain_issues(pairs: DataFrame, keys: list[str], same_language: bool = False, kept_terms: list[str] = ()) -> DataFrame:
     """(keys, ord, type, severity) for columns source and target: tags, untranslated or length ratio. A null target is passed over."""
-    src, tgt = X.trim_ws(X.strip_tags("source")), X.trim_ws(X.strip_tags("target"))
-    ratio = F.length(tgt) / F.greatest(F.length(src), F.lit(1))
-    same = F.lit(not same_language) & (src != "") & (src == tgt) & looks_untranslated("source", list(kept_terms))
-    sized = ~same & (F.length(src) >= MIN_RATIO_CHARS)
+    found = issues_of(F.col("source"), F.col("target"), same_language, kept_terms)
+    return pairs.where(F.col("target").isNotNull()).select(*keys, F.explode(found).alias("i")).select(*keys, "i.ord", "i.type", "i.severity")
+
+
+def issues_of(source: Column, target: Column, same_language: bool = False, kept_terms: list[str] = ()) -> Column:
+    """array<struct(ord, type, severity)> of one pair, see plain_issues()."""
     one = lambda o, t, s: F.struct(F.lit(o).alias("ord"), F.lit(t).alias("type"), F.lit(s).alias("severity"))
-    found = F.array_compact(
-        F.array(
-            F.when(~tag_check("source", "target").ok, one(0, "tags", "major")),
-            F.when(same, one(1, "untranslated", "major")),
-            F.when(sized & (ratio < MIN_RATIO), one(2, "omission", "major")),
-            F.when(sized & (ratio > MAX_RATIO), one(3, "addition", "minor")),
+
+    def all_of(src: Column, tgt: Column, same: Column) -> Column:
+        ratio = F.length(tgt) / F.greatest(F.length(src), F.lit(1))
+        sized = ~same & (F.length(src) >= MIN_RATIO_CHARS)
+        return F.array_compact(
+            F.array(
+                F.when(~tags_hold(source, target), one(0, "tags", "major")),
+                F.when(same, one(1, "untranslated", "major")),
+                F.when(sized & (ratio < MIN_RATIO), one(2, "omission", "major")),
+                F.when(sized & (ratio > MAX_RATIO), one(3, "addition", "minor")),
+            )
         )
-    )
-    return pairs.where(F.col("target").isNotNull()).select(*keys, F.explode(found).alias("i")).select(*keys, "i.ord", "i.type", "i.severity")
+
+    same = lambda src, tgt: F.lit(not same_language) & (src != "") & (src == tgt) & looks_untranslated(source, list(kept_terms))
+    plain = lambda c: X.trim_ws(X.strip_tags(c))
+    return X.let(plain(source), lambda src: X.let(plain(target), lambda tgt: X.let(same(src, tgt), lambda s: all_of(src, tgt, s))))
 
 
 def glossary_issues(pairs: DataFrame, keys: list[str], glossary: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 _ELEMENT = r"""(?s)<seg\s+id\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)\s*>.*?</seg\s*>"""
-_PARTS = r"""(?s)^<seg\s+id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))\s*>(.*)</seg\s*>$"""
+_START = r"""^<seg\s+id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))\s*>"""
+_INSIDE = rf"(?s){_START}(.*)</seg\s*>$"
 
 
 def format_segments(segments: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -20,8 +21,8 @@ def format_segments(segments: DataFrame, keys: list[str], order: str) -> DataFra
 def elements(reply: Column | str) -> Column:
     """array<struct<id, text>>: the elements of a reply in order, after thinking blocks and a fence around it are gone."""
     found = F.regexp_extract_all(X.clean_prose(reply), F.lit(f"({_ELEMENT})"), F.lit(1))
-    part = lambda e, i: F.regexp_extract(e, _PARTS, i)
-    return F.transform(found, lambda e: F.struct(X.trim_ws(F.concat(part(e, 1), part(e, 2), part(e, 3))).alias("id"), part(e, 4).alias("text")))
+    part = lambda e, i: F.regexp_extract(e, _START, i)
+    return F.transform(found, lambda e: F.struct(X.trim_ws(F.concat(part(e, 1), part(e, 2), part(e, 3))).alias("id"), F.regexp_extract(e, _INSIDE, 4).alias("text")))
 
 
 def parse_reply(reply: Column | str, expected: Column | str) -> Column:
@@ -35,22 +36,26 @@ def with_parsed(rows: DataFrame, reply: str, expected: str, name: str) -> DataFr
 
 
 def parse_elements(es: Column, want: Column) -> Column:
-    """parse_reply() of elements that were taken from the reply before."""
-    ids = F.transform(es, lambda e: e.id)
-    distinct = F.array_distinct(ids)
-    first = lambda i: F.element_at(F.filter(es, lambda e: e.id == i), 1).text
-    full = F.filter(F.array_intersect(distinct, want), lambda i: X.trim_ws(first(i)) != "")
-    duplicate = F.filter(distinct, lambda i: F.size(F.filter(ids, lambda x: x == i)) > 1)
-    conflicting = F.filter(F.array_intersect(duplicate, want), lambda i: F.size(F.array_distinct(F.transform(F.filter(es, lambda e: e.id == i), lambda e: X.collapse(e.text)))) > 1)
-    missing, extra = F.filter(want, lambda i: ~F.array_contains(full, i)), F.array_except(distinct, want)
-    return F.struct(
-        F.map_from_entries(F.transform(full, lambda i: F.struct(i, X.trim_ws(first(i))))).alias("segments"),
+    """parse_reply() of elements that were taken from the reply before. Every list is made once; ids are looked up by place."""
+    return X.let(es, lambda es: X.let(F.transform(es, lambda e: e.id), lambda ids: X.let(F.array_distinct(ids), lambda distinct: _read(es, ids, distinct, want))))
+
+
+def _read(es: Column, ids: Column, distinct: Column, want: Column) -> Column:
+    first = lambda i: F.element_at(es, F.array_position(ids, i).cast("int")).text
+    full = F.filter(F.transform(F.array_intersect(distinct, want), lambda i: F.struct(i.alias("id"), X.trim_ws(first(i)).alias("text"))), lambda e: e.text != "")
+    twice = F.filter(distinct, lambda i: F.size(F.filter(ids, lambda x: x == i)) > 1)
+    duplicate = F.when(F.size(distinct) == F.size(ids), F.expr("cast(array() as array<string>)")).otherwise(twice)
+    conflicting = lambda twice: F.filter(F.array_intersect(twice, want), lambda i: F.size(F.array_distinct(F.transform(F.filter(es, lambda e: e.id == i), lambda e: X.collapse(e.text)))) > 1)
+    missing = lambda full: X.let(F.transform(full, lambda e: e.id), lambda given: F.filter(want, lambda i: ~F.array_contains(given, i)))
+    lists = lambda full, duplicate, missing, extra: F.struct(
+        F.map_from_entries(full).alias("segments"),
         missing.alias("missing"),
         extra.alias("extra"),
         duplicate.alias("duplicate"),
-        conflicting.alias("conflicting"),
+        conflicting(duplicate).alias("conflicting"),
         ((F.size(missing) == 0) & (F.size(extra) == 0) & (F.size(duplicate) == 0)).alias("ok"),
     )
+    return X.let(full, lambda f: X.let(duplicate, lambda d: X.let(missing(f), lambda m: X.let(F.array_except(distinct, want), lambda x: lists(f, d, m, x)))))
 
 
 def salvage(parsed: Column, expected: Column | str) -> Column:

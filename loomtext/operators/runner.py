@@ -1,7 +1,7 @@
 """The project runner: chunks go through a model in rounds, each a DataFrame step with a committed stage.
 
 A round asks for all that is open, reads the answers and decides what each leaves open. Chunks never meet one another, so a round has
-no exchange, and its rows hold only what is still asked for. A run that was stopped goes on after its last committed round: no answer that was
+no exchange, and its rows hold only what was found and what is still asked for. A run that was stopped goes on after its last committed round: no answer that was
 committed is asked for again. After the rounds come the review, one request to mend what it found, and the final states.
 """
 
@@ -52,7 +52,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
     """rows (segs, reply) with `read`, the parsed reply, and `broken`: ids whose tags the answer does not keep."""
     rows = rows.withColumn("_found", protocol.elements("reply")).withColumn("ids", F.transform("segs", lambda s: s.id))
     rows = rows.withColumn("read", protocol.parse_elements(F.col("_found"), F.col("ids"))).drop("_found")
-    wrong = F.filter("segs", lambda s: F.map_contains_key(F.col("read.segments"), s.id) & ~checks.tag_check(s.text, F.try_element_at(F.col("read.segments"), s.id)).ok)
+    wrong = F.filter("segs", lambda s: X.let(F.try_element_at(F.col("read.segments"), s.id), lambda t: t.isNotNull() & ~checks.tags_hold(s.text, t)))
     return rows.withColumn("broken", F.transform(wrong, lambda s: s.id))
 
 
@@ -106,16 +106,17 @@ def translated(chunks: DataFrame, keys: list[str], model: Model, models: int, pa
         def answered(asks: DataFrame = open_asks) -> DataFrame:
             asks = asks.select(*keys, "a.*").withColumn("request", request_of(F.col("segs"), F.col("note")))
             asks = asks.withColumn("reply", model(F.col("request"), F.col("model"), F.lit("translate")))
-            return decide(asks, models).drop("request", "reply")
+            return decide(asks, models).select(*keys, "outcome", "found", "next")
 
         rounds.append(stage(spark, here, answered))
         if rounds[-1].where(F.size("next") > 0).isEmpty():
             return rounds
 
 
-def _issues(pairs: DataFrame, keys: list[str], minor: bool) -> DataFrame:
-    found = checks.plain_issues(pairs, [*keys, "seg_id"])
-    return found if minor else found.where("severity = 'major'")
+def _with_issues(segs: Column, final: Column, minor: bool) -> Column:
+    """The segments that have a major issue, or any, by the deterministic checks; a chunk has all it takes in its own row."""
+    bad = lambda i: F.lit(True) if minor else i.severity == "major"
+    return F.filter(segs, lambda s: F.exists(checks.issues_of(s.text, F.element_at(final, s.id)), bad))
 
 
 def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str, fix_minor: bool = False, proofread: bool = False, most_rounds: int | None = None) -> DataFrame | None:
@@ -128,6 +129,8 @@ def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str
     where the answer is whole and accept_proofread() takes it. `asks` counts requests; chunks that were not run have none.
     """
     spark = chunks.sparkSession
+    source = chunks
+    chunks = stage(spark, f"{path}/chunks", lambda: source.select(*keys, "state", "segs", "final"))
     finished = F.col("state").isin("done", "flagged")
     todo = chunks.where(~finished | F.col("state").isNull())
     rounds = translated(todo.where(F.size("segs") > 0), keys, model, models, f"{path}/translate", most_rounds)
@@ -136,8 +139,11 @@ def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str
     answers = reduce(DataFrame.unionByName, (r.select(*keys, "found") for r in rounds))
     got = answers.groupBy(*keys).agg(F.map_from_entries(F.flatten(F.collect_list(F.map_entries("found")))).alias("final"), F.count("*").alias("asks"))
     rows = todo.select(*keys, "segs").join(got, keys, "left")
-    rows = stage(spark, f"{path}/translated", lambda: rows.withColumn("final", F.coalesce("final", F.expr("cast(map() as map<string,string>)"))).withColumn("asks", F.coalesce("asks", F.lit(0))))
     whole = F.size("final") == F.size("segs")
+    none = F.expr(f"cast(array() as {SEGS})")
+    reviewed = lambda of: of.withColumn("bad", F.when(whole, _with_issues(F.col("segs"), F.col("final"), fix_minor)).otherwise(none))
+    joined = rows.withColumn("final", F.coalesce("final", F.expr("cast(map() as map<string,string>)"))).withColumn("asks", F.coalesce("asks", F.lit(0)))
+    rows = stage(spark, f"{path}/translated", lambda: joined if proofread else reviewed(joined))
     if proofread:
         given = rows
 
@@ -152,31 +158,23 @@ def run(chunks: DataFrame, keys: list[str], model: Model, models: int, path: str
         proofs = stage(spark, f"{path}/proofread", read_again)
         asked = (whole & (F.size("segs") > 0)).cast("int")
         rows = given.join(proofs, keys, "left").select(*keys, "segs", F.coalesce("proof", "final").alias("final"), (F.col("asks") + asked).alias("asks"))
-
-    def pairs(of: DataFrame) -> DataFrame:
-        one = of.where(whole).select(*keys, F.explode("segs").alias("s"), "final")
-        return one.select(*keys, F.col("s.id").alias("seg_id"), F.col("s.text").alias("source"), F.element_at("final", F.col("s.id")).alias("target"))
+        rows = reviewed(rows)
 
     def mended() -> DataFrame:
-        bad = _issues(pairs(rows), keys, fix_minor).groupBy(*keys).agg(F.collect_set("seg_id").alias("bad"))
-        asks = rows.join(bad, keys).withColumn("segs", F.filter("segs", lambda s: F.array_contains("bad", s.id)))
+        asks = rows.where(F.size("bad") > 0).withColumn("all", F.col("segs")).withColumn("segs", F.col("bad"))
         asks = asks.withColumn("reply", model(request_of(F.col("segs"), F.lit(None).cast("string")), F.lit(0), F.lit("fix")))
-        read = _parsed(asks.select(*keys, "segs", "reply"))
+        read = _parsed(asks.select(*keys, "segs", "reply", "all", "final", "asks"))
         usable = F.map_filter("read.segments", lambda k, _: ~F.array_contains("broken", k) & ~F.array_contains("read.conflicting", k))
-        return read.select(*keys, usable.alias("fixed"))
+        read = read.select(*keys, F.col("all").alias("segs"), "final", "asks", usable.alias("fixed"))
+        kept = F.map_filter("final", lambda k, _: ~F.map_contains_key("fixed", k))
+        answered = F.col("fixed").isNotNull()
+        out = read.select(*keys, "segs", F.when(answered, F.map_concat(kept, "fixed")).otherwise(F.col("final")).alias("final"), (F.col("asks") + answered.cast("int")).alias("asks"))
+        return out.select(*keys, "final", "asks", (F.size(_with_issues(F.col("segs"), F.col("final"), False)) > 0).alias("major"))
 
     fixes = stage(spark, f"{path}/fixed", mended)
-
-    def finals() -> DataFrame:
-        new = rows.join(fixes, keys, "left")
-        kept = F.map_filter("final", lambda k, _: F.col("fixed").isNull() | ~F.map_contains_key("fixed", k))
-        return new.select(*keys, "segs", F.when(F.col("fixed").isNull(), F.col("final")).otherwise(F.map_concat(kept, "fixed")).alias("final"), (F.col("asks") + F.col("fixed").isNotNull().cast("int")).alias("asks"))
-
-    out = stage(spark, f"{path}/final", finals)
-    major = _issues(pairs(out), keys, False).groupBy(*keys).agg(F.count("*").alias("major"))
-    out = out.join(major, keys, "left")
-    state = F.when(whole, final_state(F.coalesce("major", F.lit(0)), F.lit(None))).otherwise("failed")
-    ran = out.select(*keys, state.alias("state"), "final", F.col("asks").cast("long").alias("asks"))
+    ended = lambda of, state: of.select(*keys, state.alias("state"), "final", F.col("asks").cast("long").alias("asks"))
+    good = rows.where(F.size("bad") == 0)  # nothing was asked about, so no major issue is left
+    ran = ended(good, F.when(whole, "done").otherwise("failed")).unionByName(ended(fixes, final_state(F.col("major").cast("int"), F.lit(None))))
     return ran.unionByName(chunks.where(finished).select(*keys, "state", "final", F.lit(0).cast("long").alias("asks")))
 
 

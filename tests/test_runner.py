@@ -109,3 +109,11 @@ def test_columns_of_a_round(spark):
     assert r.outcome == "salvaged" and r.found == {"b": "z"} and [s.id for s in r.next[0].segs] == ["a"]
     r = runner.decide(rows.withColumn("reply", F.lit("")), 1).first()
     assert r.outcome == "halved" and [[s.id for s in a.segs] for a in r.next] == [["a"], ["b"]]
+
+
+def test_rounds_hold_what_was_found_and_chunks_are_made_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, "pending", [("a.0", "one two")], {})], SCHEMA)
+    path = f"file://{tmp_path}/r"
+    assert [(r.state, r.final) for r in runner.run(rows, ["doc"], runner.from_function(lambda r, m, t: r.replace("one", "uno")), 1, path).collect()] == [("done", {"a.0": "uno two"})]
+    assert set(spark.read.parquet(f"{path}/translate/round=0").columns) == {"doc", "outcome", "found", "next"}
+    assert stages.is_committed(spark, f"{path}/chunks") and not stages.is_committed(spark, f"{path}/final")
