@@ -11,13 +11,16 @@ from .stages import stage
 def resolved(edges: DataFrame, path: str) -> DataFrame:
     """(alias, target, steps, circular) of edges (alias, target), one for each alias: the end of its chain, or none if it runs into a circle.
 
-    Each round follows the chains twice as far, as a join, and is a committed stage under path. As many rounds as the logarithm of the
-    number of aliases reach every end; what still moves then is in a circle or leads into one.
+    Only aliases that others lead to are followed, twice as far each round, as a join and a committed stage under path; all others take one
+    step to them at the end. A round in which no chain ends is the last: had a chain an end farther off, an alias on it would have
+    reached that end in this round. So what still moves then is in a circle or leads into one.
     """
     spark = edges.sparkSession
-    now = stage(spark, f"{path}/0", lambda: edges.select("alias", "target", F.lit(1).cast("long").alias("steps"), F.lit(False).alias("moved")))
-    rounds = max(1, (now.count() + 1).bit_length())
-    for k in range(1, rounds + 2):
+    inner = edges.join(edges.select(F.col("target").alias("alias")).distinct(), "alias", "left_semi")
+    now = stage(spark, f"{path}/0", lambda: inner.select("alias", "target", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    left, k = now.count(), 0
+    while left:
+        k += 1
         on = now.select(F.col("alias").alias("target"), F.col("target").alias("_next"), F.col("steps").alias("_more"))
 
         def further(now: DataFrame = now, on: DataFrame = on) -> DataFrame:
@@ -25,10 +28,13 @@ def resolved(edges: DataFrame, path: str) -> DataFrame:
             return now.join(on, "target", "left").select("alias", F.coalesce("_next", "target").alias("target"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), moved.alias("moved"))
 
         now = stage(spark, f"{path}/{k}", further)
-        if now.where("moved").isEmpty():
+        before, left = left, now.where("moved").count()
+        if left == before:
             break
-    ends = now.select("alias", F.when(~F.col("moved"), F.col("target")).alias("target"), F.when(~F.col("moved"), F.col("steps")).alias("steps"), F.col("moved").alias("circular"))
-    return ends
+    to = now.select(F.col("alias").alias("target"), F.col("target").alias("_end"), F.col("steps").alias("_more"), F.col("moved").alias("_moved"))
+    circular = F.coalesce("_moved", F.lit(False))
+    end, steps = F.coalesce("_end", "target"), F.lit(1).cast("long") + F.coalesce("_more", F.lit(0))
+    return edges.join(to, "target", "left").select("alias", F.when(~circular, end).alias("target"), F.when(~circular, steps).alias("steps"), circular.alias("circular"))
 
 
 def fallback_list(given: Column, defaults: Column, order: Column, last_resort: list[str]) -> Column:

@@ -151,6 +151,14 @@ def test_chains_and_circles(spark, tmp_path):
     assert {k for k, v in got.items() if v[2]} == {"x", "y", "z", "s"} and got["x"][0] is None
 
 
+def test_circles_take_no_rounds_once_chains_have_ended(spark, tmp_path):
+    edges = [("x", "y"), ("y", "x"), ("a0", "x"), ("c0", "m")] + [(f"c{i}", f"c{i - 1}") for i in range(1, 6)] + [(f"l{i}", "c5") for i in range(3000)]
+    got = {r.alias: (r.target, r.steps, r.circular) for r in chains.resolved(spark.createDataFrame(edges, "alias string, target string"), f"file://{tmp_path}/c").collect()}
+    assert [got[k] for k in ("x", "a0", "c0", "c5", "l7")] == [(None, None, True), (None, None, True), ("m", 1, False), ("m", 6, False), ("m", 7, False)] and len(got) == len(edges)
+    stages = list((tmp_path / "c").iterdir())
+    assert len(stages) <= 6 and sum(spark.read.parquet(f"file://{p}").count() for p in stages) <= 6 * 8
+
+
 def test_shared_order_of_rows_taken_before(spark):
     def order(refs, rows):
         df = spark.createDataFrame([([(r, r.split("/")[0], r.startswith("c/")) for r in refs], [(r, r.split("/")[0]) for r in rows])], "refs array<struct<ref:string,kind:string,client:boolean>>, rows array<struct<ref:string,kind:string>>")
