@@ -78,8 +78,8 @@ def _required(value: Column, place: Column, names: list[str], schema: dict) -> C
 
 
 def _properties(value: Column, place: Column, below: dict, schema: dict) -> Column:
-    of = [F.when(_is(value, "object") & _field(value, n).isNotNull(), problems(_field(value, n), s, _inside(place, n))).otherwise(_none()) for n, s in below.items()]
-    return F.concat(_none(), *of)
+    told = lambda n, s: X.let(_field(value, n), lambda v: F.when(v.isNotNull(), problems(v, s, _inside(place, n))).otherwise(_none()))
+    return F.when(_is(value, "object"), F.concat(_none(), *(told(n, s) for n, s in below.items()))).otherwise(_none())
 
 
 def _alternatives(value: Column, place: Column, options: list[dict], schema: dict) -> Column:
@@ -108,11 +108,10 @@ def problems(value: Column, schema: dict, place: Column | None = None) -> Column
     rest = F.concat(_none(), *found)
     if "type" not in schema:
         return rest
-    wrong = _type(value, place, schema["type"], schema)
-    return F.when(F.size(wrong) > 0, wrong).otherwise(rest)
+    return X.let(_type(value, place, schema["type"], schema), lambda wrong: F.when(F.size(wrong) > 0, wrong).otherwise(rest))
 
 
 def structured(reply: Column | str, schema: dict) -> Column:
     """array<string>: the first MOST_PROBLEMS problems of a reply's JSON object; empty where it can be used."""
-    value = F.try_parse_json(X.first_json(reply))
-    return F.when(value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.slice(problems(value, schema), 1, MOST_PROBLEMS))
+    told = lambda value: F.when(value.isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.slice(problems(value, schema), 1, MOST_PROBLEMS))
+    return X.let(F.try_parse_json(X.first_json(reply)), told)

@@ -20,6 +20,8 @@ from .stages import stage
 
 #: Answers of one model that may be unusable before the next is asked, and requests for the rest of an answer that was nearly whole.
 WRONG_ANSWERS, FOLLOW_UPS = 2, 2
+#: Requests for structured answers that are one task, about.
+REQUESTS = 50_000
 SEGS = "array<struct<id:string,text:string>>"
 ASK = f"struct<segs:{SEGS},model:int,wrong:int,follow:int,note:string>"
 
@@ -190,7 +192,12 @@ def answers(asks: DataFrame, keys: list[str], schema: dict, model: Model, path:
         rows = rows.withColumn("reply", model(F.col("request"), F.lit(0), F.lit("json")))
         return rows.select(*keys, "request", "reply", replies.structured("reply", schema).alias("problems"))
 
-    first = stage(spark, f"{path}/asked", lambda: asked(asks.select(*keys, "request")))
+    def dealt() -> DataFrame:
+        # requests are short, so a file of millions would be one task; the number stands, as small partitions would be put together
+        rows = asks.select(*keys, "request")
+        return asked(rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // REQUESTS)), *keys))
+
+    first = stage(spark, f"{path}/asked", dealt)
     note = F.concat(F.lit("\n\nThe last answer was not usable: "), F.array_join("problems", "; "), F.lit(". Answer with one JSON object."))
     wrong = F.size("problems") > 0
     second = stage(spark, f"{path}/repaired", lambda: asked(first.where(wrong).withColumn("request", F.concat("request", note))))

@@ -117,3 +117,10 @@ def test_rounds_hold_what_was_found_and_chunks_are_made_once(spark, tmp_path):
     assert [(r.state, r.final) for r in runner.run(rows, ["doc"], runner.from_function(lambda r, m, t: r.replace("one", "uno")), 1, path).collect()] == [("done", {"a.0": "uno two"})]
     assert set(spark.read.parquet(f"{path}/translate/round=0").columns) == {"doc", "outcome", "found", "next"}
     assert stages.is_committed(spark, f"{path}/chunks") and not stages.is_committed(spark, f"{path}/final")
+
+
+def test_requests_of_one_file_are_many_tasks(spark, tmp_path):
+    asks = spark.range(200).coalesce(1).selectExpr("id", "cast(id as string) as request")
+    out = runner.answers(asks, ["id"], {"type": "object"}, lambda request, n, task: F.concat(F.lit('{"x": '), request, F.lit("}")), f"file://{tmp_path}/r")
+    assert {(r.id, r.json, r.asks) for r in out.collect()} == {(i, f'{{"x": {i}}}', 1) for i in range(200)}
+    assert len(list((tmp_path / "r/asked").glob("part-*.parquet"))) > 1
