@@ -220,3 +220,11 @@ def test_refreshed_numbers_chunks_through(spark):
     out = align.refreshed(new, old, at, "doc", 100)
     assert [(r.blk, r.from_chunk, r.chunk, r.state, r.final) for r in out.orderBy("blk").collect()] == [(0, 1, 1, "done", "x0"), (1, None, 2, "pending", None), (2, 1, 3, "done", "x1"), (3, 2, 4, "done", "x2"), (4, 2, 4, "done", "x3"), (5, None, 5, "pending", None)]
     assert tuple(align.refresh_report(out, old, at, "doc").first()) == ("d", 4, 2, 3, 5, 3, 1, 1)
+
+
+def test_refresh_reports_move_digests_and_no_texts(spark):
+    from loomtext.plans import runs
+
+    old, new, _ = runs._refresh(spark, "/root/testdata/sf0.001", lambda text: F.unhex(F.sha2(text, 256)))
+    assert {dict(x.dtypes)["text"] for x in (old, new)} == {"binary"} and dict(old.dtypes)["final"] == "binary"
+    assert {r.n for x in (old, new) for r in x.select(F.octet_length("text").alias("n")).distinct().collect()} == {32}
