@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,8 @@ from . import markdown
 
 #: Bytes of a file that are one partition, about; bytes copied at a time; and bytes that a writing task sorts at a time.
 RANGE_BYTES, COPY_BYTES, HELD_BYTES = 8 << 20, 1 << 20, 32 << 20
+#: Tasks of a read, about: where ranges would make more, a task takes several. Files that are put in place at a time.
+MOST_TASKS, AT_A_TIME = 2000, 16
 FORMATS = {"md": True, "markdown": True, "txt": False, "text": False}
 SCHEMA = "path string, start long, kind string, body string, raw string"
 
@@ -113,7 +116,7 @@ class Reader(DataSourceReader):
                 yield system, f, f.path[len(place) :].lstrip("/") or f.base_name
 
     def partitions(self):
-        out, held = [], 0
+        found: list = []
         for system, f, name in self._files():
             try:
                 is_markdown = format_of(name, self.given)
@@ -127,12 +130,16 @@ class Reader(DataSourceReader):
             if f.size > self.every:  # only a large file is looked through, line by line
                 with system.open_input_stream(f.path) as stream:
                     cuts = borders(_lines(stream), is_markdown, self.every)
-            for a, b in zip(cuts, cuts[1:]):
-                if not out or held + b - a > self.every:
-                    out, held = [*out, Ranges([])], 0
-                out[-1].ranges.append((name, a, b, is_markdown))
-                held += b - a
-        return out or [Ranges([])]
+            found += ((name, a, b, is_markdown) for a, b in zip(cuts, cuts[1:]))
+        most = max(self.every, sum(b - a for _, a, b, _ in found) // MOST_TASKS)  # a task reads more ranges, one after the other
+        out, held = [Ranges([])], 0
+        for name, a, b, is_markdown in found:
+            if out[-1].ranges and held + b - a > most:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].ranges.append((name, a, b, is_markdown))
+            held += b - a
+        return out
 
     def read(self, part: Ranges):
         system, place = _file_system(self.path)
@@ -206,18 +213,22 @@ class Writer(DataSourceWriter):
         files: dict[str, list] = {}
         for path, start, part in (p for m in messages if m for p in m.parts):
             files.setdefault(path, []).append((start, part))
-        done = []
-        for n, (path, parts) in enumerate(sorted(files.items())):
-            whole = f"{root}/{self.aside}/whole-{n}"
-            with system.open_output_stream(whole) as out:
+
+        def whole(item: tuple[int, tuple[str, list]]) -> tuple[str, str]:
+            n, (path, parts) = item
+            if len(parts) == 1:  # a part that is the file is not copied
+                return parts[0][1], f"{root}/{path}"
+            with system.open_output_stream(f"{root}/{self.aside}/whole-{n}") as out:
                 for _, part in sorted(parts):
                     with system.open_input_stream(part) as f:
                         while block := f.read(COPY_BYTES):
                             out.write(block)
-            done.append((whole, f"{root}/{path}"))
-        for whole, target in done:
-            system.create_dir(target.rpartition("/")[0], recursive=True)
-            system.move(whole, target)
+            return f"{root}/{self.aside}/whole-{n}", f"{root}/{path}"
+
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            done = list(pool.map(whole, enumerate(sorted(files.items()))))
+            list(pool.map(lambda folder: system.create_dir(folder, recursive=True), {target.rpartition("/")[0] for _, target in done}))
+            list(pool.map(lambda pair: system.move(*pair), done))
         self._clear()
 
     def abort(self, messages) -> None:

@@ -76,3 +76,11 @@ def test_an_aborted_write_leaves_nothing(source, folder, tmp_path):
     with pytest.raises(Exception, match="lost"):
         bad.repartition(4).write.format("loomtext").mode("append").save(f"file://{tmp_path}/out")
     assert not [p for p in (tmp_path / "out").rglob("*")] if (tmp_path / "out").exists() else True
+
+
+def test_many_ranges_are_a_bounded_number_of_tasks(folder, tmp_path, monkeypatch):
+    for i in range(400):
+        (tmp_path / f"in/n{i}.md").write_text("x" * 10)
+    monkeypatch.setattr(files, "MOST_TASKS", 20)
+    parts = files.Reader({"path": folder, "rangebytes": "12"}).partitions()
+    assert len(parts) <= 45 and sum(r[0].startswith("n") for p in parts for r in p.ranges) == 400
