@@ -6,13 +6,13 @@ import json
 import posixpath
 import re
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.script import LINE_CLASSES
+from .blocks import blocks_of
 
 _CLASSES = [(name, regex.compile(pattern)) for name, pattern in LINE_CLASSES]
 _PROSE = regex.compile(r"^([ \t]*(?:#{1,6}[ \t]+|(?:[-*+]|\d+[.)])[ \t]+))(.*?)([ \t]*#*[ \t]*)$")
@@ -91,12 +91,7 @@ def bible_names(text: str) -> list[str]:
 
 def read_blocks(files: DataFrame) -> DataFrame:
     """(path, line, kind, text, block_id) of chapter files (path, text)."""
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
-    def blocks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"line": n, "kind": k, "text": x} for n, k, x in read_script(t or "")])
-
-    rows = files.select("path", F.explode(blocks("text")).alias("b")).select("path", "b.*")
+    rows = blocks_of(files, ["path"], "text", lambda t: ({"line": n, "kind": k, "text": x} for n, k, x in read_script(t or "")), {"line": "int", "kind": "string", "text": "string"})
     return rows.withColumn("block_id", F.concat_ws("#", "path", F.col("line").cast("string")))
 
 
