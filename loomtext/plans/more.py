@@ -291,14 +291,11 @@ _CLEAN = "regexp_replace(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), '^ | $
 def k5_books(spark, d):
     """Documents written as EPUB books and read again: a paragraph for each line."""
     from ..sources import epub
+    from ..sources.blocks import blocks_of
 
     lines = I.segments(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "text"))), lambda s: s.text).alias("lines"))
 
-    @F.pandas_udf("binary")
-    def book(all_lines):
-        return all_lines.map(lambda ls: epub.build("Book", [("One", [("para", x) for x in ls])]))
-
-    files = lines.select("doc_id", book("lines").alias("content"))
+    files = blocks_of(lines, ["doc_id"], "lines", lambda ls: [{"content": epub.build("Book", [("One", [("para", x) for x in ls])])}], {"content": "binary"})
     blocks = epub.read_blocks(files, key="doc_id").where("block_id like 'd1.%' and block_id <> 'd1.t'")
     return blocks.select("doc_id", F.regexp_extract("block_id", r"\.([0-9]+)$", 1).cast("int").alias("n"), "text")
 

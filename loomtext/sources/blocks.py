@@ -19,7 +19,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def _size(value) -> int:
-    if isinstance(value, str):
+    if isinstance(value, (str, bytes)):
         return len(value)
     if isinstance(value, (list, dict)):
         return 8 + sum(map(_size, value.values() if isinstance(value, dict) else value))
@@ -31,7 +31,7 @@ def batches_of(batches: Iterable, reader: Callable[[object], Iterable[dict]], co
     the blocks of one file, and blocks of about BATCH_BYTES that have not gone out."""
     import pyarrow as pa
 
-    kinds = {"int": pa.int32(), "string": pa.string(), TAGS: pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("data", pa.string())]))}
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), TAGS: pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("data", pa.string())]))}
     for b in batches:
         keys, contents = b.columns[:-1], b.column(b.num_columns - 1)
         names = [*b.schema.names[:-1], *columns]

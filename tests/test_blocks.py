@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from loomtext.sources import blocks, markdown, markup
+from loomtext.sources import blocks, epub, markdown, markup
 
 
 def test_text_blocks_go_out_while_files_are_read():
@@ -37,3 +37,29 @@ def test_keys_pass_as_they_are(spark):
     docs = spark.createDataFrame([(big, "a\n\nb"), (None, "c"), (2, None), (3, "\n")], "doc_id long, text string")
     assert sorted(((r.doc_id or 0), r.blk_ord, r.text, r.title) for r in markdown.read_blocks(docs, True).collect()) == [(0, 1, "c", None), (big, 1, "a", None), (big, 2, "b", None)]
     assert markdown.read_blocks(docs.limit(0), True).collect() == []
+
+
+def test_blocks_of_one_book_at_a_time(spark):
+    class Row(dict):
+        alive = 0
+
+        def __init__(self, *a):
+            super().__init__(*a)
+            Row.alive += 1
+
+        def __del__(self):
+            Row.alive -= 1
+
+    def reader(data):
+        return [Row({"sec_ord": Row.alive, "section": None, "blk_ord": n, "block_id": f"d1.{n}", "kind": "para", "text": data.decode() * 2000, "tags": []}) for n in range(10)]
+
+    files = spark.range(0, 400, 1, 1).selectExpr("cast(id as string) as path", "cast('x' as binary) as content")
+    got = epub.read_blocks(files, reader).selectExpr("count(*) as n", "max(sec_ord) as alive", "sum(length(text)) as chars").first()
+    assert (got.n, got.chars) == (4000, 8_000_000) and got.alive < 1500
+
+
+def test_query_of_books_reads_from_bounded_batches(spark):
+    from loomtext.plans import more
+
+    plan = more.k5_books(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan
