@@ -218,16 +218,16 @@ def f19_localized_names(spark, d):
 
 @query("select doc_id, octet_length(encode(text)) as n_bytes, sha256(text) as sha256 from documents where text <> ''")
 def x1_text_files(spark, d):
-    """Documents written as Markdown files by the file source and read again in small ranges: the pieces of each join to its text."""
+    """Documents written as Markdown files by the file source, in a fixed number of folders, and read again in small ranges: the pieces of each join to its text."""
     from ..operators import digests
     from ..sources import files
 
     files.register(spark)
     folder = new_folder(spark, "files")
-    docs = table(spark, d, "documents").where("text <> ''").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(0).cast("long").alias("start"), F.col("text").alias("raw"))
+    docs = table(spark, d, "documents").where("text <> ''").select(F.concat(F.pmod(F.hash("doc_id"), F.lit(1024)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(0).cast("long").alias("start"), F.col("text").alias("raw"))
     docs.write.format("loomtext").mode("append").save(folder)
     pieces = spark.read.format("loomtext").option("rangeBytes", "32768").load(folder)
-    whole = digests.stream_digests(pieces, "path", "start", "raw").withColumn("doc_id", F.regexp_extract("path", "^(-?[0-9]+)", 1).cast("long"))
+    whole = digests.stream_digests(pieces, "path", "start", "raw").withColumn("doc_id", F.regexp_extract("path", "/(-?[0-9]+)[.]md$", 1).cast("long"))
     return whole.select("doc_id", "n_bytes", "sha256")
 
 
