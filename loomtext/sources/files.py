@@ -136,15 +136,14 @@ class Reader(DataSourceReader):
 
         system, place = _file_system(self.path)
         info = system.get_file_info(place)
-        folders = [] if info.is_file else [place]
-        found = [info] if info.is_file else []
-        while found or folders:
-            found = found or sorted(system.get_file_info(fs.FileSelector(folders.pop())), key=lambda f: f.path)
+        folders = [place]
+        while folders:
+            folder = folders.pop()
+            found = [info] if info.is_file else sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path)
             folders += (f.path for f in reversed(found) if f.type == fs.FileType.Directory and not f.base_name.startswith(ASIDE))
             for f in found:
                 if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")):
                     yield system, f, f.path[len(place) :].lstrip("/") or f.base_name
-            found = []
 
     def _chosen(self):
         for system, f, name in self._files():
